@@ -28,7 +28,7 @@ with e as (
   from refs r left join works w on w.work_id = r.work and (r.corpus is null or w.corpus = r.corpus)
   group by r.id, r.field, r.ref, r.seen
 ), o as (
-  select id, field, ref, seen, case when n = 0 then 'missing' when first > at then 'late' else 'deleted' end as status from hit where not holds
+  select id, field, ref, seen, case when n = 0 then 'missing' when first > seen then 'late' else 'deleted' end as status from hit where not holds
 )
 """
 
