@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 #: Shapes of work ids and line keys (ignoring case).
 WORK_ID = r"(?i)^([A-Za-z]{1,4})(\d{1,3})n(\d{4,5}[a-z]?)$"
-LINE = r"(?i)^(\d{3,4})([a-c])(\d{1,2})([a-z]?)$"
-RANGE = r"(?i)^([^:]+):(\d{3,4}[a-c]\d{1,2}[a-z]?)(?:\.\.(\d{3,4}[a-c]\d{1,2}[a-z]?))?$"
+_L = r"(\d{3,4})([a-c])(\d{1,2})([a-z]?)"
+LINE = rf"(?i)^{_L}$"
+RANGE = rf"(?i)^([^:]+):{_L}(?:\.\.{_L})?$"
 
 
 def _pad(c: Column, n: int) -> Column:
@@ -27,21 +28,26 @@ def normalize_work_id(c: Column, pattern: str = WORK_ID) -> Column:
     return F.when(t.rlike(pattern), F.concat(F.upper(p(1)), _pad(p(2), 2), F.lit("n"), F.lower(p(3))))
 
 
+def _line(c: Column, pattern: str, i: int) -> Column:
+    """The line whose four parts are the groups of a pattern from i on, padded to equal width."""
+    p = lambda k: F.regexp_extract(c, pattern, i + k)
+    return F.lower(F.concat(F.lpad(p(0), 4, "0"), p(1), F.lpad(p(2), 2, "0"), p(3)))
+
+
 def normalize_line(c: Column) -> Column:
-    """Page four digits, column letter, line two digits, suffix; null if of another shape."""
-    t = F.ltrim(F.lit("tT"), F.btrim(c)) if False else F.regexp_replace(F.btrim(c), "^[tT]+", "")
-    p = lambda i: F.regexp_extract(t, LINE, i)
-    return F.when(t.rlike(LINE), F.concat(_pad(p(1), 4), F.lower(p(2)), _pad(p(3), 2), F.lower(p(4))))
+    """Page four digits, column letter, line two digits, suffix; null if of another shape.
+
+    Normalized lines compare as their keys (page, column, line, suffix) do.
+    """
+    t = F.regexp_replace(F.btrim(c), "^[tT]+", "")
+    return F.when(t.rlike(LINE), _line(t, LINE, 1))
 
 
 def line_key(c: Column) -> Column:
     """Comparable key of a line: (page, column, line, suffix)."""
     n = normalize_line(c)
-    p = lambda i: F.regexp_extract(n, LINE, i)
-    return F.when(
-        n.isNotNull(),
-        F.struct(p(1).cast("int").alias("page"), (F.ascii(p(2)) - 97).alias("col"), p(3).cast("int").alias("line"), p(4).alias("suffix")),
-    )
+    part = F.substring
+    return F.when(n.isNotNull(), F.struct(part(n, 1, 4).cast("int").alias("page"), (F.ascii(part(n, 5, 1)) - 97).alias("col"), part(n, 6, 2).cast("int").alias("line"), part(n, 8, 1).alias("suffix")))
 
 
 def parse_identifier(c: Column, work=None) -> Column:
@@ -51,12 +57,10 @@ def parse_identifier(c: Column, work=None) -> Column:
     """
     norm = work or (lambda x: F.when((x != "") & ~x.contains(":"), x))
     is_range = c.rlike(RANGE)
-    p = lambda i: F.regexp_extract(c, RANGE, i)
-    start = normalize_line(p(2))
-    end = F.when(p(3) == "", start).otherwise(normalize_line(p(3)))
-    w = F.when(is_range, norm(p(1))).otherwise(norm(c))
-    ok = w.isNotNull() & (~is_range | (line_key(start) <= line_key(end)))
-    return F.when(ok, F.struct(w.alias("work"), F.when(is_range, start).alias("start"), F.when(is_range, end).alias("end")))
+    w = norm(F.when(is_range, F.regexp_extract(c, RANGE, 1)).otherwise(c))
+    start = F.when(is_range, _line(c, RANGE, 2))
+    end = F.when(is_range & (F.regexp_extract(c, RANGE, 6) != ""), _line(c, RANGE, 6)).otherwise(start)
+    return F.when(w.isNotNull() & (~is_range | (start <= end)), F.struct(w.alias("work"), start.alias("start"), end.alias("end")))
 
 
 def record_interval(work_id: Column, segment_id: Column, relation_ids: Column, work=None) -> Column:
@@ -68,14 +72,13 @@ def record_interval(work_id: Column, segment_id: Column, relation_ids: Column, w
     norm = work or (lambda x: x)
     own = norm(work_id)
     first, last = parse_identifier(F.try_element_at(relation_ids, F.lit(1)), work), parse_identifier(F.try_element_at(relation_ids, F.lit(-1)), work)
-    lo, hi = line_key(first["start"]), line_key(last["end"])
-    by_rel = (F.size(relation_ids) >= 2) & (first["work"] == own) & (last["work"] == own) & (lo <= hi)
     seg = parse_identifier(segment_id, work)
-    slo, shi = line_key(seg["start"]), line_key(seg["end"])
-    by_seg = (seg["work"] == own) & (slo <= shi)
-    return F.when(by_rel, F.struct(lo.alias("lo"), hi.alias("hi"), F.lit("relation_ids").alias("locator"))).when(
-        by_seg, F.struct(slo.alias("lo"), shi.alias("hi"), F.lit("segment_id").alias("locator"))
-    )
+    # One struct a source, so that what is parsed is written down once.
+    span = lambda lo, hi, name: F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(name).alias("locator"))
+    both = F.when(F.size(relation_ids) >= 2, F.array(first, last))
+    by_rel = F.element_at(F.transform(F.array(both), lambda b: F.when((b[0]["work"] == own) & (b[1]["work"] == own) & (b[0]["start"] <= b[1]["end"]), span(b[0]["start"], b[1]["end"], "relation_ids"))), 1)
+    by_seg = F.element_at(F.transform(F.array(seg), lambda x: F.when((x["work"] == own) & x["start"].isNotNull(), span(x["start"], x["end"], "segment_id"))), 1)
+    return F.coalesce(by_rel, by_seg)
 
 
 def bucket(c: Column) -> Column:

@@ -14,6 +14,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ---------------------------------------------------------------- plain Python
 
@@ -55,10 +56,10 @@ def plain_markup(t: str) -> str:
 
 def _vector(f):
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else f(t))
+        return pd.Series([None if t is None else f(t) for t in s], dtype=object)
 
     run.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return F.pandas_udf("string")(run)
+    return F.pandas_udf(T.StringType())(run)
 
 
 normalize = _vector(normalize_text)
@@ -67,14 +68,16 @@ compact = _vector(compact_text)
 quote_safe = _vector(quote_safe_text)
 strip_markup = _vector(plain_markup)
 
-FORMS = "norm string, folded string, compact string"
+#: Types are given as objects: a DDL string would need a session at import.
+FORMS = T.StructType([T.StructField(n, T.StringType()) for n in ("norm", "folded", "compact")])
+TOKENS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("token", "kind")]))
 
 
 @F.pandas_udf(FORMS)
 def forms(s: pd.Series) -> pd.DataFrame:
     """The three forms of a text in one pass over the Arrow boundary."""
-    t = s.map(lambda x: x or "")
-    return pd.DataFrame({"norm": t.map(normalize_text), "folded": t.map(fold_text), "compact": t.map(compact_text)})
+    t = [x or "" for x in s]
+    return pd.DataFrame({"norm": map(normalize_text, t), "folded": map(fold_text, t), "compact": map(compact_text, t)}, dtype=object)
 
 
 #: Fixed value: from this length on, stored forms are blanked.
@@ -127,9 +130,13 @@ def length_bucket(c: Column) -> Column:
 # ---------------------------------------------------------------- tokenizers
 
 
+#: Fixed value: token characters of the word index; combining accents only continue a token.
+TOKEN = r"([\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\x{300}-\x{331}]*)"
+
+
 def word_tokens(c: Column) -> Column:
-    """Lower-cased runs of letters, marks and numbers, accents kept; a CJK run is one token."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}\p{M}\p{Co}]+)"), F.lit(1))
+    """Lower-cased runs of letters and numbers, combining accents kept within; a CJK run is one token."""
+    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(1))
 
 
 def ngrams(c: Column, n: int) -> Column:
@@ -169,7 +176,7 @@ def latin_token(t: str) -> bool:
 _WORD = re.compile(r"[^\W_]+")
 
 
-@F.pandas_udf("array<struct<token:string,kind:string>>")
+@F.pandas_udf(TOKENS)
 def locator_tokens(raw: pd.Series, title: pd.Series) -> pd.Series:
     """Latin tokens of a text, each with the best kind of match under which a search would find it.
 
@@ -191,7 +198,7 @@ def locator_tokens(raw: pd.Series, title: pd.Series) -> pd.Series:
                     out.setdefault(w, kind)
         return [{"token": k, "kind": v} for k, v in sorted(out.items())]
 
-    return pd.Series([one(t, h) for t, h in zip(raw, title)])
+    return pd.Series([one(t, h) for t, h in zip(raw, title)], dtype=object)
 
 
 def register(spark) -> None:

@@ -8,7 +8,7 @@ hash or sort-merge join, never a nested loop.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codexmill.functions import ids as I
@@ -47,10 +47,7 @@ def resolve(identifiers: DataFrame, relations: DataFrame, records: DataFrame, li
     """(identifier, id, reason, locator, rank): up to ``limit`` records for each identifier."""
     q = requests(identifiers, relations, work)
     r = record_intervals(records, work)
-    lo: Column = I.line_key(F.col("start"))
-    hi: Column = I.line_key(F.col("end"))
-    q = q.withColumn("lo", lo).withColumn("hi", hi)
-    hit = q.join(r, "work").filter(F.col("start").isNull() | ((F.col("interval.lo") <= F.col("hi")) & (F.col("interval.hi") >= F.col("lo"))))
+    hit = q.join(r, "work").filter(F.col("start").isNull() | ((F.col("interval.lo") <= F.col("end")) & (F.col("interval.hi") >= F.col("start"))))
     reason = F.when(F.col("start").isNull(), "work_id").otherwise("line_range_overlap")
     hit = hit.select("identifier", "id", "corpus", "sequence_no", reason.alias("reason"), F.when(F.col("start").isNotNull(), F.col("interval.locator")).alias("locator"))
     hit = hit.groupBy("identifier", "id", "corpus", "sequence_no").agg(F.min("reason").alias("reason"), F.max("locator").alias("locator"))

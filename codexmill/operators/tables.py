@@ -56,9 +56,10 @@ def stale_sources(state: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def setdiff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of either side that the other lacks, counted: (side, columns, n)."""
-    left, right = a.exceptAll(b).withColumn("side", F.lit("left")), b.exceptAll(a).withColumn("side", F.lit("right"))
-    return left.unionByName(right).groupBy("side", *a.columns).agg(F.count("*").alias("n"))
+    """Rows that one side holds more often than the other: (side, columns, n); one aggregate over both."""
+    both = a.withColumn("_n", F.lit(1).cast("long")).unionByName(b.select(*a.columns).withColumn("_n", F.lit(-1).cast("long")))
+    d = both.groupBy(*a.columns).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
+    return d.select(F.when(F.col("_n") > 0, "left").otherwise("right").alias("side"), *a.columns, F.abs("_n").alias("n"))
 
 
 def build(
