@@ -43,6 +43,22 @@ OTHER_LATIN = {"ɡ": "g", "ɑ": "a", "ı": "i", "ǃ": "!"}
 OTHER_LATIN.pop("ı")  # a dotless i shows no dot
 ARMENIAN = {"ո": "n", "ս": "u", "օ": "o", "Ս": "U", "Օ": "O", "հ": "h"}
 DOUBLES = CYRILLIC | GREEK | OTHER_LATIN | ARMENIAN
+_LATIN_WITH_DOUBLE = set(DOUBLES.values())
+
+
+def _accented() -> dict[str, str]:
+    """Composed letters whose base has a double: the same accents on the double."""
+    import unicodedata as u
+
+    out = {}
+    for cp in [*range(0x370, 0x590), *range(0x1F00, 0x2000)]:
+        d = u.normalize("NFD", chr(cp))
+        if len(d) > 1 and d[0] in DOUBLES:
+            out[chr(cp)] = u.normalize("NFC", DOUBLES[d[0]] + d[1:])
+    return out
+
+
+DOUBLES |= _accented()
 #: Signs drawn alike.
 SIGNS = {
     "‐": "-", "‑": "-", "﹣": "-", "−": "-", "༌": "་", ";": ";", "·": "·", "`": "`", "․": ".", "‚": ",",
@@ -148,7 +164,6 @@ def dominant_script(token: str, of_text: str) -> str:
     return of_text
 
 
-_LATIN_WITH_DOUBLE = set(DOUBLES.values())
 #: The other direction: Latin letters inside a token of another script.
 BACK = {
     "Cyrillic": {v: k for k, v in CYRILLIC.items() if k not in "Һһ"},

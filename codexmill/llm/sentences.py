@@ -63,7 +63,7 @@ def _re() -> dict:
         _RE["token"] = re.compile(r"[\p{L}\p{M}\p{N}.]+$")
         _RE["next"] = re.compile(r"(\s*)[“„«‹「『‘(\[\"]*(\S?)")
         _RE["word"] = re.compile(r"[\p{L}\p{N}]")
-        _RE["odd"] = re.compile(r"[\p{Cf}\p{Zs}！-￮]")
+        _RE["odd"] = re.compile(r"[\p{Cf}\p{Zs}！-￮ɡɑͰ-֏ἀ-῿]")
         _RE["cjkmark"] = re.compile(r"[。.!?]")
         _RE["cjk"] = re.compile(r"[\p{Han}]")
         _RE["strip"] = re.compile(r"[\p{P}\p{S}]+")
@@ -71,9 +71,11 @@ def _re() -> dict:
 
 
 def simplify(text: str) -> tuple[str, list[int] | None]:
-    """Text in plain width without invisible characters, and where its characters come from."""
+    """Text in plain width and Latin look-alikes without invisible characters, and where its characters come from."""
     import unicodedata as u
 
+    from codexmill.llm.lookalike import DOUBLES
+
     if text.isascii() or not _re()["odd"].search(text):
         return text, None
     table: dict[int, str] = {}
@@ -81,7 +83,7 @@ def simplify(text: str) -> tuple[str, list[int] | None]:
     for c in set(text):
         if u.category(c) == "Cf":
             gone = True
-        elif len(n := u.normalize("NFKC", c)) == 1 and n != c:
+        elif len(n := DOUBLES.get(c) or u.normalize("NFKC", c)) == 1 and n != c:
             table[ord(c)] = n
     if not gone:
         return text.translate(table), None
@@ -128,7 +130,7 @@ def language_of(text: str, label: str | None) -> str:
         return "vi"
     if share["indic"] >= 0.02:
         return "indic"
-    if share["de"] >= 0.006:
+    if share["de"] >= (0.015 if label == "en" else 0.006):
         return "de"
     if label == "de" or (label in ("pli", "san", "vi") and letters < 40):
         return {"pli": "indic", "san": "indic"}.get(label, label)
@@ -160,7 +162,8 @@ def marks(s: str, lang: str) -> list[tuple[int, str, str, str]]:
             elif c in OPEN:
                 if c == "‘" and y < n and not s[y].isalnum():
                     continue
-                if any(s.find(q, y) >= 0 for q in OPEN[c]):
+                # An opener of the kind that is open already shows that the first was never closed.
+                if any(s.find(q, y) >= 0 for q in OPEN[c]) and not (c not in "([{" and stack and stack[-1] == OPEN[c]):
                     stack.append(OPEN[c])
             elif out and out[-1][0] == x and c not in "’":
                 e, kind, tok, _ = out[-1]

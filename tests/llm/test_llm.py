@@ -108,6 +108,7 @@ def test_sentences_by_rule(model):
     assert f("佛言：「善哉！善哉。」爾時。何？", "lzh") == ["佛言：「善哉！善哉。」", "爾時。", "何？"]
     assert f("中中也\n中也　中", "lzh") == ["中中也", "中也", "中"]
     assert f("中｡\n中｡", None) == ["中｡", "中｡"] and f("An end.​ B?", "en")[-1] == "B?"
+    assert f("問：「何也。答：「善。」去。", "lzh") == ["問：「何也。答：「善。」", "去。"] and f("See vоl. 3 now. End.", "en") == ["See vоl. 3 now.", "End."]
     assert f("", "en") == [] and f(" \n", "en") == [] and f("no mark", "en") == ["no mark"] and f("...", "en") == ["..."]
 
 
@@ -187,6 +188,7 @@ def test_repair_by_vocabulary(spark):
     rows = [(1, "the path of wind"), (2, "thе раth оf wind"), (3, "Это море и мир"), (4, "qаx alone")]
     u = {r.id: r.unified for r in lookalike.unify(df(spark, rows, "id long, raw_text string"), "raw_text").collect()}
     assert u[2] == u[1] and u[3] == rows[2][1] and u[4] == rows[3][1]
+    assert lookalike.fold(lookalike.plain("Lӓrm ӓ")) == "Lärm ä"
     assert lookalike.dominant_script("раth", "Latin") == "Latin" and lookalike.dominant_script("мир", "Latin") == "Cyrillic"
 
 
