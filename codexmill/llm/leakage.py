@@ -18,7 +18,8 @@ The item side is held in each task, so it is taken in blocks of at most
 ``BLOCK_CHARS`` characters; every block is set against all documents.
 
 Defined results: null and empty texts, and such with fewer than LENGTH letters and
-numbers, hold nothing; repeated items and documents each count for themselves.
+numbers, hold nothing; repeated items and documents each count for themselves;
+rows without an id are passed over.
 """
 
 from __future__ import annotations
@@ -176,8 +177,8 @@ def _probe(index, prefix) -> object:
 def leaked_passages(documents: DataFrame, items: DataFrame, length: int = LENGTH, k: int = SHINGLE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id): the documents that hold a passage of an item."""
     spark = documents.sparkSession
-    docs = documents.select("doc_id", "text").filter(F.length("text") > 0)
-    its = items.select("item_id", "text").filter(F.length("text") > 0)
+    docs = documents.select("doc_id", "text").filter("length(text) > 0 and doc_id is not null")
+    its = items.select("item_id", "text").filter("length(text) > 0 and item_id is not null")
     # Blocks by cumulated length; the items come one block at a time.
     out, part, chars = None, [], 0
 

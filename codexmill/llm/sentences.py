@@ -348,10 +348,15 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             s, _ = simplify(text)
             lang = language_of(s, label)
-            for _, kind, token, nxt in marks(s, lang):
+            seen: set[str] = set()
+            for _, kind, token, nxt in reversed(marks(s, lang)):
                 if nxt in ("joined", "punct") or kind == "dots" and nxt not in ("upper", "end"):
                     continue
                 k = "<ref>" if kind in ("mark", "danda", "shad") else kind_key(kind, token)
+                if k[0] != "<":
+                    if k in seen:  # a text that repeats a sentence tells no more of its last word
+                        continue
+                    seen.add(k)
                 n[lang, k] += 1
                 e[lang, k] += nxt == "end"
             if lang == "zh" and rx["cjkmark"].search(s):

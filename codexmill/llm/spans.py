@@ -21,8 +21,9 @@ No pairs are formed, and no group is collected. A record without any recurring
 phrase cannot share a window and isn't streamed through an automaton.
 
 Defined results: null texts and texts under ``length`` share nothing; copies of
-one text share all of it; a span repeated within one record only is no case;
-an empty table gives no rows.
+one text share all of it; a span repeated within one record only is no case, nor
+between rows of one id; rows without an id are not compared; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -138,7 +139,7 @@ def chosen_phrases(df: DataFrame, text: str, key: str, length: int, k: int) -> D
                 w, p, h, _, _ = choose(texts[i:j], length, k)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[i:j][w]), pa.array(p)], names=["h", "id", "pos"])
 
-    return df.filter(F.length(text) >= length).select(F.col(key).alias("id"), text).mapInArrow(run, "h long, id long, pos long")
+    return df.filter((F.length(text) >= length) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "h long, id long, pos long")
 
 
 def _stream(length: int, k: int):
@@ -174,7 +175,7 @@ def _stream(length: int, k: int):
 
 def shared_windows(df: DataFrame, text: str = "raw_text", key: str = "id", length: int = LENGTH, k: int = PHRASE) -> DataFrame:
     """(id, start_char, end_char): ranges of shared windows, not yet merged."""
-    src = df.filter(F.length(text) >= length).select(F.col(key).alias("id"), F.col(text).alias("text"))
+    src = df.filter((F.length(text) >= length) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     phrases = spool(chosen_phrases(df, text, key, length, k), "phrases")
     recurring = phrases.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("h")
     salted = recurring.select("h", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
