@@ -80,7 +80,8 @@ def term_counts(df: DataFrame, fields: dict[str, Column | None], flush: int = FL
 
 def mark_terms(counts: DataFrame, n_rows: int, common_share: float = 0.05, rare_records: int = 2) -> DataFrame:
     """``counts`` with ``mark``: common (held by at least that share of all rows), else rare, else null."""
-    mark = F.when(F.col("records") >= F.lit(common_share) * F.lit(n_rows), "common").when(F.col("records") <= rare_records, "rare")
+    # A quotient is rounded like the literal, a product need not be: 0.05 * 140 is over 7.
+    mark = F.when(F.col("records") / F.lit(max(n_rows, 1)) >= F.lit(common_share), "common").when(F.col("records") <= rare_records, "rare")
     return counts.withColumn("mark", mark)
 
 
