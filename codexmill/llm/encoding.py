@@ -64,6 +64,7 @@ class Codes:
 
         self.lead, self.cont = np.zeros(TOP, np.uint16), np.zeros(TOP, np.uint16)
         self.byte: dict[str, dict[int, int]] = {}
+        self.one: dict[str, re.Pattern] = {}
         self.seq: dict[str, re.Pattern] = {}
         self.run: dict[str, re.Pattern] = {}
         for i, code in enumerate(WRONG):
@@ -82,7 +83,8 @@ class Codes:
             k = cls(0x80, 0xBF)
             if code != "latin-1":
                 k = k[:-1] + "\x80-\x9f]"
-            self.seq[code] = re.compile(f"(?:{cls(0xC2, 0xDF)}{k}|{cls(0xE0, 0xEF)}{k}{{2}}|{cls(0xF0, 0xF4)}{k}{{3}})+")
+            one = f"(?:{cls(0xC2, 0xDF)}{k}|{cls(0xE0, 0xEF)}{k}{{2}}|{cls(0xF0, 0xF4)}{k}{{3}})"
+            self.one[code], self.seq[code] = re.compile(one), re.compile(one + "+")
             allowed = "".join(re.escape(c) for c in im) + "\x80-\x9f"
             self.run[code] = re.compile(f"[\x20-\x7e{allowed}]*[{allowed}][\x20-\x7e{allowed}]*")
 
@@ -104,13 +106,19 @@ def _points(texts: list[str]) -> np.ndarray:
 def traces(a: np.ndarray) -> np.ndarray:
     """Positions of traces of a wrong decoding among code points."""
     t = Codes.get()
-    hit = ((a >= 0x80) & (a < 0xA0)) | (a == 0xFFFD)
+    hit = _upper_run(a) | (a == 0xFFFD)
     if len(a) > 1:
         hit[:-1] |= (t.lead[a[:-1]] & t.cont[a[1:]]) != 0
-    high = (a >= 0xA0) & (a <= 0xFF)
+    return np.flatnonzero(hit)
+
+
+def _upper_run(a: np.ndarray) -> np.ndarray:
+    """C1 controls, and where four upper Latin-1 characters stand in a row."""
+    hit = (a >= 0x80) & (a < 0xA0)
     if len(a) > 3:
+        high = (a >= 0xA0) & (a <= 0xFF)
         hit[:-3] |= high[:-3] & high[1:-2] & high[2:-1] & high[3:]
-    return np.flatnonzero(hit)
+    return hit
 
 
 def _chunks(texts: list) -> Iterator[tuple[int, int]]:
@@ -172,7 +180,8 @@ class Model:
         p, c = a[:-1], a[1:]
         uni = (self.first[c] + 0.01) / self.total
         both = (p < 0x2E80) & (c < 0x2E80)
-        pair = np.where(both, self.two[_pair(p, c)] / (self.first[p] + 20.0), uni)
+        # Pairs share places in the table, so a pair can't count more than its first character.
+        pair = np.where(both, np.minimum(self.two[_pair(p, c)], self.first[p]) / (self.first[p] + 20.0), uni)
         return float(np.log(0.3 * uni + 0.7 * pair).sum())
 
 
@@ -199,9 +208,14 @@ def best_chain(m: Model, text: str, margin: float = MARGIN) -> tuple[str, str] |
     """The likeliest chain's name and result, if its gain is over the margin."""
     t = Codes.get()
     best: tuple[float, str, str] | None = None
-    for wrong in WRONG:
-        tries = [("utf-8", t.seq[wrong])]
-        if wrong in LEGACY_AS:
+    # Only codes under which the text has a lead byte before a continuation byte, and
+    # double-byte codes only where upper characters stand in a row, can be undone.
+    a = _points([text])
+    codes = int(np.bitwise_or.reduce(t.lead[a[:-1]] & t.cont[a[1:]])) if len(a) > 1 else 0
+    rows = _upper_run(a).any()
+    for i, wrong in enumerate(WRONG):
+        tries = [("utf-8", t.seq[wrong])] if codes >> i & 1 else []
+        if wrong in LEGACY_AS and rows:
             tries += [(true, t.run[wrong]) for true in LEGACY]
         for true, pattern in tries:
             gain, parts, at = 0.0, [], 0
@@ -210,6 +224,10 @@ def best_chain(m: Model, text: str, margin: float = MARGIN) -> tuple[str, str] |
                 if true != "utf-8" and sum(c > "\x7f" for c in s[0]) < 4:
                     continue
                 new = _undo(s[0], wrong, true)
+                if new is None and true == "utf-8":
+                    # One false sequence among true ones: undo each by itself.
+                    new = t.one[wrong].sub(lambda m: _undo(m[0], wrong, "utf-8") or m[0], s[0])
+                    new = None if new == s[0] else new
                 if new is None and true != "utf-8":
                     # A stretch may begin or end inside plain text: try its upper core.
                     x2 = x + next(i for i, c in enumerate(s[0]) if c > "\x7f")
@@ -218,6 +236,12 @@ def best_chain(m: Model, text: str, margin: float = MARGIN) -> tuple[str, str] |
                 if new is None:
                     continue
                 g = _gain(m, text, x, y, new)
+                if true == "utf-8":
+                    # A text garbled twice looks no better after one step: score the chain of two as well.
+                    for again in LEGACY_AS:
+                        two = t.one[again].sub(lambda k: _undo(k[0], again, "utf-8") or k[0], new)
+                        if two != new and (g2 := _gain(m, text, x, y, two)) > g:
+                            g, new = g2, two
                 if g > margin:
                     gain += g
                     parts += [text[at:x], new]
