@@ -11,6 +11,7 @@ from codexmill.functions import ids as I
 from codexmill.functions import text as X
 from codexmill.operators import search as S
 from codexmill.operators.order import neighbours, with_ordinal
+from codexmill.session import broadcast_within
 
 SHARD_BYTES, LOCATOR_BYTES = 512 * 1024, 8 * 1024 * 1024
 EXPORT = ("id", "corpus", "language", "collection_name", "work_id", "segment_id", "title", "raw_text", "source_path", "source_sha", "evidence_class", "text_role", "witness", "relation_ids", "sequence_no")
@@ -63,29 +64,37 @@ def surface_map(lemmas: DataFrame) -> DataFrame:
     return both.filter("surface <> '' and lemma <> ''").distinct()
 
 
-def locator_keys(records: DataFrame) -> DataFrame:
-    """(id, namespace, key, kind): Latin tokens, CJK bigrams and identifiers of every record."""
-    latin = records.select("id", F.explode(X.locator_tokens("raw_text", "title")).alias("t")).select("id", F.lit("latin").alias("namespace"), F.col("t.token").alias("key"), F.col("t.kind").alias("kind"))
-    c = records.select("id", "raw_text", X.compact("raw_text").alias("c"))
-    cjk = c.select("id", "raw_text", F.explode(X.cjk_bigrams(F.col("c"))).alias("key"))
-    cjk = cjk.select("id", F.lit("cjk").alias("namespace"), "key", F.when(F.contains("raw_text", "key"), "exact").otherwise("compact-unicode").alias("kind"))
-    ident = records.select("id", F.explode(F.array_distinct(F.array(X.normalize("work_id"), X.normalize("segment_id")))).alias("key")).filter("key <> ''")
-    return reduce(DataFrame.unionByName, [latin, cjk, ident.select("id", F.lit("identifier").alias("namespace"), "key", F.lit("exact").alias("kind"))])
+def locator_keys(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, namespace, key, kind, kept columns): Latin tokens, CJK bigrams and identifiers of every record."""
+    latin = records.select("id", *keep, F.explode(X.locator_tokens("raw_text", "title")).alias("t")).select("id", *keep, F.lit("latin").alias("namespace"), F.col("t.token").alias("key"), F.col("t.kind").alias("kind"))
+    c = records.select("id", *keep, "raw_text", X.compact("raw_text").alias("_c"))
+    cjk = c.select("id", *keep, "raw_text", F.explode(X.cjk_bigrams(F.col("_c"))).alias("key"))
+    cjk = cjk.select("id", *keep, F.lit("cjk").alias("namespace"), "key", F.when(F.contains("raw_text", "key"), "exact").otherwise("compact-unicode").alias("kind"))
+    ident = records.select("id", *keep, F.explode(F.array_distinct(F.array(X.normalize("work_id"), X.normalize("segment_id")))).alias("key")).filter("key <> ''")
+    return reduce(DataFrame.unionByName, [latin, cjk, ident.select("id", *keep, F.lit("identifier").alias("namespace"), "key", F.lit("exact").alias("kind"))])
+
+
+#: Entries of a lexicon up to which it is broadcast.
+LEXICON_ROWS = 500_000
 
 
 def locator(records: DataFrame, sharded: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
     """(namespace, bucket, key, corpus, shard, score, ordinal): of every key and shard the best record.
 
-    The winner has the highest score, then the least place in the export order.
-    Reduced in each task first, so a key held by all records costs a task one row a shard.
+    The winner has the highest score, then the least place in the export order. Shard
+    and place join the records before their keys are spelled out, so the many keys are
+    shuffled once, reduced in each task first: a key held by all records costs a task
+    one row a shard.
     """
-    k = locator_keys(records)
+    r = records.drop("corpus").join(sharded.select("id", "corpus", "shard", "ordinal"), "id")
+    keep = ("corpus", "shard", "ordinal", "evidence_class", "segment_id", "lemma_text")
+    j = locator_keys(r, keep)
     lemma = F.lit(False)
-    r = records.select("id", "evidence_class", "segment_id", "lemma_text").join(sharded.select("id", "corpus", "shard", "ordinal"), "id")
-    j = k.join(r, "id")
     if lemmas is not None:
-        m = surface_map(lemmas)
-        lem = k.filter("namespace = 'latin'").join(m, F.col("key") == m["surface"]).filter("lemma <> key").select("id", F.col("lemma").alias("key")).distinct().withColumn("_l", F.lit(True))
+        m = broadcast_within(surface_map(lemmas).toDF("_s", "_lemma").groupBy("_s").agg(F.collect_set("_lemma").alias("_ls")), LEXICON_ROWS)
+        # A key is a lemma of the record if another of its tokens has it as lemma, or its lemma text holds it.
+        lem = locator_keys(records.select("id", "raw_text", "title", "work_id", "segment_id")).filter("namespace = 'latin'").join(m, F.col("key") == F.col("_s"))
+        lem = lem.select("id", "key", F.explode("_ls").alias("_lemma")).filter("_lemma <> key").select("id", F.col("_lemma").alias("key")).distinct().withColumn("_l", F.lit(True))
         j = j.join(lem, ["id", "key"], "left")
         lemma = F.col("_l").isNotNull() | F.array_contains(F.split(F.coalesce("lemma_text", F.lit("")), r"\s+"), F.col("key"))
     j = j.withColumn("score", S.score(F.col("kind"), lemma))

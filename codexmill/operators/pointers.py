@@ -89,6 +89,28 @@ def hash_sample(values: DataFrame, value: str, n: int, category: str) -> DataFra
     return one.orderBy(h, "key").limit(n)
 
 
+def sample_queries(records: DataFrame, lemmas: DataFrame, latin: int = 200, cjk: int = 200, identifiers: int = 100, cjk_rows: int = 5000, rows_per_corpus: int = 1500) -> DataFrame:
+    """(category, query_kind, query, key): a stable sample of real search keys for benchmarks.
+
+    Latin: lemmas with a letter and without CJK. CJK: trigrams of the first ``cjk_rows``
+    Chinese rows. Identifiers: work ids of the first rows of every corpus. Of each kind
+    those of least hash; the limits are what a sample is.
+    """
+    if min(latin, cjk, identifiers) < 0:
+        raise ValueError("sample sizes must be non-negative")
+    lem = lemmas.select("lemma").filter(~X.has_cjk(F.col("lemma")) & F.col("lemma").rlike(r"\p{L}")).distinct()
+    place = ["corpus", "source_path", "sequence_no", "id"]
+    zh = records.filter("language in ('lzh', 'zh') and raw_text <> ''").orderBy(*place).limit(cjk_rows)
+    grams = zh.select(F.explode(X.cjk_trigram_sample(F.col("raw_text"))).alias("gram")).distinct()
+    ids = top_per(records.filter("trim(work_id) <> ''").select(*place, "work_id"), ["corpus"], [F.col(c) for c in place[1:]], rows_per_corpus).select("work_id").distinct()
+    parts = [("latin_romanized", "term", hash_sample(lem, "lemma", latin, "latin_romanized")), ("cjk", "term", hash_sample(grams, "gram", cjk, "cjk")), ("identifier", "identifier", hash_sample(ids, "work_id", identifiers, "identifier"))]
+    out = None
+    for category, kind, df in parts:
+        one = df.select(F.lit(category).alias("category"), F.lit(kind).alias("query_kind"), F.col("value").alias("query"), "key")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # ------------------------------------------------------------------ compaction
 
 

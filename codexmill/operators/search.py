@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codexmill.functions import text as X
@@ -73,6 +73,31 @@ def vocabulary(occurrences: DataFrame) -> DataFrame:
     return per.groupBy("term").agg(F.count("*").alias("doc"), F.sum("n").alias("cnt"))
 
 
+#: Buckets of a stored index; a fixed number, so that an index and its queries agree.
+BUCKETS = 64
+
+
+def _bucket(c: str) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(records: DataFrame, out: str, spread: int = 8) -> None:
+    """Stores the index of the records below ``out``, partitioned by bucket of the word or trigram.
+
+    A bucket is written by ``spread`` tasks, so that a word that many records hold is not one task's.
+    """
+    part = F.pmod(F.xxhash64("id"), F.lit(spread))
+    for name, df, key in (("postings", postings(records), "term"), ("trigrams", trigram_postings(records), "gram")):
+        df.withColumn("bucket", _bucket(key)).repartition("bucket", part).sortWithinPartitions("bucket", key, "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/{name}")
+    document_lengths(records).write.mode("overwrite").parquet(f"{out}/lengths")
+
+
+def read_index(spark: SparkSession, out: str) -> dict[str, DataFrame]:
+    """The stored index as the keyword arguments that ``search`` takes."""
+    read = spark.read.parquet
+    return {"post": read(f"{out}/postings"), "grams": read(f"{out}/trigrams"), "lengths": read(f"{out}/lengths")}
+
+
 # -------------------------------------------------------------------- queries
 
 
@@ -111,7 +136,10 @@ def terms_of(queries: DataFrame, forms: DataFrame) -> DataFrame:
 def phrase_hits(terms: DataFrame, post: DataFrame) -> DataFrame:
     """(query_id, term, id, tf): records with the term's words in a row within one column."""
     q = terms.select("query_id", "term", F.size("tokens").alias("n"), F.posexplode("tokens").alias("off", "tok"))
-    hit = q.join(post.withColumnRenamed("term", "tok"), "tok").withColumn("start", F.col("pos") - F.col("off"))
+    on = ["tok"]
+    if "bucket" in post.columns:  # a stored index: only the buckets of the queries' words are read
+        q, on = q.withColumn("bucket", _bucket("tok")), ["tok", "bucket"]
+    hit = q.join(post.withColumnRenamed("term", "tok"), on).withColumn("start", F.col("pos") - F.col("off"))
     single = hit.filter("n = 1").select("query_id", "term", "id")
     several = hit.filter("n > 1").groupBy("query_id", "term", "id", "col", "start", "n").agg(F.count_distinct("off").alias("k")).filter("k = n").select("query_id", "term", "id")
     return single.unionByName(several).groupBy("query_id", "term", "id").agg(F.count("*").alias("tf"))
@@ -141,7 +169,10 @@ def cjk_candidates(queries: DataFrame, grams: DataFrame, records: DataFrame, cap
     q = queries.filter("cjk is not null").select("query_id", "query", "cjk")
     g = q.select("query_id", F.explode(F.array_distinct(X.ngrams(F.col("cjk"), 3))).alias("gram"))
     n = g.groupBy("query_id").agg(F.count("*").alias("n"))
-    hit = g.join(grams, "gram").groupBy("query_id", "id").agg(F.count("*").alias("k")).join(n, "query_id").filter("k = n").select("query_id", "id")
+    on = ["gram"]
+    if "bucket" in grams.columns:
+        g, on = g.withColumn("bucket", _bucket("gram")), ["gram", "bucket"]
+    hit = g.join(grams, on).groupBy("query_id", "id").agg(F.count("*").alias("k")).join(n, "query_id").filter("k = n").select("query_id", "id")
     r = records.filter(F.col("language").isin("lzh", "zh")).select("id", "raw_text")
     hit = hit.join(q, "query_id").join(r, "id").withColumn("c", X.compact("raw_text")).filter(F.contains("c", "cjk"))
     if cap is None:

@@ -116,6 +116,19 @@ def evidence_checks(candidates: DataFrame, contract: DataFrame, opened: DataFram
     return j.withColumn("gate", gate).select(*c.columns, F.col("_q").alias("quote_status"), "checks", "gate")
 
 
+def verified_hits(hits: DataFrame, spans: DataFrame, quotes: DataFrame | None = None) -> DataFrame:
+    """Hits of a search with the excerpt found in their source and the status of its quotation.
+
+    hits: query_id, id, ... (``search``). spans: evidence_id (the record id as text),
+    excerpt, error (``sources.spans.resolve_spans``). quotes: id, quotation; without, the
+    excerpt itself is what is quoted. A hit whose source gives no excerpt stays UNVERIFIED.
+    """
+    s = spans.select(F.col("evidence_id").cast("long").alias("id"), "excerpt", "error")
+    j = hits.join(s, "id", "left")
+    j = j.join(quotes.select("id", "quotation"), "id", "left") if quotes is not None else j.withColumn("quotation", F.col("excerpt"))
+    return j.withColumn("quote_status", quote_status("quotation", "excerpt"))
+
+
 FAMILY = ["repository", "source_sha", "source_path", "work_id", "witness"]
 
 

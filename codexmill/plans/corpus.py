@@ -356,6 +356,21 @@ def hash_sample(s, d):
     return P.hash_sample(t(s, d, "lemmas"), "lemma", 200, "latin")
 
 
+@query(
+    """with l as (select 'latin_romanized' as category, 'term' as query_kind, min(lemma) as query, lower(lemma) as key from lemmas where lemma <> '' group by lower(lemma)),
+        z as (select * from records where language in ('lzh', 'zh') and raw_text <> '' order by corpus, source_path, sequence_no, id limit 5000),
+        runs as (select unnest(regexp_extract_all(raw_text, '[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{2FA1F}]+')) as r from z),
+        g as (select distinct substring(r, x.i, 3) as v from runs, lateral (select unnest(range(1, least(length(r) - 1, 33))) as i) x where length(r) >= 3),
+        c as (select 'cjk', 'term', min(v), nfc_normalize(v) as k from g group by k),
+        w as (select work_id from (select work_id, row_number() over (partition by corpus order by source_path, sequence_no, id) as k from records where trim(work_id) <> '') where k <= 1500),
+        i as (select 'identifier', 'identifier', min(work_id), regexp_replace(trim(lower(work_id)), '\\s+', ' ', 'g') as k from w group by k)
+       (select * from l order by sha256('latin_romanized' || chr(0) || key), key limit 200)
+       union all (select * from c order by sha256('cjk' || chr(0) || k), k limit 200) union all (select * from i order by sha256('identifier' || chr(0) || k), k limit 100)"""
+)
+def sample_queries(s, d):
+    return P.sample_queries(t(s, d, "records"), t(s, d, "lemmas"))
+
+
 @query("select id, substr(sha256(source_path), 1, 2) as bucket from records")
 def hash_bucket(s, d):
     return t(s, d, "records").select("id", I.bucket(F.col("source_path")).alias("bucket"))
