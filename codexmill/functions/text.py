@@ -174,31 +174,39 @@ def latin_token(t: str) -> bool:
 
 
 _WORD = re.compile(r"[^\W_]+")
+_TOKENS: dict[str, bool] = {}
 
 
-@F.pandas_udf(TOKENS)
-def locator_tokens(raw: pd.Series, title: pd.Series) -> pd.Series:
-    """Latin tokens of a text, each with the best kind of match under which a search would find it.
+def _is_latin_token(t: str) -> bool:
+    """``latin_token`` with a memory of bounded size."""
+    ok = _TOKENS.get(t)
+    if ok is None:
+        if len(_TOKENS) > 200_000:
+            _TOKENS.clear()
+        ok = _TOKENS[t] = latin_token(t)
+    return ok
+
+
+def locator_kinds(text: str, title: str) -> dict[str, str]:
+    """Latin tokens of a text and the best kind of match under which a search would find each.
 
-    exact before normalized before folded; tokens of the title only: fts.
+    exact (the token stands so in the text) before normalized before folded; tokens of
+    the title only: fts.
     """
+    norm = set(_WORD.findall(normalize_text(text)))
+    raw = norm.intersection(_WORD.findall(text))
+    out: dict[str, str] = {}
+    for kind, words in (("exact", raw), ("normalized", norm), ("diacritic-folded", _WORD.findall(fold_text(text))), ("fts", _WORD.findall(normalize_text(title) + " " + fold_text(title)))):
+        for w in words:
+            if w not in out and _is_latin_token(w):
+                out[w] = kind
+    return out
 
-    def one(t: str | None, head: str | None) -> list[dict]:
-        t = t or ""
-        out: dict[str, str] = {}
-        for kind, words in (
-            ("exact", _WORD.findall(t)),
-            ("normalized", _WORD.findall(normalize_text(t))),
-            ("diacritic-folded", _WORD.findall(fold_text(t))),
-            ("fts", _WORD.findall(normalize_text(head or ""))),
-        ):
-            for w in words:
-                n = normalize_text(w)
-                if n == w and latin_token(w):
-                    out.setdefault(w, kind)
-        return [{"token": k, "kind": v} for k, v in sorted(out.items())]
-
-    return pd.Series([one(t, h) for t, h in zip(raw, title)], dtype=object)
+
+@F.pandas_udf(TOKENS)
+def locator_tokens(raw: pd.Series, title: pd.Series) -> pd.Series:
+    """``locator_kinds`` as an array of structs."""
+    return pd.Series([[{"token": k, "kind": v} for k, v in locator_kinds(t or "", h or "").items()] for t, h in zip(raw, title)], dtype=object)
 
 
 def register(spark) -> None:

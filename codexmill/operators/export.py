@@ -86,18 +86,25 @@ def locator(records: DataFrame, sharded: DataFrame, lemmas: DataFrame | None = N
     shuffled once, reduced in each task first: a key held by all records costs a task
     one row a shard.
     """
-    r = records.drop("corpus").join(sharded.select("id", "corpus", "shard", "ordinal"), "id")
-    keep = ("corpus", "shard", "ordinal", "evidence_class", "segment_id", "lemma_text")
-    j = locator_keys(r, keep)
+    # What a key's score needs of its record travels as one number and one list.
+    base = S.score(F.lit("exact"), F.lit(False)) - S.MATCH_SCORE["exact"]
+    r = records.drop("corpus").join(sharded.select("id", "corpus", "shard", "ordinal"), "id").withColumn("_base", base)
+    r = r.withColumn("_lt", F.split(F.coalesce("lemma_text", F.lit("")), r"\s+"))
+    place = ("corpus", "shard", "ordinal", "_base")
+    j = locator_keys(r, (*place, "_lt")).withColumn("_in", F.array_contains("_lt", F.col("key"))).drop("_lt")
     lemma = F.lit(False)
     if lemmas is not None:
         m = broadcast_within(surface_map(lemmas).toDF("_s", "_lemma").groupBy("_s").agg(F.collect_set("_lemma").alias("_ls")), LEXICON_ROWS)
         # A key is a lemma of the record if another of its tokens has it as lemma, or its lemma text holds it.
-        lem = locator_keys(records.select("id", "raw_text", "title", "work_id", "segment_id")).filter("namespace = 'latin'").join(m, F.col("key") == F.col("_s"))
-        lem = lem.select("id", "key", F.explode("_ls").alias("_lemma")).filter("_lemma <> key").select("id", F.col("_lemma").alias("key")).distinct().withColumn("_l", F.lit(True))
+        toks = records.select("id", F.explode(X.locator_tokens("raw_text", "title")).alias("t")).select("id", F.col("t.token").alias("key"))
+        lem = toks.join(m, F.col("key") == F.col("_s")).select("id", "key", F.explode("_ls").alias("_lemma")).filter("_lemma <> key")
+        lem = lem.select("id", F.col("_lemma").alias("key")).distinct().withColumn("_l", F.lit(True))
         j = j.join(lem, ["id", "key"], "left")
-        lemma = F.col("_l").isNotNull() | F.array_contains(F.split(F.coalesce("lemma_text", F.lit("")), r"\s+"), F.col("key"))
-    j = j.withColumn("score", S.score(F.col("kind"), lemma))
+        lemma = F.col("_l").isNotNull() | F.col("_in")
+    kind = F.when(F.lit(False), 0)
+    for k, v in S.MATCH_SCORE.items():
+        kind = kind.when(F.col("kind") == k, v)
+    j = j.withColumn("score", (F.col("_base") + kind + F.when(lemma, S.LEMMA_SCORE).otherwise(0)).cast("long"))
     best = F.max_by(F.struct("score", "ordinal"), F.struct("score", -F.col("ordinal")))
     out = j.groupBy("namespace", "key", "corpus", "shard").agg(best.alias("b"))
     return out.select("namespace", I.bucket(F.col("key")).alias("bucket"), "key", "corpus", "shard", "b.score", "b.ordinal")

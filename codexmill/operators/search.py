@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from codexmill.functions import text as X
 from codexmill.operators.lookup import top_per
+from codexmill.session import broadcast_within, spool
 
 #: Weights of evidence classes and scores of match kinds.
 CLASS_WEIGHT = {
@@ -31,6 +32,8 @@ MATCH_SCORE = {"exact": 120, "normalized": 95, "diacritic-folded": 75, "compact-
 LEMMA_SCORE, SEGMENT_SCORE = 80, 5
 #: BM25 of the word index.
 K1, B = 1.2, 0.75
+#: Words of all queries, and candidates, up to which they are broadcast (some 100 bytes each).
+BROADCAST_TERMS, BROADCAST_CANDIDATES = 200_000, 50_000
 #: Queries one scan may take.
 SCAN_QUERIES = 1000
 COLUMNS = ("raw_text", "norm_text", "folded_text", "compact_text", "lemma_text", "title")
@@ -139,7 +142,8 @@ def phrase_hits(terms: DataFrame, post: DataFrame) -> DataFrame:
     on = ["tok"]
     if "bucket" in post.columns:  # a stored index: only the buckets of the queries' words are read
         q, on = q.withColumn("bucket", _bucket("tok")), ["tok", "bucket"]
-    hit = q.join(post.withColumnRenamed("term", "tok"), on).withColumn("start", F.col("pos") - F.col("off"))
+    q = broadcast_within(q, BROADCAST_TERMS)  # few words: the postings are filtered where they are read
+    hit = post.withColumnRenamed("term", "tok").join(q, on).withColumn("start", F.col("pos") - F.col("off"))
     single = hit.filter("n = 1").select("query_id", "term", "id")
     several = hit.filter("n > 1").groupBy("query_id", "term", "id", "col", "start", "n").agg(F.count_distinct("off").alias("k")).filter("k = n").select("query_id", "term", "id")
     return single.unionByName(several).groupBy("query_id", "term", "id").agg(F.count("*").alias("tf"))
@@ -172,7 +176,7 @@ def cjk_candidates(queries: DataFrame, grams: DataFrame, records: DataFrame, cap
     on = ["gram"]
     if "bucket" in grams.columns:
         g, on = g.withColumn("bucket", _bucket("gram")), ["gram", "bucket"]
-    hit = g.join(grams, on).groupBy("query_id", "id").agg(F.count("*").alias("k")).join(n, "query_id").filter("k = n").select("query_id", "id")
+    hit = grams.join(broadcast_within(g, BROADCAST_TERMS), on).groupBy("query_id", "id").agg(F.count("*").alias("k")).join(n, "query_id").filter("k = n").select("query_id", "id")
     r = records.filter(F.col("language").isin("lzh", "zh")).select("id", "raw_text")
     hit = hit.join(q, "query_id").join(r, "id").withColumn("c", X.compact("raw_text")).filter(F.contains("c", "cjk"))
     if cap is None:
@@ -225,13 +229,16 @@ def scored(candidates: DataFrame, queries: DataFrame, records: DataFrame, forms:
     fs = fs.withColumn("_f", X.forms("surface")).groupBy("query_id").agg(F.collect_set(F.struct(F.col("surface").alias("f"), F.col("_f.folded").alias("d"), F.col("_f.compact").alias("c"))).alias("others"))
     keep = ["id", "corpus", "language", "work_id", "segment_id", "source_path", "sequence_no", "evidence_class", "text_role", "witness", "source_sha"]
     r = records.select(*keep, "raw_text", "norm_text", "folded_text", "compact_text", "lemma_text")
-    c = candidates.join(r, "id").join(queries, "query_id").join(fs, "query_id", "left")
-    if derive_missing:
-        lack = F.col("cjk").isNotNull() & F.col("language").isin("lzh", "zh")
-        c = c.withColumn("_d", X.forms(F.when(lack, F.col("raw_text"))))
-        for col, d in (("norm_text", "norm"), ("folded_text", "folded"), ("compact_text", "compact")):
-            c = c.withColumn(col, F.when(lack & (F.coalesce(F.col(col), F.lit("")) == ""), F.col(f"_d.{d}")).otherwise(F.col(col)))
-        c = c.drop("_d")
+    # Blanked forms of Chinese rows are derived once a record, not once a candidate.
+    zh = F.coalesce(F.col("language").isin("lzh", "zh"), F.lit(False)) if derive_missing else F.lit(False)
+    blank = lambda k: F.coalesce(F.col(k), F.lit("")) == ""
+    lack = zh & (blank("norm_text") | blank("folded_text") | blank("compact_text"))
+    r = r.withColumn("_d", X.forms(F.when(lack, F.col("raw_text"))))
+    pairs = (("norm_text", "norm"), ("folded_text", "folded"), ("compact_text", "compact"))
+    r = r.select(*keep, "raw_text", *[k for k, _ in pairs], "lemma_text", *[F.when(zh & blank(k), F.col(f"_d.{d}")).alias(f"_{d}") for k, d in pairs])
+    c = r.join(candidates, "id").join(queries, "query_id").join(fs, "query_id", "left")
+    for k, d in pairs:
+        c = c.withColumn(k, F.when(F.col("cjk").isNotNull(), F.coalesce(f"_{d}", k)).otherwise(F.col(k))).drop(f"_{d}")
     w, s = F.coalesce("work_id", F.lit("\x00")), F.coalesce("segment_id", F.lit("\x00"))
     at = places.select(F.col("query_id"), F.coalesce("work_id", F.lit("\x00")).alias("_w"), F.coalesce("segment_id", F.lit("\x00")).alias("_s"), F.lit(True).alias("placed")).distinct()
     c = c.withColumn("_w", w).withColumn("_s", s).join(at, ["query_id", "_w", "_s"], "left")
@@ -263,8 +270,10 @@ def search(
     q = with_forms(queries.select("query_id", "query"))
     forms, places = lemma_forms(q, lemmas), lemma_places(q, lemmas)
     hits = phrase_hits(terms_of(q, forms), post if post is not None else postings(records))
-    allowed = None
     filters = [c for c in ("language", "corpus") if c in queries.columns]
+    if cap is not None or filters:
+        hits = spool(hits, "hits")  # the cap, its statistics and the filters all read them
+    allowed = None
     if filters:
         r = records.select("id", "language", "corpus")
         f = queries.select("query_id", *[F.col(c).alias(f"_{c}") for c in filters])
@@ -274,14 +283,17 @@ def search(
         word = hits.select("query_id", "id").distinct()
         word = word.join(allowed, ["query_id", "id"], "left_semi") if allowed is not None else word
     else:
-        word = capped(hits, lengths if lengths is not None else document_lengths(records), cap, allowed)
+        word = capped(hits, lengths if lengths is not None else spool(document_lengths(records), "lengths"), cap, allowed)
     cjk = cjk_candidates(q, grams if grams is not None else trigram_postings(records), records, cap)
     if filters:
         r = records.select("id", "language", "corpus")
         f = queries.select("query_id", *[F.col(c).alias(f"_{c}") for c in filters])
         on = reduce(Column.__and__, [F.col(f"_{c}").isNull() | (F.col(f"_{c}") == F.col(c)) for c in filters])
         cjk = cjk.join(r, "id").join(f, "query_id").filter(on).select("query_id", "id")
-    found = scored(word.unionByName(cjk).distinct(), q, records, forms, places)
+    found = word.unionByName(cjk).distinct()
+    if cap is not None:  # few: the records are filtered where they are read
+        found = broadcast_within(spool(found, "candidates"), BROADCAST_CANDIDATES)
+    found = scored(found, q, records, forms, places)
     return top_per(found, ["query_id"], rank_order(), limit)
 
 

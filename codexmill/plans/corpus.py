@@ -21,6 +21,7 @@ from codexmill.operators import resolve as R
 from codexmill.operators import search as S
 from codexmill.operators import tables as T
 from codexmill.operators import verify as V
+from codexmill.session import spool
 from codexmill.session import table as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,8 +212,8 @@ def fts_phrase(s, d):
 def bm25_scores(s, d):
     q = S.with_forms(_lemmas(s, d))
     r = t(s, d, "records")
-    hits = S.phrase_hits(S.terms_of(q, S.lemma_forms(q, t(s, d, "lemmas"))), S.postings(r))
-    return S.bm25(hits, S.document_lengths(r)).select(F.col("query_id").alias("query"), "term", "id", F.round("bm25", 6).alias("bm25"))
+    hits = spool(S.phrase_hits(S.terms_of(q, S.lemma_forms(q, t(s, d, "lemmas"))), S.postings(r)), "hits")
+    return S.bm25(hits, spool(S.document_lengths(r), "lengths")).select(F.col("query_id").alias("query"), "term", "id", F.round("bm25", 6).alias("bm25"))
 
 
 @query(f"with {_TERMS} select query, surface from form")
