@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +25,20 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
     )
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
-    return b.getOrCreate()
+    return ship(b.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Gives the executors this package, once a SparkContext; their Python need not have it installed."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_codexmill_shipped", False):
+        root = Path(__file__).resolve().parent
+        tmp = Path(tempfile.mkdtemp(prefix="codexmill-"))  # on the driver, which serves the file to the executors
+        atexit.register(shutil.rmtree, tmp, ignore_errors=True)
+        shutil.copytree(root, tmp / "src" / root.name, ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(str(tmp / root.name), "zip", tmp / "src"))
+        sc._codexmill_shipped = True
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
