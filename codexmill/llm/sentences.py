@@ -261,7 +261,7 @@ def viterbi(emit: list[float], linked: list[bool]) -> list[bool]:
     best = [0.0, -math.inf]  # inside, boundary
     back: list[tuple[int, int]] = []
     for p, tie in zip(emit, linked):
-        i_from = 0 if best[0] >= best[1] else 1
+        i_from = 0 if best[0] > best[1] else 1  # of two marks in a row the later one ends the sentence
         b_from = 0 if tie else i_from
         back.append((i_from, b_from))
         best = [best[i_from] + math.log(max(1 - p, lo)), best[b_from] + math.log(max(p, lo))]
@@ -299,9 +299,12 @@ def sentences(text: str, label: str | None, em: Emissions) -> list[tuple[int, in
     else:
         cand = marks(s, lang)
         emit = [em.boundary(lang, k, t, n) for _, k, t, n in cand]
-        linked, prev = [], 0
-        for e, *_ in cand:
+        linked, prev, read = [], 0, False
+        for i, (e, *_) in enumerate(cand):
             linked.append(not rx["word"].search(s, prev, e))
+            read |= not linked[-1]
+            if not read:  # marks before any word belong to the first sentence
+                emit[i] = 0.0
             prev = e
         cuts = [e for (e, *_), b in zip(cand, viterbi(emit, linked)) if b]
     out, a, n = [], 0, len(text)

@@ -109,6 +109,7 @@ def test_sentences_by_rule(model):
     assert f("中中也\n中也　中", "lzh") == ["中中也", "中也", "中"]
     assert f("中｡\n中｡", None) == ["中｡", "中｡"] and f("An end.​ B?", "en")[-1] == "B?"
     assert f("問：「何也。答：「善。」去。", "lzh") == ["問：「何也。答：「善。」", "去。"] and f("See vоl. 3 now. End.", "en") == ["See vоl. 3 now.", "End."]
+    assert f("ka | | kha | ga", "san") == ["ka | |", "kha |", "ga"] and f("! One. Two.", "en") == ["! One.", "Two."]
     assert f("", "en") == [] and f(" \n", "en") == [] and f("no mark", "en") == ["no mark"] and f("...", "en") == ["..."]
 
 
