@@ -16,6 +16,7 @@ from codexmill.functions import text as X
 def _joins(c: str) -> bool:
     """Whether a character belongs to a word that a quotation must not cut (CJK has no such words)."""
     cp = ord(c)
+    # The narrow CJK ranges.
     if 0x3400 <= cp <= 0x4DBF or 0x4E00 <= cp <= 0x9FFF or 0xF900 <= cp <= 0xFAFF or 0x20000 <= cp <= 0x2FA1F:
         return False
     return c.isalnum() or unicodedata.category(c)[0] == "M"
