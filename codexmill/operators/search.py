@@ -151,13 +151,14 @@ def phrase_hits(terms: DataFrame, post: DataFrame) -> DataFrame:
 
 def bm25(hits: DataFrame, lengths: DataFrame) -> DataFrame:
     """hits with ``bm25`` (larger is better)."""
-    stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    # Two numbers of the whole collection; literals, so that nothing is crossed with them.
+    stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
+    n_docs, avg_len = F.lit(stats.n), F.lit(stats.avg or 1.0)
     n = hits.groupBy("query_id", "term").agg(F.count("*").alias("n"))
-    idf = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = F.greatest(idf, F.lit(1e-6))
+    idf = F.greatest(F.log((n_docs - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     tf = F.col("tf")
-    score = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return hits.join(n, ["query_id", "term"]).join(lengths, "id").crossJoin(F.broadcast(stats)).select(*hits.columns, score.alias("bm25"))
+    score = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / avg_len))
+    return hits.join(n, ["query_id", "term"]).join(lengths, "id").select(*hits.columns, score.alias("bm25"))
 
 
 def capped(hits: DataFrame, lengths: DataFrame, cap: int, allowed: DataFrame | None = None) -> DataFrame:

@@ -58,7 +58,7 @@ def _lemmas(s: SparkSession, d: str) -> DataFrame:
 
 @query(
     """select * from (
-        select id, offs as "offset", case offs when -2 then lag(id, 2) over w when -1 then lag(id) over w when 1 then lead(id) over w else lead(id, 2) over w end as neighbour
+        select id, cast(offs as bigint) as "offset", case offs when -2 then lag(id, 2) over w when -1 then lag(id) over w when 1 then lead(id) over w else lead(id, 2) over w end as neighbour
         from records, (values (-2), (-1), (1), (2)) v(offs)
         window w as (partition by corpus, work_id, source_path, offs order by sequence_no, id)) where neighbour is not null"""
 )
@@ -115,15 +115,17 @@ def compare_groups(s, d):
 
 @query(
     """with v as (select r.id, count(v.id) as n from records r join variants v on v.work_id = r.work_id or (r.segment_id <> '' and starts_with(v.segment_id, r.segment_id)) group by r.id)
-       select r.id, r.source_path, r.source_sha, list_concat(
-           case when lag(r.id, 2) over w is null then [] else [lag(r.id, 2) over w] end, case when lag(r.id) over w is null then [] else [lag(r.id) over w] end) as before,
-         list_concat(case when lead(r.id) over w is null then [] else [lead(r.id) over w] end, case when lead(r.id, 2) over w is null then [] else [lead(r.id, 2) over w] end) as after,
+       select r.id, r.source_path, r.source_sha, array_to_string(list_concat(
+           case when lag(r.id, 2) over w is null then [] else [lag(r.id, 2) over w] end, case when lag(r.id) over w is null then [] else [lag(r.id) over w] end), ',') as before,
+         array_to_string(list_concat(case when lead(r.id) over w is null then [] else [lead(r.id) over w] end, case when lead(r.id, 2) over w is null then [] else [lead(r.id, 2) over w] end), ',') as after,
          coalesce(v.n, 0) as n_variants
        from records r left join v on v.id = r.id
        window w as (partition by r.corpus, r.work_id, r.source_path order by r.sequence_no, r.id)"""
 )
 def evidence_bundle(s, d):
-    return L.evidence(t(s, d, "records"), t(s, d, "variants")).select("id", "source_path", "source_sha", "before", "after", "n_variants")
+    e = L.evidence(t(s, d, "records"), t(s, d, "variants"))
+    ids = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return e.select("id", "source_path", "source_sha", ids("before"), ids("after"), "n_variants")
 
 
 @query("select w.work_id as identifier, count(r.id) > 0 as found from (select distinct work_id from works) w left join records r on r.work_id = w.work_id group by w.work_id")
@@ -412,8 +414,9 @@ def compact_roundtrip(s, d):
     rows = rows.select("query_id", "rank", "score", "match_reasons", *static, I.content_id(*static, names=list(P.STATIC)).alias("pointer_id"))
     refs, tab = P.compact(rows)
     back = P.reconstruct(refs, tab)
-    lost = T.setdiff(rows, back).agg(F.count("*").alias("n_lost"))
-    return rows.agg(F.count("*").alias("n_rows")).crossJoin(lost).crossJoin(tab.agg(F.count("*").alias("n_pointers")))
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("k"), "n") for k, df in (("n_rows", rows), ("n_lost", T.setdiff(rows, back)), ("n_pointers", tab))]
+    one = lambda k: F.coalesce(F.sum(F.when(F.col("k") == k, F.col("n"))), F.lit(0)).alias(k)
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).agg(one("n_rows"), one("n_lost"), one("n_pointers"))
 
 
 @query("select query, 'missing' as problem from (select distinct lemma as query from lemmas) where query not in (select surface from lemmas where surface is not null)")
