@@ -1,0 +1,16 @@
+"""Shapes of the physical plans of the queries over training texts."""
+
+import re
+
+import pytest
+
+from codexmill.llm import queries
+
+SF = "/root/testdata/sf0.001"
+ALL = queries.queries()
+
+
+@pytest.mark.parametrize("name", ALL)
+def test_no_nested_loops(spark, name):
+    p = ALL[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("CartesianProduct|NestedLoop", p)
