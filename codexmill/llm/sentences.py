@@ -46,6 +46,8 @@ KNOWN_WEIGHT = 40
 #: A token is judged on its own once it should have ended this many texts.
 SURE = 8.0
 FLUSH = 200_000
+#: Least log-odds that a break of layout, or its absence, gives in unpunctuated Chinese.
+LAYOUT = 12.0
 
 OPEN = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "‘": "’", "(": ")", "[": "]", "{": "}", "《": "》", "〈": "〉", '"': '"'}
 CLOSE = set("”»›」』’)]}》〉“\"")
@@ -236,6 +238,10 @@ class Emissions:
                         self.p[g, k] = p
         m = sum(b for b, _ in zh.values()) + 1.0
         o = sum(i for _, i in zh.values()) + 1.0
+        # Training text has a break after every boundary and nowhere else; the more of it, the surer. At
+        # least LAYOUT, as the layout decides in unpunctuated text.
+        self.brk = max(LAYOUT, math.log((m + 0.5) / (m + 1)) - math.log(0.5 / (o + 1)))
+        self.no_brk = min(-LAYOUT, math.log(0.5 / (m + 1)) - math.log((o + 0.5) / (o + 1)))
         self.zh = {c: math.log((b + 0.5) / (m + 500)) - math.log((i + 0.5) / (o + 500)) for c, (b, i) in zh.items()}
 
     def boundary(self, lang: str, kind: str, token: str, nxt: str) -> float:
@@ -280,8 +286,7 @@ def _chinese_breaks(s: str, em: Emissions) -> list[int]:
         if c.isspace():
             continue
         brk = i + 1 < len(s) and s[i + 1].isspace()
-        # In training text a boundary is always followed by a break, and nothing else is.
-        z = em.zh.get(c, 0.0) + (25.0 if brk else -25.0)
+        z = em.zh.get(c, 0.0) + (em.brk if brk else em.no_brk)
         ends.append(i + 1)
         emit.append(1 / (1 + math.exp(-z)))
     return [e for e, b in zip(ends, viterbi(emit, [False] * len(emit))) if b]

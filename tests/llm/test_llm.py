@@ -281,3 +281,11 @@ def test_garbled_texts_are_found_and_restored(spark):
     assert not set(want) - set(got), "garbled texts missed"
     right = sum(got[i].restored == t for i, t in want.items() if t)
     assert right >= 0.95 * sum(t is not None for t in want.values())
+
+
+def test_margin_on_held_out_texts(spark):
+    """The model is trained on documents other than those that are garbled."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = encoding.train(docs.filter("doc_id % 2 = 0").select("text"))
+    got = encoding.validate_margin(docs.filter("doc_id % 2 = 1").select("text"), model, held_out=120)
+    assert got["garbled"] > 500 and got["found"] >= 0.99 and got["restored"] >= 0.95 and got["false"] <= 0.01, got
