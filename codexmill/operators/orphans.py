@@ -12,6 +12,7 @@ Defined results
 * null reference time: only ``missing`` can be told, else no case.
 * null ``valid_from``: the row holds from the beginning of time.
 * empty targets: every reference with a key is ``missing``.
+* columns of the references must not begin with an underscore.
 """
 
 from __future__ import annotations
@@ -21,21 +22,47 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codexmill.operators.order import with_ordinal
 from codexmill.session import broadcast_within
 
 #: Target keys up to this count are broadcast (about 100 bytes each).
 BROADCAST_KEYS = 200_000
+#: Intervals of one key that are held as an array; beyond, references and intervals are swept in order.
+MAX_SPANS = 1000
 
 
-def target_spans(targets: DataFrame, keys: list[str], valid_from: str, valid_to: str) -> DataFrame:
-    """One row a key: its intervals, and the first moment any of them begins."""
+def target_spans(targets: DataFrame, keys: list[str], valid_from: str, valid_to: str, with_spans: bool = True) -> DataFrame:
+    """One row a key: its intervals, and the first moment any of them begins (null: from ever)."""
     t = targets.select(*keys, F.col(valid_from).alias("_a"), F.col(valid_to).alias("_b"))
     for k in keys:
         t = t.filter(F.col(k).isNotNull())
-    return t.groupBy(*keys).agg(
-        F.collect_set(F.struct("_a", "_b")).alias("_spans"),
-        F.when(F.count_if(F.col("_a").isNull()) == 0, F.min("_a")).alias("_first"),
-    )
+    first = F.when(F.count_if(F.col("_a").isNull()) == 0, F.min("_a")).alias("_first")
+    spans = [F.collect_set(F.struct("_a", "_b")).alias("_spans")] if with_spans else []
+    return t.groupBy(*keys).agg(first, F.lit(True).alias("_any"), *spans)
+
+
+def _holds_by_sweep(part: DataFrame, targets: DataFrame, pairs: list[tuple[str, str]], at: str, valid_from: str, valid_to: str) -> DataFrame:
+    """``part`` with ``_holds``: whether an interval of its key is open at ``at``.
+
+    References and the ends of intervals are put in one order by key and time, and the
+    open intervals counted by a running total. Each interval opens and closes within
+    its key, so the total over the whole order counts within the key, and no key, however
+    hot, is one task's.
+    """
+    kind = targets.schema[valid_from].dataType.simpleString()
+    keys = [F.col(c).alias(f"_k{i}") for i, (_, c) in enumerate(pairs)]
+    t = targets.select(*keys, F.col(valid_from).alias("_a"), F.coalesce(F.col(valid_to), F.lit("9999-12-31").cast(kind)).alias("_b"))
+    for i in range(len(pairs)):
+        t = t.filter(F.col(f"_k{i}").isNotNull())
+    t = t.filter("_a is null or _a < _b")
+    none = F.lit(None).cast(part.select(F.struct(*[F.col(c) for c in part.columns]).alias("r")).schema["r"].dataType)
+    ks = [f"_k{i}" for i in range(len(pairs))]
+    ends = t.select(*ks, F.col("_a").alias("_t"), F.lit(1).alias("_o"), F.lit(1).cast("long").alias("_d"), none.alias("_r"))
+    ends = ends.unionByName(t.select(*ks, F.col("_b").alias("_t"), F.lit(0).alias("_o"), F.lit(-1).cast("long").alias("_d"), none.alias("_r")))
+    row = F.struct(*[F.col(c) for c in part.columns])
+    refs = part.select(*[F.col(r).alias(f"_k{i}") for i, (r, _) in enumerate(pairs)], F.col(at).cast(kind).alias("_t"), F.lit(2).alias("_o"), F.lit(0).cast("long").alias("_d"), row.alias("_r"))
+    order = with_ordinal(refs.unionByName(ends), [*ks, "_t", "_o"], "_n", F.col("_d"), "_open")
+    return order.filter("_o = 2").select("_r.*", (F.col("_open") > 0).alias("_holds"))
 
 
 def find_orphans(
@@ -46,6 +73,7 @@ def find_orphans(
     valid_from: str,
     valid_to: str,
     match: str = "partial",
+    max_spans: int = MAX_SPANS,
 ) -> DataFrame:
     """``refs`` plus ``status``, for references to which no target held at ``at``.
 
@@ -69,21 +97,21 @@ def find_orphans(
         if not all(mask) and match == "full":
             hit = part.withColumn("status", F.lit("missing"))
         else:
-            spans = target_spans(targets, [keys[r] for r in present], valid_from, valid_to)
-            spans = spans.select(*[F.col(keys[r]).alias(f"_k{i}") for i, r in enumerate(present)], "_spans", "_first")
+            own = [keys[r] for r in present]
+            grouped = targets.groupBy(*own).agg(F.count_distinct(valid_from, F.coalesce(F.col(valid_to), F.col(valid_from))).alias("n"))
+            sweep = (grouped.agg(F.max("n")).first()[0] or 0) > max_spans
+            spans = target_spans(targets, own, valid_from, valid_to, with_spans=not sweep)
+            spans = spans.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(own)], *[c for c in spans.columns if c.startswith("_")])
             spans = broadcast_within(spans, BROADCAST_KEYS)
+            if sweep:
+                part = _holds_by_sweep(part, targets, [(r, keys[r]) for r in present], at, valid_from, valid_to)
             on = None
             for i, r in enumerate(present):
-                c = part[r] == spans[f"_k{i}"]
+                c = F.col(r) == F.col(f"_k{i}")
                 on = c if on is None else on & c
             t = F.col(at)
-            holds = F.exists("_spans", lambda s: (s["_a"].isNull() | (s["_a"] <= t)) & (s["_b"].isNull() | (s["_b"] > t)))
-            status = (
-                F.when(F.col("_spans").isNull(), "missing")
-                .when(t.isNull() | holds, None)
-                .when(F.col("_first") > t, "late")
-                .otherwise("deleted")
-            )
+            holds = F.col("_holds") if sweep else F.exists("_spans", lambda s: (s["_a"].isNull() | (s["_a"] <= t)) & (s["_b"].isNull() | (s["_b"] > t)))
+            status = F.when(F.col("_any").isNull(), "missing").when(t.isNull() | holds, None).when(F.col("_first") > t, "late").otherwise("deleted")
             hit = part.join(spans, on, "left").withColumn("status", status).filter("status is not null").select(*cols, "status")
         out = hit if out is None else out.unionByName(hit)
     return out

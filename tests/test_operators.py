@@ -54,6 +54,24 @@ def test_match_semantics(spark, match):
     assert got == {"partial": {3, 5}, "simple": {5}, "full": {2, 3, 5}}[match]
 
 
+def test_sweep_agrees_with_arrays(spark):
+    rnd = random.Random(8)
+    day = lambda: D(2024, 1, rnd.randrange(1, 29))
+    refs = [(i, rnd.choice("ab") if rnd.random() < 0.8 else None, rnd.choice("xyz"), day() if rnd.random() < 0.95 else None) for i in range(400)]
+    tgt = [(rnd.choice("ab"), rnd.choice("xy"), day() if rnd.random() < 0.9 else None, day() if rnd.random() < 0.8 else None) for _ in range(40)]
+    r = spark.createDataFrame(refs, "id int, k1 string, k2 string, at timestamp_ntz")
+    t = spark.createDataFrame(tgt, "t1 string, t2 string, f timestamp_ntz, u timestamp_ntz")
+    run = lambda n: sorted((x.id, x.status) for x in R.find_orphans(r, t, {"k1": "t1", "k2": "t2"}, "at", "f", "u", max_spans=n).collect())
+    want = []
+    for i, a, b, at in refs:
+        rows = [x for x in tgt if (a is None or x[0] == a) and x[1] == b]
+        if not rows:
+            want.append((i, "missing"))
+        elif at and not any((x[2] is None or x[2] <= at) and (x[3] is None or x[3] > at) for x in rows):
+            want.append((i, "late" if all(x[2] and x[2] > at for x in rows) else "deleted"))
+    assert run(1000) == run(0) == sorted(want)
+
+
 def test_orphans_keep_clashing_columns(spark):
     refs = spark.createDataFrame([(1, "q", "v")], "id int, k string, work_id string").withColumn("at", F.lit(None).cast("timestamp_ntz"))
     tgt = spark.createDataFrame([("z", "v2")], "k string, work_id string").withColumn("f", F.lit(D(2020, 1, 1)).cast("timestamp_ntz")).withColumn("u", F.lit(None).cast("timestamp_ntz"))
