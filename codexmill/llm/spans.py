@@ -7,8 +7,8 @@ Method: repeated-phrase automata.
    window always holds a phrase that two records chose. (hash, id) is combined
    before the shuffle; a phrase that a third of all records hold costs a task one row.
 2. *Automata.* The phrases confirmed to recur go back, by salted join, to the
-   records that hold them; every Arrow batch of such records is one shard: its
-   phrases are compiled into an Aho-Corasick automaton, through which the whole
+   records that hold them; every block of such records (some two million code points)
+   is one shard: its phrases are compiled into an Aho-Corasick automaton, through which the whole
    texts of the shard are streamed to locate every occurrence. Each occurrence
    that is the chosen phrase of some windows yields the segment these windows cover.
 3. *Exact check.* Segments are compared as text. Where two records hold a whole
@@ -149,26 +149,24 @@ def _stream(length: int, k: int):
         import ahocorasick
 
         for b in batches:
-            texts = b["text"].tolist()
-            auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-            for t, places in zip(texts, b["places"]):
-                for p in places:
-                    auto.add_word(t[p : p + k])
-            if not len(auto):
-                continue
-            auto.make_automaton()
-            ids = b["id"].to_numpy()
-            rows = []
+            texts, ids = b["text"].tolist(), b["id"].to_numpy()
+            places = b["places"].tolist()
             for first, last in _blocks(texts, BLOCK):
                 part = texts[first:last]
+                auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)  # one shard
+                for t, at in zip(part, places[first:last]):
+                    for p in at:
+                        auto.add_word(t[p : p + k])
+                auto.make_automaton()
                 w, pos, h, s0, s1 = choose(part, length, k)
                 start_of = np.searchsorted(w, np.arange(len(part) + 1))
+                rows = []
                 for i, t in enumerate(part):
                     found = np.fromiter((e for e, _ in auto.iter(t)), np.int64) - (k - 1)
                     x, y = start_of[i], start_of[i + 1]
                     for j in x + np.flatnonzero(np.isin(pos[x:y], found)):
                         rows.append((h[j], ids[first + i], s0[j], t[s0[j] : s1[j] + length]))
-            yield pd.DataFrame(rows, columns=["h", "id", "start", "segment"])
+                yield pd.DataFrame(rows, columns=["h", "id", "start", "segment"])
 
     return run
 
