@@ -68,9 +68,23 @@ def spool(df: DataFrame, tag: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/codexmill/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _SPOOLED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that this process has written to the shared folder.
+_SPOOLED: list[str] = []
+
+
+def sweep(spark: SparkSession) -> int:
+    """Deletes the tables spooled so far; call it once the results that read them are written."""
+    n = 0
+    while _SPOOLED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SPOOLED.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def broadcast_within(df: DataFrame, max_rows: int, probe: DataFrame | None = None) -> DataFrame:
     """Broadcast hint only when a count proves the side small.
 

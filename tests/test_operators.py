@@ -286,3 +286,13 @@ def test_families_merge_by_derivation(spark):
 def test_strict_json(spark):
     df = spark.createDataFrame([('{"a": 1}',), ('{"a": 1, "a": 2}',), ("{",), (None,)], "t string")
     assert [r.x for r in df.select(V.strict_json("t").alias("x")).collect()] == [True, False, False, None]
+
+
+def test_spooled_tables_can_be_swept(spark):
+    from codexmill import session
+
+    df = session.spool(spark.range(5), "sweep")
+    assert df.count() == 5 and df.inputFiles()
+    assert session.sweep(spark) >= 1 and session.sweep(spark) == 0
+    with pytest.raises(Exception, match="(?i)path|exist|file"):
+        session.spool(spark.range(1), "x").sparkSession.read.parquet(df.inputFiles()[0]).count()
