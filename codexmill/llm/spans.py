@@ -1,24 +1,29 @@
 """Long spans that stand verbatim in more than one record.
 
 Method: repeated-phrase automata.
-1. *Candidates.* From every text the winnowed phrases: of each window of
-   ``length`` code points the phrase of ``PHRASE`` code points with the least
-   hash, the last one on ties. Equal windows choose equal phrases, so a shared
-   window always holds a phrase that two records chose. (hash, id) is combined
-   before the shuffle; a phrase that a third of all records hold costs a task one row.
-2. *Automata.* The phrases confirmed to recur go back, by salted join, to the
-   records that hold them; every block of such records (some two million code points)
-   is one shard: its phrases are compiled into an Aho-Corasick automaton, through which the whole
-   texts of the shard are streamed to locate every occurrence. Each occurrence
-   that is the chosen phrase of some windows yields the segment these windows cover.
-3. *Exact check.* Segments are compared as text. Where two records hold a whole
-   segment, it is shared as it stands. What is left (the segments at the borders
-   of shared spans) is cut into its windows, and these are compared among each
-   other and with one representative of every shared segment with that phrase.
-4. Shared windows of a record that overlap or touch are merged.
+1. *Confirming.* Of each window of ``length`` code points the phrase of ``PHRASE``
+   code points with the least hash is taken, the last one on ties. Equal windows
+   choose equal phrases, so a shared window always holds a phrase that two records
+   chose. Only (phrase hash, record) goes on, without positions, and is combined
+   before the shuffle; a phrase that two records chose recurs.
+2. *Compiling.* The recurring phrases are compiled, as text, into Aho-Corasick
+   automata of some ``SHARD`` phrases. A phrase is in the shard of the record that
+   first holds it, so phrases that travel together are located together, and copies of a
+   text meet one shard. A record goes to the shards that hold one of its phrases; all
+   records to all shards would cost records times shards. A shard that many records
+   go to is compiled in several tasks, each with a part of them.
+3. *Locating.* The whole texts of the records are streamed through the automaton,
+   which locates every occurrence of the shard's phrases; positions come from nowhere
+   else. A window belongs to the last phrase located in it: the windows of one
+   occurrence are a segment of the text.
+4. *Comparing.* Segments are compared as text. Where two records hold a whole segment,
+   it is shared as it stands. What is left (at the borders of shared spans) is cut
+   into its windows, and these are compared as text among each other and with one
+   representative of every shared segment with that phrase.
+5. Shared windows of a record that overlap or touch are merged.
 
 No pairs are formed, and no group is collected. A record without any recurring
-phrase cannot share a window and isn't streamed through an automaton.
+phrase cannot share a window and isn't streamed.
 
 Defined results: null texts and texts under ``length`` share nothing; copies of
 one text share all of it; a span repeated within one record only is no case, nor
@@ -31,7 +36,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,6 +45,8 @@ from codexmill.session import spool
 LENGTH, PHRASE = 80, 32
 #: Tasks over which the records of one phrase are spread.
 SALT = 8
+#: Phrases of one automaton, on average, and records of one task that it is compiled for.
+SHARD, PART = 20_000, 20_000
 #: Code points hashed at once.
 BLOCK = 2_000_000
 
@@ -128,95 +134,157 @@ def _blocks(texts: list, size: int) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def chosen_phrases(df: DataFrame, text: str, key: str, length: int, k: int) -> DataFrame:
-    """(h, id, pos) of every chosen phrase."""
+def _second_hash(joined: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the k code points from each of some positions on, independent of the first."""
+    mult = _mix(np.arange(1, k + 1, dtype=np.uint64) * _M1) | np.uint64(1)
+    out = np.zeros(len(at), np.uint64)
+    for j in range(k):
+        out += _mix((joined[at + j].astype(np.uint64) + np.uint64(j + 1)) * _M3) * mult[j]
+    return out.view(np.int64)
+
+
+def phrase_ids(texts: list[str], length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Chosen phrases of several texts: text number, position, and two hashes of the phrase."""
+    w, p, h, _, _ = choose(texts, length, k)
+    a = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
+    return w, p, h, _second_hash(a, at[w] + p, k)
+
+
+def chosen_phrases(src: DataFrame, length: int, k: int) -> DataFrame:
+    """(h, g, id): which record chose which phrase, by two hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             texts = b.column(1).to_pylist()
             for i, j in _blocks(texts, BLOCK):
-                w, p, h, _, _ = choose(texts[i:j], length, k)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[i:j][w]), pa.array(p)], names=["h", "id", "pos"])
+                w, _, h, g = phrase_ids(texts[i:j], length, k)
+                _, one = np.unique(np.stack([w, h, g]), axis=1, return_index=True) if len(w) else (None, w)
+                yield pa.RecordBatch.from_arrays([pa.array(h[one]), pa.array(g[one]), pa.array(ids[i:j][w[one]])], names=["h", "g", "id"])
+
+    return src.mapInArrow(run, "h long, g long, id long")
+
+
+def _deliver(length: int, k: int):
+    """Records with their shards -> rows of the shards: the words a record gives its own shard (without id), and its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shards, parts, ids, out = [], [], [], []
+            for i, t, dest, own, shard, n in zip(*(b.column(c).to_pylist() for c in ("id", "text", "dest", "own", "own_shard", "own_parts"))):
+                if own:
+                    _, p, h, g = phrase_ids([t], length, k)
+                    mine = {(x["h"], x["g"]) for x in own}
+                    words = {t[q : q + k] for q, x, y in zip(p.tolist(), h.tolist(), g.tolist()) if (x, y) in mine}
+                    for part in range(n):
+                        shards += [shard] * len(words)
+                        parts += [part] * len(words)
+                        ids += [None] * len(words)
+                        out += words
+                for d in dest:
+                    shards.append(d["shard"])
+                    parts.append(d["part"])
+                    ids.append(i)
+                    out.append(t)
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(parts, pa.int64()), pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["shard", "part", "id", "text"])
+
+    return run
 
-    return df.filter((F.length(text) >= length) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "h long, id long, pos long")
+
+def segments_of(text: str, auto, length: int, k: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, position of the phrase) of the segments of a text, by the phrases that the automaton locates."""
+    spare, last = length - k, len(text) - length
+    at = [e - k + 1 for e, _ in auto.iter(text)]
+    for i, q in enumerate(at):
+        lo, hi = max(0, q - spare), min(q, last)
+        if i + 1 < len(at):
+            hi = min(hi, at[i + 1] - spare - 1)
+        if lo <= hi:
+            yield lo, hi + length, q
 
 
 def _stream(length: int, k: int):
-    """Records with their confirmed phrases -> the segments of their windows, located by automaton."""
+    """Rows of the shards, words first -> segments."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
+        where, auto, ready = None, None, False
         for b in batches:
-            texts, ids = b["text"].tolist(), b["id"].to_numpy()
-            places = b["places"].tolist()
-            for first, last in _blocks(texts, BLOCK):
-                part = texts[first:last]
-                auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)  # one shard
-                for t, at in zip(part, places[first:last]):
-                    for p in at:
-                        auto.add_word(t[p : p + k])
-                auto.make_automaton()
-                w, pos, h, s0, s1 = choose(part, length, k)
-                start_of = np.searchsorted(w, np.arange(len(part) + 1))
-                rows = []
-                for i, t in enumerate(part):
-                    found = np.fromiter((e for e, _ in auto.iter(t)), np.int64) - (k - 1)
-                    x, y = start_of[i], start_of[i + 1]
-                    for j in x + np.flatnonzero(np.isin(pos[x:y], found)):
-                        rows.append((h[j], ids[first + i], s0[j], t[s0[j] : s1[j] + length]))
-                yield pd.DataFrame(rows, columns=["h", "id", "start", "segment"])
+            shards, ids, starts, ats, out = [], [], [], [], []
+            for shard, part, i, t in zip(*(b.column(c).to_pylist() for c in range(4))):
+                if (shard, part) != where:
+                    where, auto, ready = (shard, part), ahocorasick.Automaton(ahocorasick.STORE_LENGTH), False
+                if i is None:
+                    auto.add_word(t)
+                    continue
+                if not ready:
+                    auto.make_automaton()
+                    ready = True
+                for x, y, q in segments_of(t, auto, length, k):
+                    shards.append(shard)
+                    ids.append(i)
+                    starts.append(x)
+                    ats.append(q - x)
+                    out.append(t[x:y])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shards, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ats, pa.int64()), pa.array(out, pa.string())], names=["shard", "id", "start", "at", "segment"]
+            )
 
     return run
 
 
-def shared_windows(df: DataFrame, text: str = "raw_text", key: str = "id", length: int = LENGTH, k: int = PHRASE) -> DataFrame:
+def located_segments(src: DataFrame, length: int, k: int, shard: int = SHARD, part: int = PART) -> DataFrame:
+    """(shard, id, start, at, segment) of every occurrence of a recurring phrase in (id, text)."""
+    chosen = spool(chosen_phrases(src, length, k), "phrases")
+    recurring = spool(chosen.groupBy("h", "g").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("h", "g", "a"), "recurring")
+    n_shards = max(1, -(-recurring.count() // shard))
+    recurring = recurring.withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(n_shards)))
+    salted = recurring.select("h", "g", "shard", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    routes = chosen.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(salted, ["h", "g", "salt"]).select("id", "shard").distinct()
+    routes = spool(routes, "routes")
+    parts = routes.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(part)).cast("long").alias("parts"))
+    dest = routes.join(parts, "shard").select("id", F.struct("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).alias("part")).alias("dest"))
+    dest = dest.select("id", "dest", F.lit(None).cast("struct<h:bigint,g:bigint>").alias("own"), F.lit(None).cast("long").alias("own_shard"), F.lit(None).cast("long").alias("own_parts"))
+    own = recurring.join(parts, "shard").select(F.col("a").alias("id"), F.lit(None).cast("struct<shard:bigint,part:bigint>").alias("dest"), F.struct("h", "g").alias("own"), F.col("shard").alias("own_shard"), F.col("parts").alias("own_parts"))
+    info = dest.unionByName(own).groupBy("id").agg(F.collect_list("dest").alias("dest"), F.collect_list("own").alias("own"), F.max("own_shard").alias("own_shard"), F.max("own_parts").alias("own_parts"))
+    rows = src.join(info, "id").select("id", "text", "dest", "own", "own_shard", "own_parts").mapInArrow(_deliver(length, k), "shard long, part long, id long, text string")
+    rows = rows.repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("id").asc_nulls_first())
+    return rows.mapInArrow(_stream(length, k), "shard long, id long, start long, at long, segment string")
+
+
+def shared_windows(df: DataFrame, text: str = "raw_text", key: str = "id", length: int = LENGTH, k: int = PHRASE, **kw) -> DataFrame:
     """(id, start_char, end_char): ranges of shared windows, not yet merged."""
     src = df.filter((F.length(text) >= length) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    phrases = spool(chosen_phrases(df, text, key, length, k), "phrases")
-    recurring = phrases.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("h")
-    salted = recurring.select("h", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    places = (
-        phrases.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int"))
-        .join(salted, ["h", "salt"], "left_semi")
-        .groupBy("id")
-        .agg(F.collect_list("pos").alias("places"))
-    )
-    seg = src.join(places, "id").select("id", "text", "places").mapInPandas(_stream(length, k), "h long, id long, start long, segment string")
-    seg = spool(seg.withColumn("s1", F.xxhash64("segment")).withColumn("s2", F.xxhash64(F.reverse("segment"), F.length("segment"))), "segments")
-
-    whole = seg.groupBy("s1", "s2").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("h").alias("h"), F.min("segment").alias("segment"))
-    whole = spool(whole.select("s1", "s2", "h", "segment", (F.col("a") != F.col("b")).alias("shared")), "whole")
-    full = seg.join(whole.filter("shared").select("s1", "s2"), ["s1", "s2"], "left_semi")
+    seg = spool(located_segments(src, length, k, **kw), "segments")
+
+    whole = seg.groupBy("shard", "segment").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("at").alias("at"))
+    whole = spool(whole.select("shard", "segment", F.expr(f"substring(segment, cast(at + 1 as int), {k})").alias("phrase"), (F.col("a") != F.col("b")).alias("shared")), "whole")
+    full = seg.join(whole.filter("shared").select("shard", "segment"), ["shard", "segment"], "left_semi")
     full = full.select("id", F.col("start").alias("start_char"), (F.col("start") + F.length("segment")).alias("end_char"))
 
-    # Borders: single segments whose phrase recurs; of each shared segment with that phrase, one representative.
-    single = seg.join(whole.filter("not shared").select("s1", "s2"), ["s1", "s2"], "left_semi").select("h", "id", "start", "segment")
-    reps = whole.filter("shared").join(single.select("h").distinct(), "h", "left_semi")
-    reps = reps.select("h", F.lit(None).cast("long").alias("id"), F.lit(0).cast("long").alias("start"), "segment")
-    win = single.unionByName(reps).select("id", "start", F.explode(_windows(length)("segment")).alias("w"))
-    win = spool(win.select("id", (F.col("start") + F.col("w.at")).alias("start_char"), F.col("w.x").alias("x"), F.col("w.y").alias("y")), "windows")
-    # A representative counts as two records.
-    hit = win.groupBy("x", "y").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count_if(F.col("id").isNull()).alias("r"))
-    hit = hit.filter("a is not null and (a <> b or r > 0)").select("x", "y")
-    border = win.filter("id is not null").join(hit, ["x", "y"], "left_semi")
+    # Borders: single segments; of each shared segment with the phrase of one, a representative.
+    alone = whole.filter("not shared")
+    single = seg.join(alone.select("shard", "segment"), ["shard", "segment"], "left_semi").select("id", "start", "segment")
+    reps = whole.filter("shared").join(alone.select("shard", "phrase").distinct(), ["shard", "phrase"], "left_semi")
+    reps = reps.select(F.lit(None).cast("long").alias("id"), F.lit(0).cast("long").alias("start"), "segment")
+    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("segment") - (length - 1)), lambda i: F.substring("segment", i, F.lit(length)))).alias("i", "w")
+    win = single.unionByName(reps).select("id", "start", at)
+    win = spool(win.select("id", (F.col("start") + F.col("i")).alias("start_char"), F.xxhash64("w").alias("x"), "w"), "windows")
+    # Where all windows of one hash are one text, the hash stands for it. A representative counts as two records.
+    def forms(w: DataFrame) -> DataFrame:
+        g = w.groupBy("x", "w").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count_if(F.col("id").isNull()).alias("r"))
+        return g.select("x", "w", F.expr("a is not null and (a <> b or r > 0)").alias("hit"))
+
+    hashes = spool(forms(win).groupBy("x").agg(F.count("*").alias("texts"), F.bool_or("hit").alias("hit")).filter("hit").select("x", "texts"), "hashes")
+    border = win.join(hashes.filter("texts = 1"), "x", "left_semi")
+    clash = win.join(hashes.filter("texts > 1"), "x", "left_semi")
+    clash = clash.join(forms(clash).filter("hit").select("x", "w"), ["x", "w"], "left_semi")
+    border = border.select("id", "start_char").unionByName(clash.select("id", "start_char")).filter("id is not null")
     return full.unionByName(border.select("id", "start_char", (F.col("start_char") + length).alias("end_char")))
 
 
-def _windows(length: int):
-    @F.pandas_udf("array<struct<at:int,x:long,y:long>>")
-    def windows(segments: pd.Series) -> pd.Series:
-        out = []
-        for s in segments:
-            a = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
-            x, y = phrase_hashes(a, length).view(np.int64), phrase_hashes(a[::-1], length)[::-1].view(np.int64)
-            out.append([{"at": i, "x": p, "y": q} for i, (p, q) in enumerate(zip(x.tolist(), y.tolist()))])
-        return pd.Series(out)
-
-    return windows
-
-
 def merge_ranges(df: DataFrame) -> DataFrame:
     """Ranges (id, start_char, end_char) that overlap or touch become one."""
     w = Window.partitionBy("id").orderBy("start_char", "end_char")
@@ -226,9 +294,9 @@ def merge_ranges(df: DataFrame) -> DataFrame:
     return df.groupBy("id", "_run").agg(F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char")).drop("_run")
 
 
-def shared_spans(df: DataFrame, text: str = "raw_text", key: str = "id", length: int = LENGTH, k: int = PHRASE) -> DataFrame:
+def shared_spans(df: DataFrame, text: str = "raw_text", key: str = "id", length: int = LENGTH, k: int = PHRASE, **kw) -> DataFrame:
     """(id, start_char, end_char) of the merged stretches that another record holds too."""
-    return merge_ranges(shared_windows(df, text, key, length, k)).select("id", "start_char", "end_char")
+    return merge_ranges(shared_windows(df, text, key, length, k, **kw)).select("id", "start_char", "end_char")
 
 
 def shared_report(df: DataFrame, text: str = "raw_text", key: str = "id", **kw) -> DataFrame:

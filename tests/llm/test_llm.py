@@ -4,6 +4,7 @@ import random
 import re
 import unicodedata
 
+import ahocorasick
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -45,8 +46,22 @@ def test_spans_against_brute_force(spark, seed):
     common = ["".join(rnd.choices(letters, k=rnd.randrange(15, 60))) for _ in range(5)]
     rows = [(i, "".join(rnd.choice(common) if rnd.random() < 0.3 else "".join(rnd.choices(letters, k=9)) for _ in range(rnd.randrange(0, 14)))) for i in range(60)]
     rows += [(100, None), (101, ""), (102, rows[0][1]), (103, "a" * 200), (104, "a" * 90), (105, "b" * 39)]
-    got = {tuple(r) for r in spans.shared_spans(df(spark, rows, "id long, raw_text string"), length=40, k=16).collect()}
-    assert got == brute_spans(rows, 40)
+    d = df(spark, rows, "id long, raw_text string")
+    want = brute_spans(rows, 40)
+    assert {tuple(r) for r in spans.shared_spans(d, length=40, k=16).collect()} == want
+    assert {tuple(r) for r in spans.shared_spans(d, length=40, k=16, shard=4, part=9).collect()} == want, "many automata, each for a part of its records"
+
+
+@given(st.text(alphabet="ab", max_size=60), st.lists(st.text(alphabet="ab", min_size=4, max_size=4), max_size=4))
+@settings(max_examples=100, deadline=None)
+def test_segments_are_what_the_automaton_locates(t, words):
+    auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for w in words:
+        auto.add_word(w)
+    if words:
+        auto.make_automaton()
+        got = [s for x, y, _ in spans.segments_of(t, auto, 10, 4) for s in range(x, y - 9)]
+        assert got == [s for s in range(len(t) - 9) if any(w in t[s : s + 10] for w in words)]
 
 
 def test_spans_repeated_in_one_record_only(spark):
