@@ -7,15 +7,22 @@ more consecutive characters of their reduced texts.
 Method: prefix-filtered set join. The shingles of every item-sized window (LENGTH
 characters of an item) are a set that a document holding the window must contain
 whole, so by the prefix principle one shingle of it, the rarest, suffices as the
-join token. Rarity is the shingle's count over all documents, taken in one pass
-and summed after a partial count in each task. In a second pass the documents'
-shingles meet the prefix tokens; a match fixes the offset between both texts (the
-positional bound), a window can only be there if enough characters remain on both
-sides (the length bound), and the stretch is then extended character by character
-to verify exact containment.
-
-The item side is held in each task, so it is taken in blocks of at most
-``BLOCK_CHARS`` characters; every block is set against all documents.
+join token.
+1. *Shingles.* Items yield all their shingles. Documents yield those that pass a bit
+   table of the items' shingles; the table has a fixed size, so it lets more foreign
+   shingles through where there are more items, but never holds one of theirs back.
+2. *Rarity.* A shingle's count over all documents, combined in each task before the
+   shuffle. A window with a shingle that no document holds is nowhere; of any other the
+   rarest shingle is its token. Equal windows of an item count once.
+3. *Join.* Tokens meet the documents' shingles; documents are salted, so that a common
+   token is not one task's. A match fixes the offset between both texts (the
+   positional bound), and a window can only be there if enough characters remain on
+   both sides (the length bound).
+4. *Verifying.* The reduced texts are compared character by character along each offset.
+
+The documents are read twice, for 1 and 4, however many items there are, and nothing
+of items or documents goes through the driver but the bit table. Items with the same reduced
+text are one until the result.
 
 Defined results: null and empty texts, and such with fewer than LENGTH letters and
 numbers, hold nothing; repeated items and documents each count for themselves;
@@ -27,15 +34,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codexmill.llm.spans import phrase_hashes
+from codexmill.session import spool
 
 LENGTH, SHINGLE = 60, 20
-#: Characters of items that one pass over the documents takes (some 50 bytes each in a task).
-BLOCK_CHARS = 1_000_000
+#: Bits of the table, as a power of two: 8 MB.
+BITS = 26
+#: Tasks over which the documents with one token are spread.
+SALT = 8
 #: Characters of documents reduced at once.
 CHUNK = 1_000_000
 
@@ -68,43 +79,6 @@ def reduced(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return a[ok], before[np.concatenate([[0], np.cumsum(lens)])]
 
 
-class ItemIndex:
-    """Shingles of one block of items."""
-
-    def __init__(self, ids: list[int], texts: list[str], length: int, k: int):
-        self.ids, self.length, self.k = np.array(ids, np.int64), length, k
-        self.chars, self.at = reduced(texts)
-        n = np.diff(self.at)
-        self.item = np.repeat(np.arange(len(ids)), n)
-        h = phrase_hashes(self.chars, k) if len(self.chars) >= k else np.empty(0, np.uint64)
-        self.item_of = self.item[: len(h)]
-        inside = np.arange(len(h)) + k <= self.at[self.item_of + 1]
-        long = (n >= length)[self.item_of]
-        self.pos = np.flatnonzero(inside & long)
-        self.h = h[self.pos]
-        self.tokens = np.unique(self.h)
-
-    def prefix(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """The rarest shingle of every window: hashes in order, and their places in the block."""
-        c = np.array([counts.get(int(x), 0) for x in self.h.view(np.int64)], np.int64)
-        w, chosen = self.length - self.k + 1, []
-        for i in np.unique(self.item_of[self.pos]) if len(self.pos) else []:
-            x, y = np.searchsorted(self.pos, [self.at[i], self.at[i + 1]])
-            view = np.lib.stride_tricks.sliding_window_view(c[x:y], w)
-            chosen.append(x + np.unique(np.arange(len(view)) + view.argmin(1)))
-        at = np.concatenate(chosen) if chosen else np.empty(0, np.int64)
-        at = at[c[at] > 0]  # a window whose rarest shingle stands nowhere is nowhere
-        order = np.argsort(self.h[at], kind="stable")
-        return self.h[at][order], self.pos[at][order]
-
-
-def _filter(tokens: np.ndarray) -> np.ndarray:
-    """Bit table on the upper bits, to pass most foreign shingles by."""
-    t = np.zeros(1 << 22, bool)
-    t[(tokens >> np.uint64(42)).astype(np.int64)] = True
-    return t
-
-
 def _pieces(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list]]:
     ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
     first, n = 0, 0
@@ -115,93 +89,125 @@ def _pieces(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list]]:
             first, n = i + 1, 0
 
 
-def _shingles(texts: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    chars, at = reduced(texts)
-    return chars, at, phrase_hashes(chars, k) if len(chars) >= k else np.empty(0, np.uint64)
+def _place(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word and mask of the bit of each hash."""
+    at = h >> np.uint64(64 - bits)
+    return (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+
 
+def reduced_items(items: DataFrame) -> DataFrame:
+    """(item_id, chars): each item's reduced text."""
 
-def _count(index) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = index.value
-        bits, total = _filter(ix.tokens), np.zeros(len(ix.tokens), np.int64)
         for b in batches:
-            for _, texts in _pieces(b):
-                _, at, h = _shingles(texts, ix.k)
-                p = np.flatnonzero(bits[(h >> np.uint64(42)).astype(np.int64)])
-                # a shingle that spans two texts is none
-                p = p[at[np.searchsorted(at, p, "right")] >= p + ix.k]
-                x = np.searchsorted(ix.tokens, h[p])
-                x = x[ix.tokens[np.minimum(x, len(ix.tokens) - 1)] == h[p]]
-                total += np.bincount(x, minlength=len(total))
-        got = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ix.tokens[got].view(np.int64)), pa.array(total[got])], names=["h", "n"])
+            for ids, texts in _pieces(b):
+                chars, at = reduced(texts)
+                out = [chars[x:y].tobytes().decode("utf-32-le", "surrogatepass") for x, y in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["item_id", "chars"])
+
+    return items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "item_id long, chars string")
+
+
+def bit_table(classes: DataFrame, k: int, bits: int) -> np.ndarray:
+    """Bits of the shingles of the items; at most 2 ** (bits - 6) words reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << max(0, bits - 6), np.uint64)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                word, mask = _place(phrase_hashes(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), k), bits)
+                np.bitwise_or.at(table, word, mask)
+        word = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(table[word].view(np.int64))], names=["word", "mask"])
+
+    table = np.zeros(1 << max(0, bits - 6), np.uint64)
+    got = classes.select("chars").mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    table[got["word"].to_numpy()] = got["mask"].to_numpy(np.int64).view(np.uint64)
+    return table
 
-    return run
 
+def document_shingles(docs: DataFrame, table, k: int, bits: int) -> DataFrame:
+    """(h, doc_id, at, left): the documents' shingles that pass the table, where they stand, and how many characters follow."""
 
-def _probe(index, prefix) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix, (ph, pp) = index.value, prefix.value
-        bits = _filter(ph)
+        t = table.value
         for b in batches:
-            rows: set[tuple[int, int]] = set()
             for ids, texts in _pieces(b):
-                chars, at, h = _shingles(texts, ix.k)
-                p = np.flatnonzero(bits[(h >> np.uint64(42)).astype(np.int64)])
+                chars, at = reduced(texts)
+                h = phrase_hashes(chars, k) if len(chars) >= k else np.empty(0, np.uint64)
+                word, mask = _place(h, bits)
+                p = np.flatnonzero(t[word] & mask)
                 doc = np.searchsorted(at, p, "right") - 1
-                ok = at[doc + 1] >= p + ix.k
+                ok = p + k <= at[doc + 1]  # a shingle that spans two texts is none
                 p, doc = p[ok], doc[ok]
-                lo, hi = np.searchsorted(ph, h[p]), np.searchsorted(ph, h[p], "right")
-                for d, q, x, y in zip(doc[lo < hi], p[lo < hi], lo[lo < hi], hi[lo < hi]):
-                    a0, a1 = at[d], at[d + 1]
-                    for r in pp[x:y]:
-                        i = ix.item[r]
-                        if (int(ids[d]), int(ix.ids[i])) in rows:
-                            continue
-                        b0, b1 = ix.at[i], ix.at[i + 1]
-                        left, right = min(q - a0, r - b0, ix.length), min(a1 - q, b1 - r, ix.length)
-                        if left + right < ix.length:
-                            continue
-                        u = chars[q - left : q + right] == ix.chars[r - left : r + right]
-                        bad = np.flatnonzero(~u)
-                        cut = np.searchsorted(bad, left)
-                        s = bad[cut - 1] + 1 if cut else 0
-                        e = bad[cut] if cut < len(bad) else len(u)
-                        if s <= left and e >= left + ix.k and e - s >= ix.length:
-                            rows.add((int(ids[d]), int(ix.ids[i])))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([y for _, y in rows], pa.int64())], names=["doc_id", "item_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[p].view(np.int64)), pa.array(ids[doc], pa.int64()), pa.array(p - at[doc]), pa.array(at[doc + 1] - p)], names=["h", "doc_id", "at", "left"])
+
+    return docs.mapInArrow(run, "h long, doc_id long, at long, left long")
+
+
+def item_tokens(classes: DataFrame, counts: DataFrame, length: int, k: int) -> DataFrame:
+    """(h, item_id, at, left): the rarest shingle of every window whose shingles all stand in some document."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                h = phrase_hashes(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), k)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), i, np.int64)), pa.array(np.arange(len(h)))], names=["h", "item_id", "at"])
+
+    def rarest(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("at")
+        c, h, w = g["n"].to_numpy(), g["h"].to_numpy(), length - k + 1
+        view = np.lib.stride_tricks.sliding_window_view(c, w)
+        first = np.unique(phrase_hashes(h.astype(np.uint32), w), return_index=True)[1]  # equal windows count once
+        first = first[view[first].min(1) > 0]
+        at = np.unique(first + view[first].argmin(1))
+        return pd.DataFrame({"h": h[at], "item_id": g["item_id"].iloc[0], "at": at, "left": len(c) + k - 1 - at})
+
+    s = classes.mapInArrow(shingles, "h long, item_id long, at long").join(counts, "h", "left").fillna(0, ["n"])
+    return s.groupBy("item_id").applyInPandas(rarest, "h long, item_id long, at long, left long")
+
+
+def _holds(length: int):
+    """Whether the texts share ``length`` characters in a row along one of the offsets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            docs, items = [], []
+            for i, t, cand in zip(*(b.column(c).to_pylist() for c in range(3))):
+                d, _ = reduced([t])
+                found = set()
+                for c in cand:
+                    if c["item_id"] in found:
+                        continue
+                    e = np.frombuffer(c["chars"].encode("utf-32-le", "surrogatepass"), np.uint32)
+                    x, y = max(0, -c["off"]), min(len(e), len(d) - c["off"])
+                    bad = np.flatnonzero(np.r_[True, d[x + c["off"] : y + c["off"]] != e[x:y], True])
+                    if (np.diff(bad) > length).any():
+                        found.add(c["item_id"])
+                docs += [i] * len(found)
+                items += found
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64())], names=["doc_id", "item_id"])
 
     return run
 
 
-def leaked_passages(documents: DataFrame, items: DataFrame, length: int = LENGTH, k: int = SHINGLE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def leaked_passages(documents: DataFrame, items: DataFrame, length: int = LENGTH, k: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """(doc_id, item_id): the documents that hold a passage of an item."""
-    spark = documents.sparkSession
-    docs = documents.select("doc_id", "text").filter("length(text) > 0 and doc_id is not null")
-    its = items.select("item_id", "text").filter("length(text) > 0 and item_id is not null")
-    # Blocks by cumulated length; the items come one block at a time.
-    out, part, chars = None, [], 0
-
-    def take(block: list) -> None:
-        nonlocal out
-        ix = ItemIndex([r.item_id for r in block], [r.text for r in block], length, k)
-        if not len(ix.tokens):
-            return
-        bx = spark.sparkContext.broadcast(ix)
-        counts = docs.mapInArrow(_count(bx), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        pre = ix.prefix({r.h: r.n for r in counts.toLocalIterator()})  # at most one row a shingle of the block
-        got = docs.mapInArrow(_probe(bx, spark.sparkContext.broadcast(pre)), "doc_id long, item_id long")
-        out = got if out is None else out.unionByName(got)
-
-    for row in its.toLocalIterator():
-        part.append(row)
-        chars += len(row.text)
-        if chars >= block_chars:
-            take(part)
-            part, chars = [], 0
-    if part:
-        take(part)
-    return (out if out is not None else spark.createDataFrame([], "doc_id long, item_id long")).distinct()
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("length(text) > 0 and doc_id is not null")
+    red = spool(reduced_items(items.filter("length(text) > 0 and item_id is not null")).filter(F.length("chars") >= length), "items")
+    classes = red.groupBy("chars").agg(F.min("item_id").alias("item_id")).select("item_id", "chars")
+    table = documents.sparkSession.sparkContext.broadcast(bit_table(classes, k, bits))
+    shingles = spool(document_shingles(docs, table, k, bits), "shingles")
+    tokens = item_tokens(classes, shingles.groupBy("h").agg(F.count("*").alias("n")), length, k)
+    salted = tokens.select("h", F.col("item_id"), F.col("at").alias("_at"), F.col("left").alias("_left"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    cand = shingles.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(salted, ["h", "salt"])
+    cand = cand.filter(F.least("at", "_at") + F.least("left", "_left") >= length)
+    cand = cand.select("doc_id", "item_id", (F.col("at") - F.col("_at")).alias("off")).distinct()
+    cand = cand.join(classes, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "off", "chars")).alias("cand"))
+    got = docs.join(cand, "doc_id").select("doc_id", "text", "cand").mapInArrow(_holds(length), "doc_id long, item_id long").distinct()
+    # Back to every item with that text.
+    rep = red.join(classes.withColumnRenamed("item_id", "rep"), "chars").select("rep", "item_id").distinct()
+    return got.withColumnRenamed("item_id", "rep").join(rep, "rep").select("doc_id", "item_id").distinct()
 
 
 def leak_report(documents: DataFrame, items: DataFrame) -> DataFrame:
