@@ -279,9 +279,10 @@ def shared_windows(df: DataFrame, text: str = "raw_text", key: str = "id", lengt
 
     hashes = spool(forms(win).groupBy("x").agg(F.count("*").alias("texts"), F.bool_or("hit").alias("hit")).filter("hit").select("x", "texts"), "hashes")
     border = win.join(hashes.filter("texts = 1"), "x", "left_semi")
-    clash = win.join(hashes.filter("texts > 1"), "x", "left_semi")
-    clash = clash.join(forms(clash).filter("hit").select("x", "w"), ["x", "w"], "left_semi")
-    border = border.select("id", "start_char").unionByName(clash.select("id", "start_char")).filter("id is not null")
+    if not hashes.filter("texts > 1").isEmpty():
+        clash = win.join(hashes.filter("texts > 1"), "x", "left_semi")
+        border = border.unionByName(clash.join(forms(clash).filter("hit").select("x", "w"), ["x", "w"], "left_semi"), allowMissingColumns=True)
+    border = border.select("id", "start_char").filter("id is not null")
     return full.unionByName(border.select("id", "start_char", (F.col("start_char") + length).alias("end_char")))
 
 
