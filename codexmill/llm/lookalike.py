@@ -6,14 +6,16 @@ kind a hyphen, width variants and compatibility ideographs their plain
 characters, and accents are composed in canonical order. Raised, lowered and
 circled signs stay, as a reader sees them. The second is script-aware repair of
 letters: each token gets its dominant script - that of most of its letters that
-have no double elsewhere, else of most of its letters, else that of the text.
-Letters of another script with a double in the dominant one are substituted when
-the whole token then stands in the vocabulary of the corpus: tokens that need no
-repair. A token entirely in doubles counts as mixed with its text.
+have no double elsewhere, else that of most such letters of the text. A token that is
+not spelled in that script as far as its letters have doubles there is mixed; its
+letters are substituted when the whole token then stands in the vocabulary of the
+corpus: the tokens that are not mixed.
 
-Two records show the same if their canonical forms are equal, so what is left of
-foreign doubles in tokens outside the vocabulary would set them apart; the key
-for comparison therefore folds these too (an exact check on the drawn signs).
+Two records show the same if their repaired texts are equal. A mixed token that the
+vocabulary cannot settle is compared by what is drawn (every double in its Latin
+form). The dominant script follows from letters without doubles only, so
+tokens that look the same are repaired alike, and where one of them is spelled well in
+some record, the others are settled by it: no pair is lost, and none is won by it.
 
 Defined results: null stays null; empty stays empty; a text of invisible
 characters only becomes empty.
@@ -24,11 +26,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codexmill.session import spool
 
+#: Tasks over which the records of one class are spread.
+SALT = 8
 #: Letters of other scripts and the Latin letters they are drawn like.
 CYRILLIC = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y",
@@ -39,11 +43,9 @@ GREEK = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "ν": "v", "ο": "o", "ϳ": "j", "ϲ": "c",
 }
-OTHER_LATIN = {"ɡ": "g", "ɑ": "a", "ı": "i", "ǃ": "!"}
-OTHER_LATIN.pop("ı")  # a dotless i shows no dot
+OTHER_LATIN = {"ɡ": "g", "ɑ": "a"}
 ARMENIAN = {"ո": "n", "ս": "u", "օ": "o", "Ս": "U", "Օ": "O", "հ": "h"}
 DOUBLES = CYRILLIC | GREEK | OTHER_LATIN | ARMENIAN
-_LATIN_WITH_DOUBLE = set(DOUBLES.values())
 
 
 def _accented() -> dict[str, str]:
@@ -59,14 +61,13 @@ def _accented() -> dict[str, str]:
 
 
 DOUBLES |= _accented()
+#: The letters that do not tell a script.
+UNSURE = DOUBLES.keys() | set(DOUBLES.values())
 #: Signs drawn alike.
 SIGNS = {
-    "‐": "-", "‑": "-", "﹣": "-", "−": "-", "༌": "་", ";": ";", "·": "·", "`": "`", "․": ".", "‚": ",",
-    "∣": "|", "ǀ": "|", "׃": ":", "∶": ":", "꞉": ":", "ː": ":", "⁄": "/", "∕": "/", "ʼ": "’", "ʻ": "‘",
-    "′": "'", "ʹ": "'", "།།": "༎",
+    "‐": "-", "‑": "-", "﹣": "-", "−": "-", "༌": "་", ";": ";", "·": "·", "`": "`", "․": ".",
+    "∣": "|", "ǀ": "|", "ǃ": "!", "׃": ":", "∶": ":", "꞉": ":", "⁄": "/", "∕": "/", "ʼ": "’", "ʻ": "‘",
 }
-for _c in ("ː", "‚", "′", "ʹ", "།།"):  # drawn near, not alike
-    SIGNS.pop(_c)
 #: Compatibility mappings of these kinds change what a reader sees.
 SEEN_KINDS = ("<super>", "<sub>", "<circle>", "<square>", "<fraction>")
 
@@ -91,7 +92,7 @@ def _char_map() -> dict[int, str | None]:
             if not kind:
                 continue
             if kind.startswith("<"):
-                if kind.startswith(SEEN_KINDS) or cat == "No":
+                if kind.startswith(SEEN_KINDS) or cat == "No" or c in DOUBLES:
                     continue
                 if kind.startswith("<compat>") and cat not in ("Lo", "Lu", "Ll", "Nl", "So") and cp != 0x2024:
                     if cp != 0x2026:  # an ellipsis stays one sign
@@ -125,86 +126,78 @@ def plain(text: str) -> str:
     return text if u.is_normalized("NFC", text) else u.normalize("NFC", text)
 
 
-_FOREIGN = None
-
-
 def _script(c: str) -> str:
-    if c in CYRILLIC or "Ѐ" <= c <= "ԯ":
+    if "Ѐ" <= c <= "ԯ":
         return "Cyrillic"
     if "Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿":
         return "Greek"
     if "԰" <= c <= "֏":
         return "Armenian"
-    if c in OTHER_LATIN:
-        return "IPA"
-    if c.isascii() or c <= "ɏ" or "Ḁ" <= c <= "ỿ":
+    if c <= "ɏ" or "Ḁ" <= c <= "ỿ":
         return "Latin"
     return "other"
 
 
-def _patterns():
-    import regex
+def _back(letters: dict[str, str], first: str, last: str) -> dict[str, str]:
+    """Latin letters to their doubles in one script, plain or with accents."""
+    return {v: k for k, v in DOUBLES.items() if first <= k <= last and k not in "Һһ"} | {v: k for k, v in letters.items() if k not in "Һһ"}
 
-    global _FOREIGN
-    if _FOREIGN is None:
-        _FOREIGN = (regex.compile(r"[\p{L}\p{M}\p{N}]+"), regex.compile("[" + "".join(DOUBLES) + "]"))
-    return _FOREIGN
 
+#: The doubles of each script, from the Latin form.
+BACK = {"Cyrillic": _back(CYRILLIC, "Ѐ", "ԯ"), "Greek": _back(GREEK, "Ͱ", "῿"), "Armenian": _back(ARMENIAN, "԰", "֏")}
 
-def dominant_script(token: str, of_text: str) -> str:
-    """Script of most letters without a double, else of the text where every letter has one."""
-    from collections import Counter
+_PATTERNS: list = []
 
-    sure = Counter(_script(c) for c in token if c.isalpha() and c not in DOUBLES and c not in _LATIN_WITH_DOUBLE)
-    if sure:
-        return sure.most_common(1)[0][0]
-    n = Counter(_script(c) for c in token if c.isalpha() and _script(c) != "IPA")
-    if "Latin" in n and len(n) > 1:
-        return max(n, key=lambda s: (n[s], s == of_text, s))
-    return of_text
 
+def _patterns():
+    import regex
 
-#: The other direction: Latin letters inside a token of another script.
-BACK = {
-    "Cyrillic": {v: k for k, v in CYRILLIC.items() if k not in "Һһ"},
-    "Greek": {v: k for k, v in GREEK.items()},
-}
+    if not _PATTERNS:
+        _PATTERNS.extend((regex.compile(r"[\p{L}\p{M}\p{N}]+"), regex.compile("[Ͱ-֏ἀ-῿" + "".join(OTHER_LATIN) + "]")))
+    return _PATTERNS
 
 
-def text_script(text: str) -> str:
+def text_script(text: str, otherwise: str = "Latin") -> str:
+    """Script of most letters that tell one."""
     from collections import Counter
 
     n = Counter()
     for c, k in Counter(text).items():
-        if c.isalpha() and c not in DOUBLES:
+        if c.isalpha() and c not in UNSURE:
             n[_script(c)] += k
-    return n.most_common(1)[0][0] if n else "Latin"
+    return max(n, key=lambda s: (n[s], s)) if n else otherwise
+
+
+def fold(text: str) -> str:
+    """Every double in its Latin form: what is drawn, not what is meant."""
+    import unicodedata as u
+
+    if text.isascii():
+        return text
+    hit = {c for c in set(text) if c in DOUBLES}
+    return u.normalize("NFC", text.translate({ord(c): DOUBLES[c] for c in hit})) if hit else text
 
 
 def repaired(token: str, of_text: str) -> str:
-    """The token with the doubles of its dominant script in place of foreign letters."""
-    s = dominant_script(token, of_text)
-    if s in BACK:
-        back = BACK[s]
-        return "".join(back.get(DOUBLES.get(c, c) if _script(c) != s else c, c) if _script(c) != s else c for c in token)
-    return "".join(DOUBLES.get(c, c) for c in token)
+    """The token with the letters of its dominant script wherever that script draws one alike."""
+    import unicodedata as u
+
+    back = BACK.get(text_script(token, of_text))
+    t = fold(token)
+    return u.normalize("NFC", "".join(back.get(c, c) for c in t)) if back else t
 
 
 def candidates(text: str) -> list[tuple[str, str]]:
     """(token, repaired token) for the mixed tokens of a text in plain form."""
-    import unicodedata as u
-
     find, foreign = _patterns()
     if text.isascii() or not foreign.search(text):
         return []
     own = text_script(text)
     out = {}
     for t in find.findall(text):
-        if foreign.search(t) and t not in out:
-            r = u.normalize("NFC", repaired(t, own))
-            if r != t:
-                out[t] = r
-    return list(out.items())
+        if t not in out and (own in BACK or foreign.search(t)):
+            out[t] = repaired(t, own)
+    return [(t, r) for t, r in out.items() if r != t]
 
 
 def substitute(text: str, good: dict[str, str]) -> str:
@@ -212,81 +205,96 @@ def substitute(text: str, good: dict[str, str]) -> str:
     return find.sub(lambda m: good.get(m[0], m[0]), text)
 
 
-def fold(text: str) -> str:
-    """Every double in its Latin form: what is drawn, not what is meant."""
-    import unicodedata as u
-
-    if text.isascii():
-        return text
-    hit = {c for c in set(text) if c in DOUBLES}
-    return u.normalize("NFC", text.translate({ord(c): DOUBLES[c] for c in hit})) if hit else text
-
-
 def with_plain(df: DataFrame, text: str) -> DataFrame:
-    """df with ``_plain`` and ``_cand`` (array of token and repaired token)."""
-    names = df.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    """df with ``_plain`` and ``_cand`` (array of token and repaired token) in place of the text."""
+    names = [c for c in df.columns if c != text]
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if f.name != text)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             p = [None if t is None else plain(t) for t in b[text]]
             yield b[names].assign(_plain=p, _cand=[[] if t is None else [{"token": x, "fixed": y} for x, y in candidates(t)] for t in p])
 
-    return df.mapInPandas(run, f"{fields}, _plain string, _cand array<struct<token:string,fixed:string>>")
+    return df.mapInPandas(run, f"{fields}_plain string, _cand array<struct<token:string,fixed:string>>")
+
 
+def vocabulary_hits(plain_texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``wanted`` (column fixed) that stand, not mixed, as a token of some text.
 
-def vocabulary_hits(df: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """The rows of ``wanted`` (column fixed) that stand as a token in some text that needs no repair there."""
-    toks = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"([\p{L}\p{M}\p{N}]+)"), F.lit(1)))).alias("fixed")).distinct()
+    plain_texts: ``_plain`` and ``_cand`` (``with_plain``).
+    """
+    toks = F.array_distinct(F.regexp_extract_all("_plain", F.lit(r"([\p{L}\p{M}\p{N}]+)"), F.lit(1)))
+    toks = plain_texts.select(F.explode(F.array_except(toks, F.col("_cand.token"))).alias("fixed")).distinct()
     return wanted.join(toks, "fixed", "left_semi")
 
 
-def unify(df: DataFrame, text: str, key: str = "id") -> DataFrame:
-    """(key, unified): the texts in their canonical form.
+def unify(df: DataFrame, text: str, key: str = "id", **more: Column) -> DataFrame:
+    """(key, unified, look, more...): the texts in their canonical form, and what they are compared by.
 
-    ``unified`` is null where the text is null.
+    ``look`` is ``unified`` with the mixed tokens that the vocabulary cannot settle as they are
+    drawn. Both are null where the text is null.
     """
-    p = spool(with_plain(df.select(key, text), text).select(key, "_plain", "_cand"), "plain")
-    mixed = p.filter(F.size("_cand") > 0)
-    cand = mixed.select(key, F.explode("_cand").alias("c")).select(key, "c.token", "c.fixed")
-    good = vocabulary_hits(p, "_plain", cand.select("fixed").distinct())
-    fixes = cand.join(good, "fixed", "left_semi").groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("token", "fixed"))).alias("_good"))
-    done = mixed.select(key, "_plain").join(fixes, key, "left")
+    p = spool(with_plain(df.select(key, F.col(text).alias("_text"), *[c.alias(n) for n, c in more.items()]), "_text"), "plain")
+    # Rows are told apart by a number, which must be the same wherever it is read.
+    mixed = spool(p.filter(F.size("_cand") > 0).withColumn("_row", F.monotonically_increasing_id()), "mixed")
+    cand = mixed.select("_row", F.explode("_cand").alias("c")).select("_row", "c.token", "c.fixed")
+    good = vocabulary_hits(p, cand.select("fixed").distinct())
+    fixes = cand.join(good, "fixed", "left_semi").groupBy("_row").agg(F.map_from_entries(F.collect_set(F.struct("token", "fixed"))).alias("_good"))
+    done = mixed.join(fixes, "_row", "left")
+
+    @F.pandas_udf("unified string, look string")
+    def apply(texts: pd.Series, cand: pd.Series, good: pd.Series) -> pd.DataFrame:
+        unified, look = [], []
+        for t, c, g in zip(texts, cand, good):
+            settled = dict(g) if g is not None and len(g) else {}
+            left = {x["token"]: fold(x["token"]) for x in c if x["token"] not in settled}
+            unified.append(substitute(t, settled))
+            look.append(substitute(t, settled | left))
+        return pd.DataFrame({"unified": unified, "look": look}, dtype=object)
+
+    left = p.filter(F.size("_cand") == 0).select(key, F.col("_plain").alias("unified"), F.col("_plain").alias("look"), *more)
+    return left.unionByName(done.select(key, apply("_plain", "_cand", "_good").alias("u"), *more).select(key, "u.unified", "u.look", *more))
+
+
+def _members(df: DataFrame, text: str, key: str) -> DataFrame:
+    """(key, look, form): the records that look like a record of another text; texts stand as pairs of hashes."""
+    rows = unify(df, text, key, form=_pair(text)).filter("look is not null").select(F.col(key).alias("key"), _pair("look").alias("look"), "form")
+    ends = [f("form.%s" % c).alias(f.__name__ + c) for c in "ab" for f in (F.min, F.max)]
+    several = rows.groupBy("look").agg(*ends).filter("mina <> maxa or minb <> maxb").select("look")
+    return spool(rows.join(several, "look", "left_semi"), "looks")
 
-    @F.pandas_udf("string")
-    def apply(texts: pd.Series, good: pd.Series) -> pd.Series:
-        return pd.Series([substitute(t, dict(g)) if g is not None and len(g) else t for t, g in zip(texts, good)], dtype=object)
 
-    left = p.filter(F.size("_cand") == 0).select(key, F.col("_plain").alias("unified"))
-    return left.unionByName(done.select(key, apply("_plain", "_good").alias("unified")))
+def _pair(text: str) -> Column:
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.reverse(text), F.length(text)).alias("b"))
+
+
+def look_classes(df: DataFrame, text: str = "raw_text", key: str = "id") -> DataFrame:
+    """(key, class_id, n_records, n_forms): each record that looks like one of another text, with its class.
+
+    class_id is the least key of the class; no pairs are formed, however large a class is.
+    """
+    m = _members(df, text, key)
+    c = m.groupBy("look").agg(F.min("key").alias("class_id"), F.count("*").alias("n_records"), F.count_distinct("form").alias("n_forms"))
+    return m.join(c, "look").select(F.col("key").alias(key), "class_id", "n_records", "n_forms")
 
 
 def same_look(df: DataFrame, text: str = "raw_text", key: str = "id") -> DataFrame:
     """(id_a, id_b): pairs whose texts differ in characters and look the same.
 
-    Copies of one text are one class. Classes meet by the hash of their canonical
-    form, and only classes of different text are paired, then spelled out into
-    their records, since the result is defined by pairs of records.
+    The result is defined by pairs of records, so classes (``look_classes``) are spelled out: the different
+    texts of a class are paired, then their records, salted so that a large class is several tasks'.
     """
-
-    @F.pandas_udf("string")
-    def folded(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else fold(t))
-
-    u = unify(df, text, key)
-    looks = u.select(F.col(key), folded("unified").alias("_look")).filter("_look is not null")
-    looks = looks.select(key, F.xxhash64("_look").alias("_h1"), F.xxhash64(F.reverse("_look"), F.length("_look")).alias("_h2"))
-    raw = df.select(key, F.xxhash64(text).alias("_r1"), F.hash(F.reverse(text)).alias("_r2"))
-    rows = looks.join(raw, key)
-    several = rows.groupBy("_h1", "_h2").agg(F.min(F.struct("_r1", "_r2")).alias("a"), F.max(F.struct("_r1", "_r2")).alias("b")).filter("a <> b").select("_h1", "_h2")
-    m = spool(rows.join(several, ["_h1", "_h2"], "left_semi"), "looks")
-    forms = m.select("_h1", "_h2", "_r1", "_r2").distinct()
-    a, b = forms.toDF("_h1", "_h2", "_a1", "_a2"), forms.toDF("_h1", "_h2", "_b1", "_b2")
-    pairs = a.join(b, ["_h1", "_h2"]).filter(F.struct("_a1", "_a2") < F.struct("_b1", "_b2"))
-    left = m.select("_h1", "_h2", F.col("_r1").alias("_a1"), F.col("_r2").alias("_a2"), F.col(key).alias("_x"))
-    right = m.select("_h1", "_h2", F.col("_r1").alias("_b1"), F.col("_r2").alias("_b2"), F.col(key).alias("_y"))
-    both = pairs.join(left, ["_h1", "_h2", "_a1", "_a2"]).join(right, ["_h1", "_h2", "_b1", "_b2"])
-    return both.select(F.least("_x", "_y").alias("id_a"), F.greatest("_x", "_y").alias("id_b"))
+    m = _members(df, text, key)
+    forms = m.select("look", "form").distinct()
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
+    own = lambda c: F.pmod(F.xxhash64(c), F.lit(SALT)).cast("int").alias("salt")
+    a = forms.select("look", F.col("form").alias("form_a"), own("form"))
+    b = forms.select("look", F.col("form").alias("form_b"), salts)
+    pairs = a.join(b, ["look", "salt"]).filter("form_a < form_b").select("look", "form_a", "form_b")
+    left = m.select("look", F.col("form").alias("form_a"), F.col("key").alias("x"), own("key"))
+    right = m.select("look", F.col("form").alias("form_b"), F.col("key").alias("y"))
+    both = pairs.select("*", salts).join(left, ["look", "form_a", "salt"]).join(right, ["look", "form_b"])
+    return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
 def unify_all(df: DataFrame, fields: tuple[str, ...] = ("raw_text", "norm_text", "folded_text"), key: str = "id") -> DataFrame:

@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": lambda s, d: splitting.oversized(t(s, d, "records")),
         "p5_pieces": lambda s, d: splitting.split_oversized(t(s, d, "records")),
         "p6_found": lambda s, d: lookalike.same_look(t(s, d, "records")),
+        "p6_classes": lambda s, d: lookalike.look_classes(t(s, d, "records")),
         "p6_unified": lambda s, d: lookalike.unify_all(t(s, d, "records")),
         "p7_containers": lambda s, d: packing.fill_containers(t(s, d, "documents")),
         "p7_fill": lambda s, d: packing.fill_report(t(s, d, "documents")),

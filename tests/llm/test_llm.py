@@ -206,7 +206,43 @@ def test_repair_by_vocabulary(spark):
     u = {r.id: r.unified for r in lookalike.unify(df(spark, rows, "id long, raw_text string"), "raw_text").collect()}
     assert u[2] == u[1] and u[3] == rows[2][1] and u[4] == rows[3][1]
     assert lookalike.fold(lookalike.plain("Lӓrm ӓ")) == "Lärm ä"
-    assert lookalike.dominant_script("раth", "Latin") == "Latin" and lookalike.dominant_script("мир", "Latin") == "Cyrillic"
+    assert lookalike.repaired("раth", "Cyrillic") == "path" and lookalike.repaired("миp", "Latin") == "мир" and lookalike.repaired("cop", "Cyrillic") == "сор"
+
+
+def test_the_repair_decides(spark, monkeypatch):
+    """A word spelled well somewhere settles its mixed spellings; one that stands nowhere is compared as it is drawn."""
+    rows = [(1, "Это море"), (2, "Это мoрe"), (3, "Это жоx"), (4, "Это жox"), (5, "Это more")]
+    d = df(spark, rows, "id long, raw_text string")
+    look = {r.id: r.look for r in lookalike.unify(d, "raw_text").collect()}
+    assert look[1] == look[2] == "Это море" and look[3] == look[4] == lookalike.fold("Это жох").replace(lookalike.fold("Это"), "Это") and look[5] == "Это more"
+    assert {tuple(r) for r in lookalike.same_look(d).collect()} == {(1, 2), (3, 4)}
+    monkeypatch.setattr(lookalike, "vocabulary_hits", lambda p, wanted: wanted.filter("false"))
+    assert {tuple(r) for r in lookalike.same_look(d).collect()} == {(3, 4)}, "without the repair the first pair is lost"
+
+
+@given(st.text(alphabet="abcmopxkмоарсхкжÄäӓöӧÖΑοαպոն .1", max_size=20), st.randoms(use_true_random=False))
+@settings(max_examples=400, deadline=None)
+def test_texts_that_look_the_same_are_repaired_alike(t, rnd):
+    t = lookalike.plain(t)
+    by = {}
+    for c, x in lookalike.DOUBLES.items():
+        by.setdefault(x, [x]).append(c)
+    u = lookalike.plain("".join(rnd.choice(by[lookalike.fold(c)]) if lookalike.fold(c) in by else c for c in t))
+    find = lookalike._patterns()[0].findall
+    fixed = [{**{x: x for x in find(v)}, **dict(lookalike.candidates(v))} for v in (t, u)]
+    assert lookalike.fold(t) == lookalike.fold(u)
+    assert [fixed[0][x] for x in find(t)] == [fixed[1][x] for x in find(u)]
+
+
+def test_look_classes_hold_large_groups(spark):
+    base = "Sutaṃ evaṃ and more words here to spell"
+    marks = ["​", "‌", "‍", "⁠"]
+    n = 3000
+    rows = [(i, base[: i % 30] + "".join(marks[(i // 4**k) % 4] for k in range(7)) + base[i % 30 :]) for i in range(n)] + [(n, base), (n + 1, base), (n + 2, "alone")]
+    d = df(spark, rows, "id long, raw_text string")
+    got = lookalike.look_classes(d).collect()
+    forms = len({t for _, t in rows[:-1]})
+    assert len(got) == n + 2 and {(r.class_id, r.n_records, r.n_forms) for r in got} == {(0, n + 2, forms)}
 
 
 # ---------------------------------------------------------------- 7 containers
