@@ -6,24 +6,29 @@ decoding finds the best tagging of a whole text.
 *Punctuated text.* Only a closing mark can be followed by a boundary, so the chain
 runs over the closing marks (with the quotes and verse numbers that belong to
 them); all other characters have probability 0. The emissions are learned from the
-corpus without labels: the ends of texts are sure sentence ends, so a kind of mark
+corpus without labels. The ends of texts are sure sentence ends, so a kind of mark
 (a full stop after a given token, after an initial, after a number; omission
 points) ends sentences as often as it ends texts, measured against question and
-exclamation marks of the same language. ``vol.`` never ends a text, ``etc.`` does
-like any word. What cannot be a boundary has probability 0: marks inside quotes
-and brackets, marks inside tokens, marks before a comma, a closed quotation before
-lower case, omission points other than before a capital or at the end in English
-and Vietnamese. Transitions forbid sentences without letter or number.
-
-*Unpunctuated Chinese.* The chain runs over all characters; the emissions are
-learned from the punctuated Chinese texts, whose closing marks are replaced by
-breaks of layout and whose other punctuation is stripped.
+exclamation marks of the same language: ``vol.`` never ends a text, ``etc.`` does
+like any word. What follows a mark (a capital, a small letter, a digit) is weighed by
+how often it follows question and exclamation marks, and how often this token where
+it does not end a sentence (a few rounds of expectation and maximization a token, from
+the pool of all such tokens). Transitions are learned from successive marks whose state
+is known beforehand: initials and abbreviations come in rows. What cannot be a
+boundary has probability 0: marks inside quotes and brackets, marks inside tokens, marks
+before a comma, a closed quotation before lower case, omission points other than before a
+capital or at the end in English and Vietnamese; nor does a sentence consist of marks.
+
+*Unpunctuated Chinese.* The chain runs over all characters. Transitions and emissions
+- the character, and whether the layout breaks after it, by a line break or a wide
+space - are learned from the punctuated Chinese texts, whose closing marks are replaced
+by breaks of layout and whose other punctuation is stripped.
 
 Language is taken from script and letters; the label decides only where these leave
 it open. Characters are read in their plain width, invisible ones are passed over.
 
 Defined results: null, empty and blank texts have no sentences; a text without any
-closing mark is one sentence (Chinese: one per line or piece between spaces).
+closing mark is one sentence (Chinese: one per line or piece between wide spaces).
 """
 
 from __future__ import annotations
@@ -35,23 +40,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Abbreviations known beforehand, as pseudo-counts that the corpus may outweigh.
+#: Abbreviations known beforehand (initials, and in German ordinals, among them), as pseudo-counts that the corpus may outweigh.
 KNOWN = {
-    "en": "vol no p pp cf st ed dr ven ch fol ca i.e e.g mr mrs prof sr jr fig".split(),
-    "de": "vgl bzw s bd hrsg nr d.h u.a z.b ca dr prof".split(),
-    "vi": "q tr tk v.v".split(),
-    "indic": "ka do ro ms p fol".split(),
+    "en": "vol no p pp cf st ed dr ven ch fol ca i.e e.g mr mrs prof sr jr fig <initial>".split(),
+    "de": "vgl bzw s bd hrsg nr d.h u.a z.b ca dr prof <initial> <number>".split(),
+    "vi": "q tr tk v.v <initial>".split(),
+    "indic": "ka do ro ms p fol <initial>".split(),
 }
 KNOWN_WEIGHT = 40
-#: A token is judged on its own once it should have ended this many texts.
-SURE = 8.0
+#: A token is judged on its own once it should have ended this many texts, and ended fewer by so many standard deviations.
+SURE, SPREAD = 8.0, 3.0
 FLUSH = 200_000
-#: Least log-odds that a break of layout, or its absence, gives in unpunctuated Chinese.
-LAYOUT = 12.0
+#: What a token without counts of its own does; what most a token is trusted to end sentences.
+USUAL, MOST = 0.99, 0.99
+#: Marks that the pooled counts of what follows stand for in a token's own, and rounds of learning these.
+POOLED, ROUNDS = 10.0, 30
+#: Transitions that the pool of all states stands for.
+STEPS = 20.0
+NEXT = ("upper", "lower", "digit", "other")
 
 OPEN = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "‘": "’", "(": ")", "[": "]", "{": "}", "《": "》", "〈": "〉", '"': '"'}
 CLOSE = set("”»›」』’)]}》〉“\"")
 MARKS = set(".!?。।॥|༎…")
+#: Spaces as wide as an ideograph.
+WIDE = set("\u3000\u2003\u2001")
 
 _RE: dict = {}
 
@@ -85,7 +97,7 @@ def simplify(text: str) -> tuple[str, list[int] | None]:
     for c in set(text):
         if u.category(c) == "Cf":
             gone = True
-        elif len(n := DOUBLES.get(c) or u.normalize("NFKC", c)) == 1 and n != c:
+        elif c not in WIDE and len(n := DOUBLES.get(c) or u.normalize("NFKC", c)) == 1 and n != c:
             table[ord(c)] = n
     if not gone:
         return text.translate(table), None
@@ -219,30 +231,60 @@ def kind_key(kind: str, token: str) -> str:
 
 
 class Emissions:
-    """P(boundary) of each kind of mark."""
+    """What is learned: P(boundary) of each kind of mark and of what follows it, transitions, and the chain of Chinese characters.
+
+    rows: (language, kind, marks, of which at the end of a text, of the others: followed by each of NEXT). Kinds ``<after:xy>`` count
+    transitions from x to y (i: inside, b: boundary). zh: of each character, how often it stood before a boundary and inside. zh_after:
+    the same transitions between the characters.
+    """
+
+    def __init__(self, rows: list[tuple], zh: dict[str, tuple[int, int]], zh_after: dict[str, int] | None = None):
+        import numpy as np
 
-    def __init__(self, rows: list[tuple[str, str, int, int]], zh: dict[str, tuple[int, int]]):
-        total: dict[tuple[str, str], list[int]] = {(g, k): [n, e] for g, k, n, e in rows}
-        self.p: dict[tuple[str, str], float] = {}
+        total = {(r[0], r[1]): np.array([*r[2:], *[0] * (8 - len(r))][:6], float) for r in rows}
+        self.p: dict[tuple[str, str], dict[str, float]] = {}
+        self.step: dict[str, list[list[float]]] = {}
         for g in ("vi", "de", "en", "indic", "zh", "bo", "deva"):
-            n, e = total.get((g, "<ref>"), [0, 0])
-            ref = (e + 2) / (n + 10)
+            ref = total.get((g, "<ref>"), np.zeros(6))
+            rate = (ref[1] + 2) / (ref[0] + 10)
             for w in KNOWN.get(g, ()):
-                k = total.setdefault((g, w), [0, 0])
-                total[g, w] = [k[0] + KNOWN_WEIGHT, k[1]]
-            for (h, k), (n, e) in total.items():
-                if h == g and k not in ("<ref>", "<word>"):
+                total[g, w] = total.get((g, w), np.zeros(6)) + [KNOWN_WEIGHT, 0, 0, 0, 0, 0]
+            share = {}
+            for (h, k), c in total.items():
+                if h == g and k not in ("<ref>", "<word>") and not k.startswith("<after"):
                     prior = 2.0  # a mark ends a sentence unless shown otherwise
-                    p = min(0.98, (e / ref + prior * 0.9) / (n + prior))
-                    if k[0] == "<" or n * ref >= SURE or k in KNOWN.get(g, ()):
-                        self.p[g, k] = p
+                    p = min(MOST, (c[1] / rate + prior * 0.9) / (c[0] + prior))
+                    x = c[0] * rate
+                    if k[0] == "<" or x >= SURE and c[1] < x - SPREAD * math.sqrt(x * (1 - rate)) or k in KNOWN.get(g, ()):
+                        share[k] = max(p, 1e-4)
+            ends = (ref[2:] + 1) / (ref[2:].sum() + len(NEXT))
+            inner = sum((total[g, k][2:] for k, p in share.items() if p < 0.1 and k != "<dots>"), np.ones(len(NEXT)))
+            inner /= inner.sum()
+            for k, p0 in share.items():
+                own, p, seen, sure = inner, p0, total[g, k][2:], total[g, k][0] * rate
+                for _ in range(ROUNDS):
+                    b = p * ends / (p * ends + (1 - p) * own)
+                    p = min(MOST, max(1e-4, ((seen * b).sum() + sure * p0) / (seen.sum() + sure)))
+                    own = POOLED * inner + seen * (1 - b)
+                    own = own / own.sum()
+                b = p * ends / (p * ends + (1 - p) * own)
+                self.p[g, k] = dict(zip(NEXT, b.tolist())) | {"": float(p0)}
+            b = USUAL * ends / (USUAL * ends + (1 - USUAL) * inner)
+            self.p[g, "<usual>"] = dict(zip(NEXT, b.tolist())) | {"": USUAL}
+            self.step[g] = self._steps({k[7:9]: c[0] for (h, k), c in total.items() if h == g and k.startswith("<after")}, relative=True)
         m = sum(b for b, _ in zh.values()) + 1.0
         o = sum(i for _, i in zh.values()) + 1.0
-        # Training text has a break after every boundary and nowhere else; the more of it, the surer. At
-        # least LAYOUT, as the layout decides in unpunctuated text.
-        self.brk = max(LAYOUT, math.log((m + 0.5) / (m + 1)) - math.log(0.5 / (o + 1)))
-        self.no_brk = min(-LAYOUT, math.log(0.5 / (m + 1)) - math.log((o + 0.5) / (o + 1)))
+        self.layout = (math.log((m + 0.5) / (m + 1)) - math.log(0.5 / (o + 1)), math.log(0.5 / (m + 1)) - math.log((o + 0.5) / (o + 1)))
         self.zh = {c: math.log((b + 0.5) / (m + 500)) - math.log((i + 0.5) / (o + 500)) for c, (b, i) in zh.items()}
+        self.zh_step = self._steps(zh_after or {}, relative=False)
+
+    @staticmethod
+    def _steps(n: dict[str, float], relative: bool) -> list[list[float]]:
+        """Logs of P(to | from), or of how much more likely that makes the state than it is on the whole."""
+        of = [sum(n.get(x + y, 0.0) for x in "ib") + 1.0 for y in "ib"]
+        of = [x / sum(of) for x in of]
+        c = [[n.get(x + y, 0.0) + STEPS * of[j] for j, y in enumerate("ib")] for x in "ib"]
+        return [[math.log(r[j] / sum(r) / (of[j] if relative else 1.0)) for j in (0, 1)] for r in c]
 
     def boundary(self, lang: str, kind: str, token: str, nxt: str) -> float:
         if nxt == "end":
@@ -250,27 +292,32 @@ class Emissions:
         if nxt in ("joined", "punct"):
             return 0.0
         if kind == "dots":
-            return self.p.get((lang, "<dots>"), 0.9) if lang in ("en", "vi") and nxt == "upper" else 0.0
+            return self.p.get((lang, "<dots>"), {"": 0.9})[""] if lang in ("en", "vi") and nxt == "upper" else 0.0
         if kind == "quoted":
             return 0.0 if nxt == "lower" else 0.95
-        if kind in ("danda", "shad"):
-            return 0.98
-        if kind == "mark":
+        if kind in ("danda", "shad", "mark"):
             return 0.98
-        p = self.p.get((lang, kind_key(kind, token)))
-        return 0.95 if p is None else p
+        p = self.p.get((lang, kind_key(kind, token))) or self.p.get((lang, "<usual>"), {})
+        return p.get(nxt, p.get("", USUAL))
+
 
+def viterbi(emit: list[float], linked: list[bool], step: list[list[float]]) -> list[bool]:
+    """Best tagging of a chain.
 
-def viterbi(emit: list[float], linked: list[bool]) -> list[bool]:
-    """Best tagging; ``linked[i]``: nothing to read between mark i-1 and i, so not both are boundaries."""
+    emit: P(boundary). step: log weight from a state to the next (0 inside, 1 boundary). ``linked[i]``:
+    nothing to read between mark i-1 and i, so not both are boundaries, and of two the later one ends the sentence.
+    """
     lo = 1e-9
-    best = [0.0, -math.inf]  # inside, boundary
+    best = [0.0, -math.inf]
     back: list[tuple[int, int]] = []
-    for p, tie in zip(emit, linked):
-        i_from = 0 if best[0] > best[1] else 1  # of two marks in a row the later one ends the sentence
-        b_from = 0 if tie else i_from
+    for n, (p, tie) in enumerate(zip(emit, linked)):
+        go = step if n and not tie else ((0.0, 0.0), (0.0, 0.0))
+        i = [best[x] + go[x][0] for x in (0, 1)]
+        b = [best[x] + go[x][1] for x in (0, 1)]
+        i_from = 0 if i[0] > i[1] else 1
+        b_from = 0 if tie or b[0] > b[1] else 1
         back.append((i_from, b_from))
-        best = [best[i_from] + math.log(max(1 - p, lo)), best[b_from] + math.log(max(p, lo))]
+        best = [i[i_from] + math.log(max(1 - p, lo)), b[b_from] + math.log(max(p, lo))]
     s = 0 if best[0] > best[1] else 1
     out = []
     for b in reversed(back):
@@ -283,13 +330,15 @@ def _chinese_breaks(s: str, em: Emissions) -> list[int]:
     """Boundaries of unpunctuated Chinese, by a chain over its characters."""
     ends, emit = [], []
     for i, c in enumerate(s):
-        if c.isspace():
-            continue
-        brk = i + 1 < len(s) and s[i + 1].isspace()
-        z = em.zh.get(c, 0.0) + (em.brk if brk else em.no_brk)
-        ends.append(i + 1)
-        emit.append(1 / (1 + math.exp(-z)))
-    return [e for e, b in zip(ends, viterbi(emit, [False] * len(emit))) if b]
+        if not c.isspace():
+            # An end of line or a wide space, be there blanks before it.
+            j = i + 1
+            while j < len(s) and s[j].isspace() and s[j] not in "\n\r" and s[j] not in WIDE:
+                j += 1
+            broken = j < len(s) and s[j].isspace()
+            ends.append(i + 1)
+            emit.append(1 / (1 + math.exp(-(em.zh.get(c, 0.0) + em.layout[0 if broken else 1]))))
+    return [e for e, b in zip(ends, viterbi(emit, [False] * len(emit), em.zh_step)) if b]
 
 
 def sentences(text: str, label: str | None, em: Emissions) -> list[tuple[int, int]]:
@@ -302,16 +351,16 @@ def sentences(text: str, label: str | None, em: Emissions) -> list[tuple[int, in
     if lang == "zh" and not rx["cjkmark"].search(s):
         cuts = _chinese_breaks(s, em)
     else:
-        cand = marks(s, lang)
-        emit = [em.boundary(lang, k, t, n) for _, k, t, n in cand]
+        cand = [(e, p) for e, k, t, n in marks(s, lang) if (p := em.boundary(lang, k, t, n)) > 0]
+        emit = [p for _, p in cand]
         linked, prev, read = [], 0, False
-        for i, (e, *_) in enumerate(cand):
+        for i, (e, _) in enumerate(cand):
             linked.append(not rx["word"].search(s, prev, e))
             read |= not linked[-1]
             if not read:  # marks before any word belong to the first sentence
                 emit[i] = 0.0
             prev = e
-        cuts = [e for (e, *_), b in zip(cand, viterbi(emit, linked)) if b]
+        cuts = [e for (e, _), b in zip(cand, viterbi(emit, linked, em.step[lang])) if b]
     out, a, n = [], 0, len(text)
     for e in [*cuts, None]:
         if e is None:
@@ -334,21 +383,23 @@ def sentences(text: str, label: str | None, em: Emissions) -> list[tuple[int, in
     return out
 
 
-def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from collections import Counter
+COUNTS = ("n", "e", *NEXT)
+LEARNED = "lang string, kind string, " + ", ".join(f"{c} long" for c in COUNTS)
 
-    n, e = Counter(), Counter()
+
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a task: of marks by language and kind, of Chinese characters, of transitions."""
+    counts: dict[tuple[str, str], list[int]] = {}
     rx = _re()
 
+    def of(lang: str, kind: str) -> list[int]:
+        return counts.setdefault((lang, kind), [0] * len(COUNTS))
+
     def rows() -> pa.RecordBatch:
-        keys = list(n)
-        out = pa.RecordBatch.from_arrays(
-            [pa.array([g for g, _ in keys], pa.string()), pa.array([k for _, k in keys], pa.string()), pa.array([n[k] for k in keys], pa.int64()), pa.array([e[k] for k in keys], pa.int64())],
-            names=["lang", "kind", "n", "e"],
-        )
-        n.clear()
-        e.clear()
-        return out
+        keys, vals = list(counts), list(counts.values())
+        out = [pa.array([k[i] for k in keys], pa.string()) for i in (0, 1)] + [pa.array([v[i] for v in vals], pa.int64()) for i in range(len(COUNTS))]
+        counts.clear()
+        return pa.RecordBatch.from_arrays(out, names=["lang", "kind", *COUNTS])
 
     for b in batches:
         for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -357,7 +408,8 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s, _ = simplify(text)
             lang = language_of(s, label)
             seen: set[str] = set()
-            for _, kind, token, nxt in reversed(marks(s, lang)):
+            found = marks(s, lang)
+            for _, kind, token, nxt in reversed(found):
                 if nxt in ("joined", "punct") or kind == "dots" and nxt not in ("upper", "end"):
                     continue
                 k = "<ref>" if kind in ("mark", "danda", "shad") else kind_key(kind, token)
@@ -365,29 +417,43 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if k in seen:  # a text that repeats a sentence tells no more of its last word
                         continue
                     seen.add(k)
-                n[lang, k] += 1
-                e[lang, k] += nxt == "end"
+                c = of(lang, k)
+                c[0] += 1
+                if nxt == "end":
+                    c[1] += 1
+                elif kind not in ("danda", "shad"):  # after these no script has capitals to tell by
+                    c[2 + NEXT.index(nxt)] += 1
+            known = KNOWN.get(lang, ())
+            last = ""
+            for _, kind, token, nxt in found:
+                if kind in ("stop", "mark", "danda", "shad") and nxt not in ("joined", "punct"):
+                    now = "i" if kind == "stop" and kind_key(kind, token) in known else "b"
+                    if last:
+                        of(lang, f"<after:{last}{now}>")[0] += 1
+                    last = now
             if lang == "zh" and rx["cjkmark"].search(s):
                 for part in rx["cjkmark"].split(s):
-                    part = rx["strip"].sub("", part).strip()
+                    part = "".join(rx["strip"].sub("", part).split())
                     if part:
-                        e["char", part[-1]] += 1
-                        n["char", part[-1]] += 0
+                        of("char", part[-1])[1] += 1
                         for c in part[:-1]:
-                            if not c.isspace():
-                                n["char", c] += 1
-        if len(n) > FLUSH:
+                            of("char", c)[0] += 1
+                        of("step", "ib" if len(part) > 1 else "bb")[0] += 1
+                        of("step", "bi")[0] += len(part) > 1
+                        of("step", "ii")[0] += max(0, len(part) - 2)
+        if len(counts) > FLUSH:
             yield rows()
     yield rows()
 
 
 def learn(df: DataFrame, text: str, language: str) -> Emissions:
     """Emissions from all texts. What comes to the driver: pooled classes, characters, and the tokens that end texts less than other words."""
-    c = df.select(text, language).mapInArrow(_learn, "lang string, kind string, n long, e long").groupBy("lang", "kind").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+    c = df.select(text, language).mapInArrow(_learn, LEARNED).groupBy("lang", "kind").agg(*[F.sum(x).alias(x) for x in COUNTS])
     known = ",".join(f"'{w}'" for w in sorted({w for ws in KNOWN.values() for w in ws}))
-    rare = c.filter(f"lang = 'char' or kind like '<%' or (n >= 15 and e < 0.1 * n) or kind in ({known})")
-    rows = [(r.lang, r.kind, r.n, r.e) for r in rare.toLocalIterator()]
-    return Emissions([r for r in rows if r[0] != "char"], {k: (e, n) for g, k, n, e in rows if g == "char"})
+    rare = c.filter(f"lang in ('char', 'step') or kind like '<%' or (n >= 15 and e < 0.1 * n) or kind in ({known})")
+    rows = [tuple(r) for r in rare.select("lang", "kind", *COUNTS).toLocalIterator()]
+    chars, steps = {r[1]: (r[3], r[2]) for r in rows if r[0] == "char"}, {r[1]: r[2] for r in rows if r[0] == "step"}
+    return Emissions([r for r in rows if r[0] not in ("char", "step")], chars, steps)
 
 
 def split_sentences(df: DataFrame, text: str = "raw_text", language: str = "language", key: str = "id") -> DataFrame:

@@ -129,6 +129,33 @@ def test_sentences_by_rule(model):
     assert f("", "en") == [] and f(" \n", "en") == [] and f("no mark", "en") == ["no mark"] and f("...", "en") == ["..."]
 
 
+def test_sentence_chain_decides():
+    """Transitions decide where a mark alone is open; a token's own followers tell it from a word that looks alike."""
+    step = sentences.Emissions._steps({"ii": 60, "ib": 20, "bi": 20, "bb": 400}, relative=True)
+    emit = [0.999, 0.48, 0.999, 0.001, 0.52, 0.001]
+    got = sentences.viterbi(emit, [False] * 6, step)
+    assert got == [True, True, True, False, False, False] != [p > 0.5 for p in emit]
+    rows = [("en", "<ref>", 4000, 1000, 2900, 60, 20, 20), ("en", "vol", 900, 0, 200, 100, 600, 0), ("en", "no", 500, 20, 60, 0, 420, 0), ("en", "word", 100, 25, 75, 0, 0, 0), ("en", "rare", 100, 19, 80, 1, 0, 0)]
+    m = sentences.Emissions(rows, {})
+    assert m.boundary("en", "stop", "no", "upper") > 0.5 > m.boundary("en", "stop", "no", "digit") and m.boundary("en", "stop", "vol", "upper") < 0.1
+    assert m.boundary("en", "stop", "word", "upper") > 0.9 < m.boundary("en", "stop", "rare", "upper"), "chance is no reason to take a word for an abbreviation"
+
+
+def test_chinese_without_marks_follows_what_was_learned(spark):
+    rnd = random.Random(8)
+    han = [chr(0x4E00 + i) for i in range(300)]
+    part = lambda: "".join(rnd.choices(han, k=rnd.randrange(5, 12))) + rnd.choice("也矣哉")
+    rows = [(i, "".join(part() + "。" for _ in range(6)), "lzh") for i in range(60)]
+    a, b, c = part(), part(), part()
+    rows += [(900, f"{a}\n{b}\u3000{c}", None), (901, f"{a[:3]} {a[3:]}\n{b}", "zh"), (902, a + b, "lzh")]
+    got = {}
+    for r in sentences.split_sentences(df(spark, rows)).filter("id >= 900").collect():
+        got.setdefault(r.id, []).append((r.start_char, r.end_char))
+    cut = {i: [t[x:y] for x, y in sorted(got[i])] for i, t, _ in rows if i >= 900}
+    assert cut[900] == [a, b, c] and cut[901] == [f"{a[:3]} {a[3:]}", b], "a blank that is no wide space ends nothing"
+    assert cut[902] == [a + b]
+
+
 @given(st.text(alphabet="aB. !?…”“「」。།༄ \n|1ā​中", max_size=60), st.sampled_from(["en", "bo", "lzh", None]))
 @settings(max_examples=300, deadline=None)
 def test_sentences_partition_the_text(t, g):
