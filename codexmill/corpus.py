@@ -17,6 +17,7 @@ from codexmill.operators import pointers as P
 from codexmill.operators import resolve as R
 from codexmill.operators import search as S
 from codexmill.operators import tables as T
+from codexmill.session import exists, spool
 
 TABLES = ("records", "works", "relations", "variants", "lemmas")
 NOTHING = "not enough data in the present corpus"
@@ -117,19 +118,28 @@ class Corpus:
         E.write_locator(E.locator_rows(E.locator(self.records, sh, self.lemmas)), f"{out}/locator")
 
     def materialize(self, out: str, per_corpus: int = 20) -> int:
-        """Pointers of every key of the universe that ``out`` lacks; returns how many keys were new."""
-        keys = P.key_universe(self.lemmas, self.records)
-        try:
-            keys = P.pending(keys, self.spark.read.parquet(out), ["query_kind", "key"])
-        except Exception:  # noqa: BLE001 - nothing written yet
-            pass
+        """Pointers of every key of the universe that ``out`` lacks; returns how many keys were new.
+
+        A run is one batch: first its ``pointers``, then its ``keys`` with the number of pointers of each (0 for a
+        key without hits, which is not searched again). Both are written over, so a batch that was lost half-way is
+        written whole by the next run.
+        """
+        keys, batch = P.key_universe(self.lemmas, self.records), 0
+        if exists(self.spark, f"{out}/keys"):
+            done = self.spark.read.parquet(f"{out}/keys")
+            keys, batch = P.pending(keys, done, ["query_kind", "key"]), done.agg(F.max("batch")).first()[0] + 1
+        keys = spool(keys, "keys")
         n = keys.count()
+        if not n:
+            return 0
         q = keys.select(F.concat_ws("\x00", "query_kind", "key").alias("query_id"), F.col("key").alias("query"), "query_kind")
         term = S.search(q.filter("query_kind = 'term'").select("query_id", "query"), self.records, self.lemmas, 1 << 30, candidates="all").drop("rank")
         ident = P.identifier_rows(self.records, q.filter("query_kind = 'identifier'"))
         best = P.best_sources(term.unionByName(ident.select(*term.columns)), per_corpus)
         rows = best.join(q.select("query_id", "query_kind"), "query_id").withColumnRenamed("query", "key")
-        rows.write.mode("append").parquet(out)
+        rows.write.mode("overwrite").parquet(f"{out}/pointers/batch={batch}")
+        found = self.spark.read.parquet(f"{out}/pointers/batch={batch}").groupBy("query_kind", "key").agg(F.count("*").alias("n_pointers"))
+        keys.join(found, ["query_kind", "key"], "left").fillna(0, ["n_pointers"]).write.mode("overwrite").parquet(f"{out}/keys/batch={batch}")
         return n
 
     def purge(self, corpus: str) -> dict[str, DataFrame]:

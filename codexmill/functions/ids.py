@@ -108,6 +108,13 @@ def relative_path(path: Column, prefix: str) -> Column:
     return F.when(path.startswith(p) & (F.length(path) > len(p)), F.substring(path, len(p) + 1, 1_000_000))
 
 
+def path_in_repository(path: Column, root: Column) -> Column:
+    """Path below the folder of a repository; one that is empty or outside is an error."""
+    head = F.concat(F.rtrim(root, F.lit("/")), F.lit("/"))
+    outside = F.raise_error(F.concat(F.lit("path is outside its repository: "), F.coalesce(path, F.lit("null"))))
+    return F.when(path.startswith(head) & (F.length(path) > F.length(head)), F.substring(path, F.length(head) + 1, F.length(path))).otherwise(outside)
+
+
 def valid_path(c: Column) -> Column:
     """A relative POSIX path without empty, ``.`` or ``..`` parts, backslash, colon or NUL."""
     return (

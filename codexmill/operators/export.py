@@ -74,10 +74,6 @@ def locator_keys(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return reduce(DataFrame.unionByName, [latin, cjk, ident.select("id", *keep, F.lit("identifier").alias("namespace"), "key", F.lit("exact").alias("kind"))])
 
 
-#: Entries of a lexicon up to which it is broadcast.
-LEXICON_ROWS = 500_000
-
-
 def locator(records: DataFrame, sharded: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
     """(namespace, bucket, key, corpus, shard, score, ordinal): of every key and shard the best record.
 
@@ -94,7 +90,7 @@ def locator(records: DataFrame, sharded: DataFrame, lemmas: DataFrame | None = N
     j = locator_keys(r, (*place, "_lt")).withColumn("_in", F.array_contains("_lt", F.col("key"))).drop("_lt")
     lemma = F.lit(False)
     if lemmas is not None:
-        m = broadcast_within(surface_map(lemmas).toDF("_s", "_lemma").groupBy("_s").agg(F.collect_set("_lemma").alias("_ls")), LEXICON_ROWS)
+        m = broadcast_within(surface_map(lemmas).toDF("_s", "_lemma").groupBy("_s").agg(F.collect_set("_lemma").alias("_ls")))
         # A key is a lemma of the record if another of its tokens has it as lemma, or its lemma text holds it.
         toks = records.select("id", F.explode(X.locator_tokens("raw_text", "title")).alias("t")).select("id", F.col("t.token").alias("key"))
         lem = toks.join(m, F.col("key") == F.col("_s")).select("id", "key", F.explode("_ls").alias("_lemma")).filter("_lemma <> key")

@@ -49,6 +49,9 @@ def neighbours(df: DataFrame, group: list[str], order: list[str], window: int, k
     if window < 0:
         raise ValueError("window must be non-negative")
     cols = [F.col(c).alias(f"_g{i}") for i, c in enumerate(group)]
+    if targets is not None:  # only the groups of the targets are put in order
+        seek = df.join(targets.select(key).distinct(), key, "left_semi").select(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(group)]).distinct()
+        df = df.join(seek, [F.col(c).eqNullSafe(F.col(f"_t{i}")) for i, c in enumerate(group)], "left_semi")
     o = spool(with_ordinal(df, [*group, *order]).select(key, "ordinal", *cols), "ordinal")
     left = o if targets is None else o.join(targets.select(key).distinct(), key, "left_semi")
     offsets = F.array(*[F.lit(k) for k in range(-window, window + 1) if k])

@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from codexmill.operators.order import with_ordinal
 from codexmill.session import broadcast_within
 
-#: Target keys up to this count are broadcast (about 100 bytes each).
-BROADCAST_KEYS = 200_000
 #: Intervals of one key that are held as an array; beyond, references and intervals are swept in order.
 MAX_SPANS = 1000
 
@@ -102,7 +100,7 @@ def find_orphans(
             sweep = (grouped.agg(F.max("n")).first()[0] or 0) > max_spans
             spans = target_spans(targets, own, valid_from, valid_to, with_spans=not sweep)
             spans = spans.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(own)], *[c for c in spans.columns if c.startswith("_")])
-            spans = broadcast_within(spans, BROADCAST_KEYS)
+            spans = broadcast_within(spans)
             if sweep:
                 part = _holds_by_sweep(part, targets, [(r, keys[r]) for r in present], at, valid_from, valid_to)
             on = None

@@ -37,17 +37,18 @@ def best_sources(rows: DataFrame, per_corpus: int) -> DataFrame:
 
 
 def pointers(rows: DataFrame, sources: DataFrame, blobs: DataFrame | None = None) -> DataFrame:
-    """(query_id, query, pointers): ranked pointers with repository and blob; a corpus without source mapping is an error.
+    """(query_id, query, pointers): ranked pointers with repository and blob.
+
+    A corpus without source mapping is an error, and so is a path that is not below its repository.
 
     sources: corpus, repository, repo_path (one row a corpus). blobs: repo_path,
     source_sha, path, blob_sha.
     """
-    j = rows.join(F.broadcast(sources), "corpus", "left")
+    j = rows.join(sources, "corpus", "left")
     lost = F.raise_error(F.concat(F.lit("missing source mapping for "), F.col("corpus")))
     j = j.withColumn("repository", F.when(F.col("repository").isNull(), lost).otherwise(F.col("repository")))
     j = j.withColumn("indexed_source_path", F.col("source_path"))
-    inside = F.when(F.col("source_path").startswith(F.concat("repo_path", F.lit("/"))), F.expr("substring(source_path, length(repo_path) + 2)")).otherwise(F.col("source_path"))
-    j = j.withColumn("source_path", inside)
+    j = j.withColumn("source_path", I.path_in_repository(F.col("source_path"), F.col("repo_path")))
     if blobs is not None:
         j = j.join(blobs.select("repo_path", "source_sha", F.col("path").alias("source_path"), F.col("blob_sha").alias("source_blob_sha")), ["repo_path", "source_sha", "source_path"], "left")
     else:

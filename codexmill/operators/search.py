@@ -32,8 +32,6 @@ MATCH_SCORE = {"exact": 120, "normalized": 95, "diacritic-folded": 75, "compact-
 LEMMA_SCORE, SEGMENT_SCORE = 80, 5
 #: BM25 of the word index.
 K1, B = 1.2, 0.75
-#: Words of all queries, and candidates, up to which they are broadcast (some 100 bytes each).
-BROADCAST_TERMS, BROADCAST_CANDIDATES = 200_000, 50_000
 #: Queries one scan may take.
 SCAN_QUERIES = 1000
 COLUMNS = ("raw_text", "norm_text", "folded_text", "compact_text", "lemma_text", "title")
@@ -142,7 +140,7 @@ def phrase_hits(terms: DataFrame, post: DataFrame) -> DataFrame:
     on = ["tok"]
     if "bucket" in post.columns:  # a stored index: only the buckets of the queries' words are read
         q, on = q.withColumn("bucket", _bucket("tok")), ["tok", "bucket"]
-    q = broadcast_within(q, BROADCAST_TERMS)  # few words: the postings are filtered where they are read
+    q = broadcast_within(q)  # few words: the postings are filtered where they are read
     hit = post.withColumnRenamed("term", "tok").join(q, on).withColumn("start", F.col("pos") - F.col("off"))
     single = hit.filter("n = 1").select("query_id", "term", "id")
     several = hit.filter("n > 1").groupBy("query_id", "term", "id", "col", "start", "n").agg(F.count_distinct("off").alias("k")).filter("k = n").select("query_id", "term", "id")
@@ -177,7 +175,7 @@ def cjk_candidates(queries: DataFrame, grams: DataFrame, records: DataFrame, cap
     on = ["gram"]
     if "bucket" in grams.columns:
         g, on = g.withColumn("bucket", _bucket("gram")), ["gram", "bucket"]
-    hit = grams.join(broadcast_within(g, BROADCAST_TERMS), on).groupBy("query_id", "id").agg(F.count("*").alias("k")).join(n, "query_id").filter("k = n").select("query_id", "id")
+    hit = grams.join(broadcast_within(g), on).groupBy("query_id", "id").agg(F.count("*").alias("k")).join(n, "query_id").filter("k = n").select("query_id", "id")
     r = records.filter(F.col("language").isin("lzh", "zh")).select("id", "raw_text")
     hit = hit.join(q, "query_id").join(r, "id").withColumn("c", X.compact("raw_text")).filter(F.contains("c", "cjk"))
     if cap is None:
@@ -293,7 +291,7 @@ def search(
         cjk = cjk.join(r, "id").join(f, "query_id").filter(on).select("query_id", "id")
     found = word.unionByName(cjk).distinct()
     if cap is not None:  # few: the records are filtered where they are read
-        found = broadcast_within(spool(found, "candidates"), BROADCAST_CANDIDATES)
+        found = broadcast_within(found)
     found = scored(found, q, records, forms, places)
     return top_per(found, ["query_id"], rank_order(), limit)
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codexmill.session import drop, exists
+
 RECORD_KEY = ["corpus", "source_path", "segment_id", "language", "witness"]
 RELATION_KEY = ["corpus", "relation_type", "from_id", "to_id", "source_path"]
 WORK_KEY = ["corpus", "work_id", "source_path"]
@@ -63,33 +66,64 @@ def setdiff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def build(
-    spark: SparkSession, out: str, sources: dict[str, tuple[str, str, Callable[[], dict[str, DataFrame]]]], force: bool = False, only: list[str] | None = None
+    spark: SparkSession, out: str, sources: dict[str, tuple[str, str, Callable[[], dict[str, DataFrame]]]], force: bool = False, only: list[str] | None = None, manifest: dict[str, str] | None = None
 ) -> list[str]:
     """Incremental build: parse the sources that changed and replace their partitions.
 
     sources: corpus -> (source_sha, parser_version, function giving its tables by
     name). Each table is written partitioned by corpus with dynamic overwrite, the
-    state row last, so a lost run leaves the old state. Returns the corpora built.
+    state row last, so a lost run leaves the old state. ``manifest`` (corpus -> sha) pins
+    what a source must be: another sha is an error before anything is written. A build
+    takes away the mark of the search index, which no longer fits. Returns the corpora built.
     """
     unknown = set(only or ()) - set(sources)
     if unknown:
         raise ValueError(f"unknown sources: {sorted(unknown)}")
-    try:
+    for corpus, sha in (manifest or {}).items():
+        if corpus in sources and sources[corpus][0] != sha:
+            raise ValueError(f"{corpus} is at {sources[corpus][0]}, the manifest pins {sha}")
+    state = {}
+    if exists(spark, f"{out}/source_state"):
         state = {r.corpus: (r.source_sha, r.parser_version) for r in spark.read.parquet(f"{out}/source_state").collect()}  # one row a corpus
-    except Exception:  # noqa: BLE001 - no state yet
-        state = {}
     done = []
     for corpus, (sha, version, parse) in sources.items():
         if only and corpus not in only or not force and state.get(corpus) == (sha, version):
             continue
+        drop(spark, f"{out}/search_index_state")
+        counts = {}
         for name, df in parse().items():
             df.withColumn("corpus", F.lit(corpus)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("corpus").parquet(f"{out}/{name}")
-        row = spark.range(1).select(F.lit(corpus).alias("corpus"), F.lit(sha).alias("source_sha"), F.lit(version).alias("parser_version"), F.current_timestamp().alias("indexed_at"))
+            counts[name] = spark.read.parquet(f"{out}/{name}").filter(F.col("corpus") == corpus).count()
+        n = [F.lit(counts.get(t, 0)).cast("long").alias(f"{t[:-1]}_count") for t in ("records", "relations", "variants", "lemmas")]
+        row = spark.range(1).select(F.lit(corpus).alias("corpus"), F.lit(sha).alias("source_sha"), F.lit(version).alias("parser_version"), F.current_timestamp().alias("indexed_at"), *n)
         row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("corpus").parquet(f"{out}/source_state")
         done.append(corpus)
     return done
 
 
+def corpus_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(corpus, table_name, rows) of every table that has a corpus."""
+    parts = [df.groupBy("corpus").agg(F.count("*").alias("rows")).select("corpus", F.lit(n).alias("table_name"), "rows") for n, df in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def corpora(tables: list[DataFrame]) -> DataFrame:
+    """(corpus): every corpus that some table names."""
+    return reduce(DataFrame.unionByName, [df.select("corpus").distinct() for df in tables]).distinct()
+
+
+def source_status(expected: DataFrame, present: DataFrame) -> DataFrame:
+    """(corpus, present, sha_match, status) of pinned sources.
+
+    expected: corpus, source_sha. present: corpus, source_sha as found; a source found at several is no match.
+    """
+    p = present.groupBy("corpus").agg(F.min("source_sha").alias("_a"), F.max("source_sha").alias("_b"))
+    j = expected.select("corpus", "source_sha").join(p, "corpus", "left")
+    ok = F.coalesce((F.col("_a") == F.col("source_sha")) & (F.col("_b") == F.col("source_sha")), F.lit(False))
+    status = F.when(F.col("_a").isNull(), "missing").when(ok, "pinned").otherwise("moved")
+    return j.select("corpus", F.col("_a").isNotNull().alias("present"), ok.alias("sha_match"), status.alias("status"))
+
+
 def latest_delivery(records: DataFrame) -> DataFrame:
     """Of rows delivered again under one natural key, the last by arrival and id."""
     return upsert(records, RECORD_KEY, ["ingested_at", "id"])

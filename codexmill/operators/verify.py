@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,7 +86,7 @@ def evidence_checks(candidates: DataFrame, contract: DataFrame, opened: DataFram
     c = candidates
     k = contract.select("corpus", *[F.col(x).alias(f"c_{x}") for x in ("repo_path", "repository", "source_sha", "evidence_class")])
     o = opened.select("evidence_id", *[F.col(x).alias(f"o_{x}") for x in ("content", "excerpt_range", "source_sha", "source_path", "blob_sha", "work_id", "segment_id", "sequence_no")])
-    j = c.join(F.broadcast(k), "corpus", "left").join(o, "evidence_id", "left")
+    j = c.join(k, "corpus", "left").join(o, "evidence_id", "left")
     text = lambda x: F.btrim(F.coalesce(F.col(x), F.lit(""))) != ""
     span = F.col("o_excerpt_range")
     excerpt = F.when(range_ok(F.col("o_content"), span), F.expr("substring(o_content, try_element_at(o_excerpt_range, 1) + 1, try_element_at(o_excerpt_range, 2) - try_element_at(o_excerpt_range, 1))"))
@@ -138,16 +138,18 @@ def source_families(evidence: DataFrame, group: str, key: str = "id", family: li
 
     Equality of these columns is transitive, so families are a hash aggregate, not a search over pairs.
     """
-    cols = family or FAMILY
-    return evidence.withColumn("family", F.min(key).over(Window.partitionBy(group, *cols)))
+    cols = [group, *(family or FAMILY)]
+    least = evidence.groupBy(*[F.col(c).alias(f"_f{i}") for i, c in enumerate(cols)]).agg(F.min(key).alias("family"))
+    return evidence.join(least, [F.col(c).eqNullSafe(F.col(f"_f{i}")) for i, c in enumerate(cols)]).select(*evidence.columns, "family")
 
 
 def independent_sources(evidence: DataFrame, group: str, derived: DataFrame | None = None, key: str = "id", family: list[str] | None = None) -> DataFrame:
     """(group, n_items, n_families): items and families of sources.
 
     Families by equal columns are one hash aggregate. ``derived`` (key, from_key)
-    merges families that depend on each other, by repeated least labels over the
-    families of the few items that are derived.
+    merges families that depend on each other: each takes the least label among its
+    neighbours and then its label's label, until none changes, so a chain of n
+    families takes some log n rounds.
     """
     cols = family or FAMILY
     if derived is None:
@@ -160,12 +162,14 @@ def independent_sources(evidence: DataFrame, group: str, derived: DataFrame | No
     links = derived.join(a, derived[key] == a["_ka"]).join(b, F.col("from_key") == b["_kb"]).filter("_ga = _gb and fa <> fb").select("fa", "fb")
     links = spool(links.unionByName(links.select(F.col("fb").alias("fa"), F.col("fa").alias("fb"))).distinct(), "links")
     label = fam.select("family").distinct().withColumn("root", F.col("family"))
-    for _ in range(64):
+    while True:
         low = links.join(label.withColumnRenamed("family", "fb"), "fb").groupBy("fa").agg(F.min("root").alias("near"))
-        new = label.join(low, label["family"] == low["fa"], "left").select("family", F.least("root", F.coalesce("near", "root")).alias("root"), (F.col("near") < F.col("root")).alias("moved"))
+        new = label.join(low, label["family"] == low["fa"], "left").select("family", F.col("root").alias("was"), F.least("root", F.coalesce("near", "root")).alias("root"))
         new = spool(new, "labels")
+        up = new.select(F.col("family").alias("_f"), F.col("root").alias("_r"))
+        new = spool(new.join(up, F.col("root") == F.col("_f")).select("family", "was", F.least("root", "_r").alias("root")), "labels")
         label = new.select("family", "root")
-        if not new.filter("moved").limit(1).count():
+        if new.filter("root < was").isEmpty():
             break
     return fam.join(label, "family").groupBy(group).agg(F.count("*").alias("n_items"), F.count_distinct("root").alias("n_families"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -48,13 +49,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (single-process tests) a temporary
-    folder is chosen and set for the session.
+    Where the session leaves it unset and runs in one process (tests), a temporary
+    folder is chosen and set for the session; on a cluster that is an error, as a
+    folder of one machine is none that executors share.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.conf.get("codexmill.shared.dir", None)
         if not d:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             d = "file://" + tempfile.mkdtemp(prefix="codexmill-")
             spark.conf.set("codexmill.shared.dir", d)
     return d.rstrip("/")
@@ -80,16 +84,61 @@ def sweep(spark: SparkSession) -> int:
     """Deletes the tables spooled so far; call it once the results that read them are written."""
     n = 0
     while _SPOOLED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_SPOOLED.pop())
-        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+        n += drop(spark, _SPOOLED.pop())
     return n
 
 
-def broadcast_within(df: DataFrame, max_rows: int, probe: DataFrame | None = None) -> DataFrame:
-    """Broadcast hint only when a count proves the side small.
+#: Bytes of a side that may be broadcast, counted as JSON text.
+BROADCAST_BYTES = 16_000_000
 
-    ``probe`` is a cheaper frame with the same rows to count. Beyond the bound
-    the frame is returned as it is, so the join shuffles.
+
+def broadcast_within(df: DataFrame, max_bytes: int = BROADCAST_BYTES, spooled: bool = False) -> DataFrame:
+    """``df`` with a broadcast hint if it is proven to be no larger than ``max_bytes``, else as it is, so that the join shuffles.
+
+    The side is computed once: it is spooled before it is measured, unless it is ``spooled`` already.
+    """
+    df = df if spooled else spool(df, "side")
+    row = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n = df.agg(F.sum(row).alias("n")).first().n or 0
+    return F.broadcast(df) if n <= max_bytes else df
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there; a store that fails to answer is an error, not an absence."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def drop(spark: SparkSession, path: str) -> bool:
+    """Deletes a file or folder; false if there was none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def publish(spark: SparkSession, path: str, write, force: bool = False) -> None:
+    """Writes a folder beside ``path`` with ``write(stage)`` and puts it in its place, the former content until then untouched.
+
+    A folder that holds something and was not published this way (it lacks the mark) is refused unless forced.
     """
-    n = (probe if probe is not None else df).limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = lambda x: jvm.org.apache.hadoop.fs.Path(x)
+    fs = at(path).getFileSystem(conf)
+    if fs.exists(at(path)) and not force and not fs.exists(at(f"{path}/{MARK}")) and len(fs.listStatus(at(path))):
+        raise ValueError(f"{path} holds something that was not published here")
+    stage, old = f"{path}.stage-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    try:
+        write(stage)
+        fs.create(at(f"{stage}/{MARK}")).close()
+        if fs.exists(at(path)):
+            fs.rename(at(path), at(old))
+        if not fs.rename(at(stage), at(path)):
+            if fs.exists(at(old)):
+                fs.rename(at(old), at(path))
+            raise OSError(f"{path} could not be put in place")
+    finally:
+        for leftover in (stage, old):
+            fs.delete(at(leftover), True)
+
+
+#: Name of the file that marks a published folder; readers of tables pass names with an underscore by.
+MARK = "_PUBLISHED"

@@ -1,4 +1,4 @@
-"""Line-aligned texts in several languages, and the distinct lexicon of a lemma scan."""
+"""Aligned texts in several languages (lines, translation memories), and the distinct lexicon of a lemma scan."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexmill.functions import text as X
+from codexmill.sources.files import FIELDS
 
 
 def aligned_lines(spark: SparkSession, root: str, glob: str) -> DataFrame:
@@ -22,7 +23,7 @@ def aligned_lines(spark: SparkSession, root: str, glob: str) -> DataFrame:
 def aligned_records(lines: DataFrame, catalog: DataFrame) -> DataFrame:
     """Records of aligned lines, with title and source of the catalog (file, title, source) where it has the file."""
     group = F.concat("work_id", F.lit(":line:"), (F.col("line_no") + 1).cast("string"))
-    j = lines.withColumn("_g", group).join(F.broadcast(catalog.select("file", "title", "source")), "file", "left")  # one row a file
+    j = lines.withColumn("_g", group).join(catalog.select("file", "title", "source"), "file", "left")
     return j.select(
         "language", "work_id", F.concat("_g", F.lit(":"), "language").alias("segment_id"), "title", "raw_text", F.col("file").alias("source_path"), F.lit("parallel_alignment").alias("evidence_class"),
         F.lit("alignment_text").alias("text_role"), F.col("source").alias("witness"), F.array("_g").alias("relation_ids"), F.col("line_no").alias("sequence_no"),
@@ -35,6 +36,38 @@ def alignments(records: DataFrame) -> DataFrame:
     return g.filter(F.size("m") > 1).select(F.lit("line_alignment").alias("relation_type"), F.col("m")[0].alias("from_id"), F.explode(F.slice("m", 2, 1_000)).alias("to_id"), "group_id")
 
 
+#: A translation memory: units of the same passage in two languages.
+MEMORY = "struct<`text-id`:string,tus:array<struct<tibetan:string,english:string,`passage-xmlId`:string,folio:string,creation_method:string>>>"
+
+
+def translation_memory(files: DataFrame) -> DataFrame:
+    """Tagged rows of (source_path, content) of translation memories: of each unit two records and the edge between them.
+
+    Content that is not such JSON gives nothing; a unit without text in a language gives a blank record, which ``split`` drops.
+    """
+    body = files.select("source_path", F.from_json(F.col("content").cast("string"), MEMORY).alias("b"))
+    stem = F.regexp_extract("source_path", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    u = body.select("source_path", F.coalesce("b.text-id", stem).alias("work_id"), F.posexplode("b.tus").alias("no", "u"))
+    u = u.withColumn("pair", F.concat("work_id", F.lit(":tu:"), (F.col("no") + 1).cast("string"))).withColumn("passage", F.coalesce("u.passage-xmlId", "pair"))
+    side = lambda lang: F.concat("pair", F.lit(f":{lang}"))
+    text = lambda lang, column: F.struct(
+        F.lit("record").alias("kind"), F.lit(lang).alias("language"), side(lang).alias("segment_id"), F.coalesce(column, F.lit("")).alias("raw_text"), F.lit("alignment_text").alias("text_role"),
+        F.col("u.creation_method").alias("witness"), F.array("pair", "passage", F.coalesce("u.folio", F.lit(""))).alias("relation_ids"), F.col("no").cast("long").alias("sequence_no"),
+        *[F.lit(None).cast("string").alias(c) for c in ("relation_type", "from_id", "to_id", "details_json")],
+    )
+    about = F.to_json(F.struct(F.col("passage").alias("passage_id"), "u.folio", "u.creation_method"), {"ignoreNullFields": "false"})
+    edge = F.struct(
+        F.lit("relation").alias("kind"), *[F.lit(None).cast("string").alias(c) for c in ("language", "segment_id", "raw_text")], F.lit("unspecified").alias("text_role"), F.lit(None).cast("string").alias("witness"),
+        F.lit(None).cast("array<string>").alias("relation_ids"), F.lit(None).cast("long").alias("sequence_no"), F.lit("translation_alignment").alias("relation_type"),
+        side("bo").alias("from_id"), side("en").alias("to_id"), about.alias("details_json"),
+    )
+    rows = u.select("source_path", "work_id", "no", F.posexplode(F.array(text("bo", "u.tibetan"), text("en", "u.english"), edge)).alias("part", "r"))
+    have = {"work_id": F.when(F.col("r.kind") == "record", F.col("work_id")), "evidence_class": F.lit("parallel_alignment"), "position": (F.col("no") * 3 + F.col("part")).cast("long")}
+    inner = ("kind", "language", "segment_id", "raw_text", "text_role", "witness", "relation_ids", "sequence_no", "relation_type", "from_id", "to_id", "details_json")
+    have |= {c: F.col(f"r.{c}") for c in inner}
+    return rows.select("source_path", *[have.get(c, F.lit(None).cast(kind)).alias(c) for c, kind in FIELDS.items()])
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """CSV with header; a byte order mark is passed over."""
     c = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)

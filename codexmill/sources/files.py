@@ -9,6 +9,7 @@ format demands. Inside a file, ``position`` keeps the order of rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -39,21 +40,30 @@ TABLES = {
 
 def scan(spark: SparkSession, root: str, glob: str, parser: Parser) -> DataFrame:
     """Tagged rows of all files below ``root`` that match ``glob`` (relative, may be nested)."""
+    return parse(read_files(spark, root, glob), parser)
+
+
+def read_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """(source_path, content) of the files below ``root`` that match ``glob``; paths are relative to it."""
     base = root.rstrip("/")
-    files = spark.read.format("binaryFile").load(f"{base}/{glob}").select("path", "content")
+    mark = base.split("://")[-1] + "/"
+    files = spark.read.format("binaryFile").load(f"{base}/{glob}")
+    return files.select(F.element_at(F.split("path", re.escape(mark), 2), -1).alias("source_path"), "content")
+
+
+def parse(files: DataFrame, parser: Parser) -> DataFrame:
+    """Tagged rows of (source_path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mark = base.split("://")[-1] + "/"
         for b in batches:
-            for path, content in zip(b["path"], b["content"]):
-                rel = path[path.index(mark) + len(mark) :] if mark in path else path
+            for rel, content in zip(b["source_path"], b["content"]):
                 rows = [{"text_role": "unspecified", **r, "position": i, "source_path": rel} for i, r in enumerate(parser(rel, bytes(content)))]
                 if rows:
                     cols = {c: [r.get(c) for r in rows] for c in ("source_path", *FIELDS)}
                     # Python objects in every column: extension types may come chunked, which the writer refuses.
                     yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in cols.items()})
 
-    return files.mapInPandas(run, SCHEMA)
+    return files.select("source_path", "content").mapInPandas(run, SCHEMA)
 
 
 def split(rows: DataFrame, corpus: str, source_sha: str) -> dict[str, DataFrame]:

@@ -1,6 +1,7 @@
 """The corpus on disk, its single queries, source spans and pinned blobs."""
 
 import json
+import shutil
 import subprocess
 
 import pytest
@@ -57,11 +58,14 @@ def test_export_and_resumed_pointers(corpus, spark, tmp_path):
     corpus.export(str(tmp_path / "e"))
     assert spark.read.json(str(tmp_path / "e/records")).count() == 250
     out = str(tmp_path / "p")
-    assert corpus.materialize(out, 3) > 0
-    first = spark.read.parquet(out).select("query_kind", "key").distinct().count()
-    corpus.materialize(out, 3)
-    assert spark.read.parquet(out).select("query_kind", "key").distinct().count() == first
-    assert spark.read.parquet(out).groupBy("query_kind", "key", "corpus").count().filter("count > 3").count() == 0
+    n = corpus.materialize(out, 3)
+    ptr = spark.read.parquet(f"{out}/pointers")
+    keys, n_ptr = spark.read.parquet(f"{out}/keys"), ptr.count()
+    assert n > 0 and keys.count() == n and ptr.groupBy("query_kind", "key", "corpus").count().filter("count > 3").count() == 0
+    assert keys.filter("n_pointers > 0").count() == ptr.select("query_kind", "key").distinct().count()
+    assert corpus.materialize(out, 3) == 0 and spark.read.parquet(f"{out}/keys").count() == n
+    shutil.rmtree(f"{out}/keys")  # as if the run had been lost before its keys
+    assert corpus.materialize(out, 3) == n and spark.read.parquet(f"{out}/pointers").count() == n_ptr
 
 
 def test_command_line(corpus, capsys):
@@ -77,33 +81,42 @@ def test_scan_search(corpus, spark):
     assert r.id in {x.id for x in got} and got[0].kind == "exact"
 
 
-def test_json_spans():
+def find(spark, kind, content, *selectors, path="a.json"):
+    """Of each selector (segment, number, work, quotation) the excerpt, its ranges and the error."""
+    rows = [(str(i), path, *(list(x) + [None] * 4)[:4]) for i, x in enumerate(selectors)]
+    sel = spark.createDataFrame(rows, "evidence_id string, source_path string, segment_id string, sequence_no long, work_id string, quotation string")
+    files = spark.createDataFrame([(path, content)], "source_path string, content string")
+    got = {r.evidence_id: r for r in spans.resolve_spans(sel, files, kind).collect()}
+    assert len(got) == len(rows)
+    return [got[str(i)] for i in range(len(rows))]
+
+
+def test_json_spans(spark):
     body = '{"mn1:1": "Evaṃ me", "mn1:2": "a\\u0062", "mn1:3": " ", "mn1:4": "x <b>y</b>", "mn1:5": "last"}'
-    u = spans.json_units(body, "a.json")
-    r = spans.locate(u, body, "mn1:1", 0, "mn1")
-    assert body[slice(*r["excerpt_range"])] == "Evaṃ me" and body[slice(*r["context_range"])].endswith('"a\\u0062"')
-    for seg in ("mn1:2", "mn1:3", "mn1:4", "none"):
-        with pytest.raises(ValueError):
-            spans.locate(u, body, seg)
-    for bad in ('{"a": "x", "a": "y"}', "[1]", '{"a": {"b": "c"}}'):
+    r, *bad, chunk, other = find(spark, "json", body, ("mn1:1", 0, "mn1"), ("mn1:2",), ("mn1:3",), ("mn1:4",), ("none",), ("mn1:1", 7), ("mn1:1..mn1:5", None, None, "last"), ("mn1:1", 0, "mn2"))
+    assert r.excerpt == "Evaṃ me" == body[slice(*r.excerpt_range)] and body[slice(*r.context_range)].endswith('"a\\u0062"') and r.error is None
+    assert all(x.error and x.excerpt is None and x.excerpt_range is None for x in (*bad, other))
+    assert chunk.excerpt == "last"
+    for wrong in ('{"a": "x", "a": "y"}', "[1]", '{"a": {"b": "c"}}', ""):
         with pytest.raises(ValueError):
-            spans.json_units(bad, "a.json")
+            spans.json_units(wrong, "a.json")
+        assert find(spark, "json", wrong, ("a",))[0].error
     assert [x.segment for x in spans.json_units(body, "a.json", True)] == ["mn1:1..mn1:5"]
 
 
 def test_tei_spans(spark):
     line = '<TEI xmlns="http://www.tei-c.org/ns/1.0" xml:id="T1"><text><body><p><lb n="1a01"/>如是<note>注</note>我聞<lb n="1a02"/>一時&amp;佛</p></body></text></TEI>'
-    u = spans.line_units(line, "T/T1.xml")
-    r = spans.locate(u, line, "T1:1a01", 0, "T1", "我聞")
-    assert line[slice(*r["excerpt_range"])] == "我聞" and [x.segment for x in u] == ["T1:1a01", "T1:1a02"]
+    quoted, plain = find(spark, "line_tei", line, ("T1:1a01", 0, "T1", "我聞"), ("T1:1a01", 0, "T1"), path="T/T1.xml")
+    assert quoted.excerpt == "我聞" == line[slice(*quoted.excerpt_range)] and plain.excerpt == "如是"
+    assert [x.segment for x in spans.line_units(line, "T/T1.xml")] == ["T1:1a01", "T1:1a02"]
     page = '<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><publicationStmt><idno xml:id="U1"/></publicationStmt></fileDesc></teiHeader><text><body><head>H</head><p xml:id="p1">one<note>in</note> two</p></body></text></TEI>'
     u = spans.passage_units(page, "a.xml")
     assert [(x.segment, x.number) for x in u] == [("U1", 0), ("p1", 1), ("p1:synthetic-note:1:1", 1)]
-    assert page[slice(*spans.locate(u, page, "p1:synthetic-note:1:1")["excerpt_range"])] == "in" and page[slice(*spans.locate(u, page, "p1")["excerpt_range"])] in ("one", " two")
-    sel = spark.createDataFrame([("e1", "a.xml", "U1", "p1", 1, "one"), ("e2", "a.xml", "U1", "zz", None, None), ("e3", "b.xml", "U1", "p1", 1, None)], "evidence_id string, source_path string, work_id string, segment_id string, sequence_no long, quotation string")
-    files = spark.createDataFrame([("a.xml", page)], "source_path string, content string")
-    got = {x.evidence_id: (x.excerpt, x.error) for x in spans.resolve_spans(sel, files, "passage_tei").collect()}
-    assert got["e1"] == ("one", None) and got["e2"][1] and got["e3"][1]
+    note, p1, one, none = find(spark, "passage_tei", page, ("p1:synthetic-note:1:1",), ("p1",), ("p1", 1, "U1", "one"), ("zz",), path="a.xml")
+    assert note.excerpt == "in" and p1.excerpt == " two" and one.excerpt == "one" and none.error == "no such location"
+    sel = spark.createDataFrame([("e1", "a.xml", "U1", "p1", 1, "one")] * 2 + [("e3", "b.xml", "U1", "p1", 1, None)], "evidence_id string, source_path string, work_id string, segment_id string, sequence_no long, quotation string")
+    got = spans.resolve_spans(sel, spark.createDataFrame([("a.xml", page)], "source_path string, content string"), "passage_tei").collect()
+    assert sorted((x.evidence_id, x.excerpt, x.error) for x in got if x.error is None) == [("e1", "one", None)] * 2 and [x.error for x in got if x.evidence_id == "e3"] == ["source is unavailable"]
     with pytest.raises(ValueError):
         spans.line_units('<!DOCTYPE x [<!ENTITY e "v">]><TEI><body/></TEI>', "x.xml")
 

@@ -82,9 +82,6 @@ def test_line_text_runs():
 
 
 def test_json_formats():
-    tm = {"text-id": "W", "tus": [{"tibetan": "བོད", "english": "x", "passage-xmlId": "p", "folio": None}]}
-    rows = list(P.translation_memory("a.json", json.dumps(tm).encode()))
-    assert [r.get("segment_id") for r in rows] == ["W:tu:1:bo", "W:tu:1:en", None] and rows[0]["relation_ids"] == ["W:tu:1", "p", ""]
     z = gzip.compress(json.dumps({"T1_1:0": "如", "": "x"}).encode())
     assert [(r["work_id"], r["raw_text"]) for r in P.segmented_json("lzh")("d/T1.json.gz", z)] == [("T1_1", "如"), ("T1", "x")]
     lem = {"id": "mn1", "segments": [{"id": "mn1:1", "pali": "Evaṃ", "tokens": [{"word": "Evaṃ", "lemma": "evaṃ", "pos": "ind", "case": "n"}, {"word": "x"}]}]}
@@ -94,6 +91,16 @@ def test_json_formats():
     assert [(r["segment_id"], r["confidence"]) for r in P.critical_json("a.json", json.dumps(crit).encode())] == [("mn1:token:3", 0.5)]
 
 
+def test_translation_memory(spark):
+    tm = {"text-id": "W", "tus": [{"tibetan": "བོད", "english": "x", "passage-xmlId": "p", "folio": None}, {"english": "y", "creation_method": "m"}]}
+    files = [("d/a.json", json.dumps(tm).encode()), ("d/b.c.json", b'{"tus": [{"tibetan": "k"}]}'), ("d/bad.json", b"[1"), ("d/none.json", b"{}")]
+    rows = A.translation_memory(spark.createDataFrame(files, "source_path string, content binary")).orderBy("source_path", "position").collect()
+    assert [(r.segment_id, r.raw_text) for r in rows if r.kind == "record"] == [("W:tu:1:bo", "བོད"), ("W:tu:1:en", "x"), ("W:tu:2:bo", ""), ("W:tu:2:en", "y"), ("b.c:tu:1:bo", "k"), ("b.c:tu:1:en", "")]
+    assert rows[0].relation_ids == ["W:tu:1", "p", ""] and rows[3].witness == "m" and rows[3].relation_ids == ["W:tu:2", "W:tu:2", ""]
+    edges = [(r.from_id, r.to_id, json.loads(r.details_json)) for r in rows if r.kind == "relation"]
+    assert edges[0] == ("W:tu:1:bo", "W:tu:1:en", {"passage_id": "p", "folio": None, "creation_method": None}) and len(edges) == 3
+
+
 def test_paged_text():
     rows = list(P.paged_text("pli")("a.txt", b"Title\nbefore\npage 1\n====\nx\ny\npage 2\n\npage 3\nz"))
     assert recs(rows) == [("Title:page:1", "x\ny"), ("Title:page:3", "z")] and [r["sequence_no"] for r in rows] == [0, 1]
