@@ -46,9 +46,10 @@ def pointers(rows: DataFrame, sources: DataFrame, blobs: DataFrame | None = None
     """
     j = rows.join(sources, "corpus", "left")
     lost = F.raise_error(F.concat(F.lit("missing source mapping for "), F.col("corpus")))
-    j = j.withColumn("repository", F.when(F.col("repository").isNull(), lost).otherwise(F.col("repository")))
+    j = j.withColumn("repo_path", F.when(F.col("repository").isNull(), lost).otherwise(F.col("repo_path")))
     j = j.withColumn("indexed_source_path", F.col("source_path"))
-    j = j.withColumn("source_path", I.path_in_repository(F.col("source_path"), F.col("repo_path")))
+    inside = I.path_in_repository(F.col("source_path"), F.col("repo_path"))
+    j = j.withColumn("source_path", F.when(F.col("repository").isNotNull(), inside))
     if blobs is not None:
         j = j.join(blobs.select("repo_path", "source_sha", F.col("path").alias("source_path"), F.col("blob_sha").alias("source_blob_sha")), ["repo_path", "source_sha", "source_path"], "left")
     else:

@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexmill.functions import text as X
-from codexmill.sources.files import FIELDS
+from codexmill.sources.files import FIELDS, read_files
 
 
 def aligned_lines(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """(source_path, file, work_id, language, line_no, raw_text) of files ``<work>-<language>.txt``."""
-    f = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{glob}")
+    return lines_of(read_files(spark, root, glob))
+
+
+def lines_of(files: DataFrame) -> DataFrame:
+    """The same of (source_path, content)."""
+    f = files.withColumnRenamed("source_path", "path")
     name = F.element_at(F.split("path", "/"), -1)
     text = F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n")
     lines = F.split(F.regexp_replace(text, "\n$", ""), "\n")
