@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from codexmill.llm import encoding, leakage, lookalike, packing, sentences, spans, splitting, terms
-from codexmill.session import table
+from codexmill.session import spread, table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    t = table
+    def t(s: SparkSession, d: str, name: str) -> DataFrame:
+        return spread(table(s, d, name))  # tables of a few row groups only
+
     return {
         "p1_found": lambda s, d: spans.shared_spans(t(s, d, "records")),
         "p1_report": lambda s, d: spans.shared_report(t(s, d, "records")),
