@@ -11,7 +11,7 @@ from codexmill.functions import ids as I
 from codexmill.functions import text as X
 from codexmill.operators import search as S
 from codexmill.operators.order import neighbours, with_ordinal
-from codexmill.session import broadcast_within
+from codexmill.session import broadcast_within, publish, spool, spread
 
 SHARD_BYTES, LOCATOR_BYTES = 512 * 1024, 8 * 1024 * 1024
 EXPORT = ("id", "corpus", "language", "collection_name", "work_id", "segment_id", "title", "raw_text", "source_path", "source_sha", "evidence_class", "text_role", "witness", "relation_ids", "sequence_no")
@@ -66,7 +66,8 @@ def surface_map(lemmas: DataFrame) -> DataFrame:
 
 def locator_keys(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, namespace, key, kind, kept columns): Latin tokens, CJK bigrams and identifiers of every record."""
-    latin = records.select("id", *keep, F.explode(X.locator_tokens("raw_text", "title")).alias("t")).select("id", *keep, F.lit("latin").alias("namespace"), F.col("t.token").alias("key"), F.col("t.kind").alias("kind"))
+    toks = F.col("_toks") if "_toks" in records.columns else X.locator_tokens("raw_text", "title")
+    latin = records.select("id", *keep, F.explode(toks).alias("t")).select("id", *keep, F.lit("latin").alias("namespace"), F.col("t.token").alias("key"), F.col("t.kind").alias("kind"))
     c = records.select("id", *keep, "raw_text", X.compact("raw_text").alias("_c"))
     cjk = c.select("id", *keep, "raw_text", F.explode(X.cjk_bigrams(F.col("_c"))).alias("key"))
     cjk = cjk.select("id", *keep, F.lit("cjk").alias("namespace"), "key", F.when(F.contains("raw_text", "key"), "exact").otherwise("compact-unicode").alias("kind"))
@@ -84,19 +85,23 @@ def locator(records: DataFrame, sharded: DataFrame, lemmas: DataFrame | None = N
     """
     # What a key's score needs of its record travels as one number and one list.
     base = S.score(F.lit("exact"), F.lit(False)) - S.MATCH_SCORE["exact"]
-    r = records.drop("corpus").join(sharded.select("id", "corpus", "shard", "ordinal"), "id").withColumn("_base", base)
+    r = spread(records).drop("corpus").join(sharded.select("id", "corpus", "shard", "ordinal"), "id").withColumn("_base", base)
     r = r.withColumn("_lt", F.split(F.coalesce("lemma_text", F.lit("")), r"\s+"))
     place = ("corpus", "shard", "ordinal", "_base")
-    j = locator_keys(r, (*place, "_lt")).withColumn("_in", F.array_contains("_lt", F.col("key"))).drop("_lt")
+    r = r.select("id", *place, "raw_text", "work_id", "segment_id", "_lt", X.locator_tokens("raw_text", "title").alias("_toks"))
     lemma = F.lit(False)
-    if lemmas is not None:
-        m = broadcast_within(surface_map(lemmas).toDF("_s", "_lemma").groupBy("_s").agg(F.collect_set("_lemma").alias("_ls")))
+    if lemmas is None:
+        j = locator_keys(r, place)
+    else:
         # A key is a lemma of the record if another of its tokens has it as lemma, or its lemma text holds it.
-        toks = records.select("id", F.explode(X.locator_tokens("raw_text", "title")).alias("t")).select("id", F.col("t.token").alias("key"))
-        lem = toks.join(m, F.col("key") == F.col("_s")).select("id", "key", F.explode("_ls").alias("_lemma")).filter("_lemma <> key")
-        lem = lem.select("id", F.col("_lemma").alias("key")).distinct().withColumn("_l", F.lit(True))
-        j = j.join(lem, ["id", "key"], "left")
-        lemma = F.col("_l").isNotNull() | F.col("_in")
+        # Each record gets the list of its lemmas, so that nothing is joined by its many keys.
+        r = spool(r, "tokens")
+        m = broadcast_within(surface_map(lemmas).toDF("_s", "_lemma").groupBy("_s").agg(F.collect_set("_lemma").alias("_ls")))
+        of = r.select("id", F.explode("_toks.token").alias("key")).join(m, F.col("key") == F.col("_s"))
+        of = of.select("id", F.explode(F.array_remove("_ls", F.col("key"))).alias("_lemma")).groupBy("id").agg(F.collect_set("_lemma").alias("_own"))
+        r = r.join(of, "id", "left").withColumn("_own", F.array_union(F.coalesce("_own", F.array().cast("array<string>")), "_lt")).drop("_lt")
+        j = locator_keys(r, (*place, "_own"))
+        lemma = F.array_contains("_own", F.col("key"))
     kind = F.when(F.lit(False), 0)
     for k, v in S.MATCH_SCORE.items():
         kind = kind.when(F.col("kind") == k, v)

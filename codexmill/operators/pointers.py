@@ -157,6 +157,11 @@ def reuse(df: DataFrame, key: list[str], by: list[str] | None = None) -> DataFra
     )
 
 
+def distinct_works(df: DataFrame) -> DataFrame:
+    """(n): pairs of corpus and work that some row names."""
+    return df.select("corpus", "work_id").filter("work_id is not null").distinct().agg(F.count("*").alias("n"))
+
+
 def query_stats(rows: DataFrame) -> DataFrame:
     """(query_id, n_pointers, n_work_files, n_corpora, n_bytes) of pointer rows."""
     bytes_ = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in STATIC]), {"ignoreNullFields": "false"}))

@@ -11,12 +11,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexmill.functions import text as X
 from codexmill.operators.lookup import top_per
-from codexmill.session import broadcast_within, spool
+from codexmill.session import broadcast_within, drop, exists, spool, spread
 
 #: Weights of evidence classes and scores of match kinds.
 CLASS_WEIGHT = {
@@ -82,21 +82,40 @@ def _bucket(c: str) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
 
 
+def gram_average(records: DataFrame) -> float:
+    """Mean length of the compact Chinese rows, which the ranking of substring hits is relative to."""
+    src = records.filter(F.col("language").isin("lzh", "zh")).select(F.length(X.compact("raw_text")).alias("n"))
+    return src.agg(F.avg("n").alias("n")).first().n or 1.0
+
+
 def write_index(records: DataFrame, out: str, spread: int = 8) -> None:
     """Stores the index of the records below ``out``, partitioned by bucket of the word or trigram.
 
-    A bucket is written by ``spread`` tasks, so that a word that many records hold is not one task's.
+    A bucket is written by ``spread`` tasks, so that a word that many records hold is not one
+    task's. Last comes ``search_index_state``, by which readers tell a whole index; a build of
+    the tables takes it away.
     """
     part = F.pmod(F.xxhash64("id"), F.lit(spread))
+    drop(records.sparkSession, f"{out}/search_index_state")
     for name, df, key in (("postings", postings(records), "term"), ("trigrams", trigram_postings(records), "gram")):
         df.withColumn("bucket", _bucket(key)).repartition("bucket", part).sortWithinPartitions("bucket", key, "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/{name}")
     document_lengths(records).write.mode("overwrite").parquet(f"{out}/lengths")
+    state = records.sparkSession.range(1).select(F.lit("search").alias("component"), F.lit(INDEX_VERSION).alias("version"), F.current_timestamp().alias("rebuilt_at"))
+    n = records.sparkSession.read.parquet(f"{out}/lengths").count()
+    state.withColumn("record_count", F.lit(n).cast("long")).withColumn("gram_average", F.lit(gram_average(records))).write.mode("overwrite").parquet(f"{out}/search_index_state")
+
 
+#: Changes with the layout of a stored index.
+INDEX_VERSION = "2"
 
-def read_index(spark: SparkSession, out: str) -> dict[str, DataFrame]:
-    """The stored index as the keyword arguments that ``search`` takes."""
+
+def read_index(spark: SparkSession, out: str) -> dict[str, object]:
+    """The stored index as the keyword arguments that ``search`` takes; one that is not whole or of another version is an error."""
     read = spark.read.parquet
-    return {"post": read(f"{out}/postings"), "grams": read(f"{out}/trigrams"), "lengths": read(f"{out}/lengths")}
+    state = read(f"{out}/search_index_state").first() if exists(spark, f"{out}/search_index_state") else None
+    if state is None or state.version != INDEX_VERSION:
+        raise ValueError(f"no search index of version {INDEX_VERSION} in {out}")
+    return {"post": read(f"{out}/postings"), "grams": read(f"{out}/trigrams"), "lengths": read(f"{out}/lengths"), "gram_avg": state.gram_average}
 
 
 # -------------------------------------------------------------------- queries
@@ -110,21 +129,21 @@ def with_forms(queries: DataFrame) -> DataFrame:
     )
 
 
-def lemma_forms(queries: DataFrame, lemmas: DataFrame, limit: int = 200) -> DataFrame:
-    """(query_id, surface): surfaces whose lemma or surface is the normalized query."""
+def lemma_forms(queries: DataFrame, lemmas: DataFrame, limit: int | None = 200) -> DataFrame:
+    """(query_id, surface): surfaces whose lemma or surface is the normalized query, the first ``limit`` or (None) all."""
     q = queries.select("query_id", "norm")
     s = lemmas.select("surface", "lemma").distinct()
     hit = q.join(s, q["norm"] == s["lemma"]).select("query_id", "surface").unionByName(q.join(s, q["norm"] == s["surface"]).select("query_id", "surface")).distinct()
-    return top_per(hit, ["query_id"], [F.col("surface")], limit).select("query_id", "surface")
+    return hit if limit is None else top_per(hit, ["query_id"], [F.col("surface")], limit).select("query_id", "surface")
 
 
-def lemma_places(queries: DataFrame, lemmas: DataFrame, limit: int = 500) -> DataFrame:
-    """(query_id, work_id, segment_id): where the query stands as surface or lemma, normalized or folded."""
+def lemma_places(queries: DataFrame, lemmas: DataFrame, limit: int | None = 500) -> DataFrame:
+    """(query_id, work_id, segment_id): where the query stands as surface or lemma, normalized or folded, the first ``limit`` or (None) all."""
     q = queries.select("query_id", F.explode(F.array_distinct(F.array("norm", "folded"))).alias("f"))
     m = lemmas.select("surface", "lemma", "work_id", "segment_id").distinct()
     cols = ["query_id", "work_id", "segment_id"]
     hit = q.join(m, q["f"] == m["surface"]).select(*cols).unionByName(q.join(m, q["f"] == m["lemma"]).select(*cols)).distinct()
-    return top_per(hit, ["query_id"], [F.col("work_id"), F.col("segment_id")], limit).select(*cols)
+    return hit if limit is None else top_per(hit, ["query_id"], [F.col("work_id"), F.col("segment_id")], limit).select(*cols)
 
 
 def terms_of(queries: DataFrame, forms: DataFrame) -> DataFrame:
@@ -152,7 +171,7 @@ def bm25(hits: DataFrame, lengths: DataFrame) -> DataFrame:
     # Two numbers of the whole collection; literals, so that nothing is crossed with them.
     stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
     n_docs, avg_len = F.lit(stats.n), F.lit(stats.avg or 1.0)
-    n = hits.groupBy("query_id", "term").agg(F.count("*").alias("n"))
+    n = broadcast_within(hits.groupBy("query_id", "term").agg(F.count("*").alias("n")))
     idf = F.greatest(F.log((n_docs - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     tf = F.col("tf")
     score = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / avg_len))
@@ -167,8 +186,11 @@ def capped(hits: DataFrame, lengths: DataFrame, cap: int, allowed: DataFrame | N
     return top_per(s, ["query_id", "term"], [F.col("bm25").desc(), F.col("id")], cap).select("query_id", "id").distinct()
 
 
-def cjk_candidates(queries: DataFrame, grams: DataFrame, records: DataFrame, cap: int | None) -> DataFrame:
-    """(query_id, id): Chinese rows whose compact text contains the compact query, rows with the raw query first."""
+def cjk_candidates(queries: DataFrame, grams: DataFrame, records: DataFrame, cap: int | None, average: float | None = None) -> DataFrame:
+    """(query_id, id): Chinese rows whose compact text contains the compact query, rows with the raw query first.
+
+    ``average``: mean length of the compact Chinese rows (``gram_average``), taken here unless given.
+    """
     q = queries.filter("cjk is not null").select("query_id", "query", "cjk")
     g = q.select("query_id", F.explode(F.array_distinct(X.ngrams(F.col("cjk"), 3))).alias("gram"))
     n = g.groupBy("query_id").agg(F.count("*").alias("n"))
@@ -183,7 +205,7 @@ def cjk_candidates(queries: DataFrame, grams: DataFrame, records: DataFrame, cap
     # Frequency and length stand for BM25: within one query its idf is the same for all rows.
     tf = F.size(F.filter(F.sequence(F.lit(1), F.length("c") - F.length("cjk") + 1), lambda i: F.substring(F.col("c"), i, F.length("cjk")) == F.col("cjk")))
     hit = hit.select("query_id", "id", F.contains("raw_text", "query").alias("raw"), tf.alias("tf"), F.length("c").alias("len"))
-    avg = F.avg("len").over(Window.partitionBy("query_id"))
+    avg = F.lit(average or gram_average(records))
     hit = hit.withColumn("s", F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg)))
     return top_per(hit, ["query_id"], [F.col("raw").desc(), F.col("s").desc(), F.col("id")], cap).select("query_id", "id")
 
@@ -222,8 +244,11 @@ def rank_order() -> list[Column]:
     return [F.col("score").desc(), F.coalesce("corpus", F.lit("")), F.coalesce("source_path", F.lit("")), F.coalesce("sequence_no", F.lit(0)), F.col("id")]
 
 
-def scored(candidates: DataFrame, queries: DataFrame, records: DataFrame, forms: DataFrame, places: DataFrame, derive_missing: bool = True) -> DataFrame:
-    """(query_id, record columns, score, match_reasons) of the candidates (query_id, id)."""
+def scored(candidates: DataFrame, queries: DataFrame, records: DataFrame, forms: DataFrame, places: DataFrame, derive_missing: bool = True, narrow: bool = False) -> DataFrame:
+    """(query_id, record columns, score, match_reasons) of the candidates (query_id, id).
+
+    ``narrow``: the candidates may be few enough to be broadcast, which is then measured.
+    """
     fs = forms.join(queries.select("query_id", "norm"), "query_id").filter("surface <> norm and surface <> ''")
     fs = fs.withColumn("_f", X.forms("surface")).groupBy("query_id").agg(F.collect_set(F.struct(F.col("surface").alias("f"), F.col("_f.folded").alias("d"), F.col("_f.compact").alias("c"))).alias("others"))
     keep = ["id", "corpus", "language", "work_id", "segment_id", "source_path", "sequence_no", "evidence_class", "text_role", "witness", "source_sha"]
@@ -235,12 +260,17 @@ def scored(candidates: DataFrame, queries: DataFrame, records: DataFrame, forms:
     r = r.withColumn("_d", X.forms(F.when(lack, F.col("raw_text"))))
     pairs = (("norm_text", "norm"), ("folded_text", "folded"), ("compact_text", "compact"))
     r = r.select(*keep, "raw_text", *[k for k, _ in pairs], "lemma_text", *[F.when(zh & blank(k), F.col(f"_d.{d}")).alias(f"_{d}") for k, d in pairs])
-    c = r.join(candidates, "id").join(queries, "query_id").join(fs, "query_id", "left")
+    # What a candidate and what a query brings is joined without the texts, which then are not shuffled.
+    at = places.select("query_id", F.coalesce("work_id", F.lit("\x00")).alias("_w"), F.coalesce("segment_id", F.lit("\x00")).alias("_s"), F.lit(True).alias("placed")).distinct()
+    where = records.select("id", F.coalesce("work_id", F.lit("\x00")).alias("_w"), F.coalesce("segment_id", F.lit("\x00")).alias("_s"))
+    placed = candidates.join(at.select("query_id").distinct(), "query_id", "left_semi").join(where, "id").join(at, ["query_id", "_w", "_s"]).select("query_id", "id", "placed")
+    light = candidates.join(placed, ["query_id", "id"], "left")
+    asked = queries.join(fs, "query_id", "left")
+    if narrow:
+        light, asked = broadcast_within(light), broadcast_within(asked)
+    c = r.join(light, "id").join(asked, "query_id")
     for k, d in pairs:
         c = c.withColumn(k, F.when(F.col("cjk").isNotNull(), F.coalesce(f"_{d}", k)).otherwise(F.col(k))).drop(f"_{d}")
-    w, s = F.coalesce("work_id", F.lit("\x00")), F.coalesce("segment_id", F.lit("\x00"))
-    at = places.select(F.col("query_id"), F.coalesce("work_id", F.lit("\x00")).alias("_w"), F.coalesce("segment_id", F.lit("\x00")).alias("_s"), F.lit(True).alias("placed")).distinct()
-    c = c.withColumn("_w", w).withColumn("_s", s).join(at, ["query_id", "_w", "_s"], "left")
     row = {k: F.coalesce(F.col(k), F.lit("")) for k in ("norm_text", "folded_text", "compact_text", "lemma_text")}
     other = F.exists("others", lambda o: F.contains(row["norm_text"], o["f"]) | F.contains(row["folded_text"], o["d"]) | F.contains(row["compact_text"], o["c"]))
     lemma = F.coalesce("placed", F.lit(False)) | F.array_contains(F.split(row["lemma_text"], r"\s+"), F.col("norm")) | F.coalesce(other, F.lit(False))
@@ -258,16 +288,17 @@ def search(
     post: DataFrame | None = None,
     lengths: DataFrame | None = None,
     grams: DataFrame | None = None,
-    per_corpus: bool = False,
+    gram_avg: float | None = None,
 ) -> DataFrame:
     """Ranked hits of every query: (query_id, query, record columns, score, match_reasons, rank).
 
     queries: query_id, query, and optionally language and corpus as filters. The
-    index frames are built here unless given. ``per_corpus`` caps within each corpus.
+    index frames are built here unless given. With ``candidates="all"`` no list is cut short.
     """
     cap = cap_of(limit) if candidates == "capped" else None
-    q = with_forms(queries.select("query_id", "query"))
-    forms, places = lemma_forms(q, lemmas), lemma_places(q, lemmas)
+    q = spool(with_forms(queries.select("query_id", "query")), "queries")
+    any_cjk = not q.filter("cjk is not null").isEmpty()
+    forms, places = (lemma_forms(q, lemmas), lemma_places(q, lemmas)) if cap is not None else (lemma_forms(q, lemmas, None), lemma_places(q, lemmas, None))
     hits = phrase_hits(terms_of(q, forms), post if post is not None else postings(records))
     filters = [c for c in ("language", "corpus") if c in queries.columns]
     if cap is not None or filters:
@@ -283,16 +314,17 @@ def search(
         word = word.join(allowed, ["query_id", "id"], "left_semi") if allowed is not None else word
     else:
         word = capped(hits, lengths if lengths is not None else spool(document_lengths(records), "lengths"), cap, allowed)
-    cjk = cjk_candidates(q, grams if grams is not None else trigram_postings(records), records, cap)
+    if not any_cjk:
+        cjk = word.limit(0)
+    else:
+        cjk = cjk_candidates(q, grams if grams is not None else trigram_postings(records), records, cap, gram_avg)
     if filters:
         r = records.select("id", "language", "corpus")
         f = queries.select("query_id", *[F.col(c).alias(f"_{c}") for c in filters])
         on = reduce(Column.__and__, [F.col(f"_{c}").isNull() | (F.col(f"_{c}") == F.col(c)) for c in filters])
         cjk = cjk.join(r, "id").join(f, "query_id").filter(on).select("query_id", "id")
     found = word.unionByName(cjk).distinct()
-    if cap is not None:  # few: the records are filtered where they are read
-        found = broadcast_within(found)
-    found = scored(found, q, records, forms, places)
+    found = scored(found, q, spread(records), forms, places, derive_missing=any_cjk, narrow=cap is not None)
     return top_per(found, ["query_id"], rank_order(), limit)
 
 

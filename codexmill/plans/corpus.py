@@ -6,6 +6,7 @@ distinct lemma.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ from codexmill.operators import resolve as R
 from codexmill.operators import search as S
 from codexmill.operators import tables as T
 from codexmill.operators import verify as V
-from codexmill.session import spool
+from codexmill.session import exists, shared_dir, spool
 from codexmill.session import table as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +50,26 @@ def _works(s: SparkSession, d: str) -> DataFrame:
     return t(s, d, "works").select(F.col("work_id").alias("identifier")).distinct()
 
 
+_INDEXED: dict[tuple[int, str], str] = {}
+
+
+def _index(s: SparkSession, d: str) -> dict:
+    """The stored search index of the records: built once a session and folder, then read."""
+    key = (id(s.sparkContext), d)
+    if key not in _INDEXED or not exists(s, f"{_INDEXED[key]}/search_index_state"):
+        _INDEXED[key] = f"{shared_dir(s)}/codexmill/index-{uuid.uuid4().hex}"
+        S.write_index(t(s, d, "records"), _INDEXED[key])
+    return S.read_index(s, _INDEXED[key])
+
+
+@query("select 'postings' as part, count(*) as n from (select unnest(regexp_extract_all(lower(x), '" + TOKEN + "')) from (select unnest([raw_text, norm_text, folded_text, compact_text, lemma_text, coalesce(title, '')]) as x from records)) union all select 'lengths', count(*) from records")
+def search_index(s, d):
+    """Builds the index that the searches read, or takes the one of this session."""
+    i = _index(s, d)
+    n = lambda part, df: df.agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "n")
+    return n("postings", i["post"]).unionByName(n("lengths", i["lengths"]))
+
+
 def _lemmas(s: SparkSession, d: str) -> DataFrame:
     return t(s, d, "lemmas").select(F.col("lemma").alias("query")).distinct().select(F.col("query").alias("query_id"), "query")
 
@@ -177,10 +198,14 @@ def resolve_bridge(s, d):
     return R.resolve(ids, rel, t(s, d, "records")).select("identifier", "id", "reason", "rank")
 
 
-@query(f"select id, lo is not null as has_lines from (select id, {_parsed('segment_id')}, work_id from records where work_id is not null) where lo is null or lo <= hi or true")
+@query(f"select id, coalesce(case when lo <= hi then lo end, -1) as lo, coalesce(case when lo <= hi then hi end, -1) as hi, case when lo <= hi then work end as work from (select id, {_parsed('segment_id')} from records) where true")
 def segment_lines(s, d):
-    r = t(s, d, "records").filter("work_id is not null")
-    return r.select("id", F.coalesce(F.regexp_like(F.col("segment_id"), F.lit(I.RANGE)), F.lit(False)).alias("has_lines"))
+    """The lines a segment id names, as comparable keys."""
+    p = I.parse_identifier(F.col("segment_id"))
+    r = t(s, d, "records").select("id", p.alias("p"))
+    r = r.select("id", "p.work", I.line_key(F.col("p.start")).alias("a"), I.line_key(F.col("p.end")).alias("b"))
+    key = lambda k: (F.col(f"{k}.page") * 10_000_000 + F.col(f"{k}.col") * 100_000 + F.col(f"{k}.line") * 1000 + F.coalesce(F.nullif(F.ascii(f"{k}.suffix"), F.lit(0)), F.lit(0))).cast("long")
+    return r.select("id", F.coalesce(key("a"), F.lit(-1)).alias("lo"), F.coalesce(key("b"), F.lit(-1)).alias("hi"), F.when(F.col("a").isNotNull(), F.col("work")).alias("work"))
 
 
 # ------------------------------------------------------------------- search
@@ -207,15 +232,56 @@ bm as (select h.query, h.term, h.id, greatest(ln((n_docs - n.n + 0.5) / (n.n + 0
 def fts_phrase(s, d):
     q = S.with_forms(_lemmas(s, d))
     terms = S.terms_of(q, S.lemma_forms(q, t(s, d, "lemmas")))
-    return S.phrase_hits(terms, S.postings(t(s, d, "records"))).select(F.col("query_id").alias("query"), "term", "id", "tf")
+    return S.phrase_hits(terms, _index(s, d)["post"]).select(F.col("query_id").alias("query"), "term", "id", "tf")
 
 
 @query(f"with {_TERMS} select query, term, id, round(bm25, 6) as bm25 from bm")
 def bm25_scores(s, d):
     q = S.with_forms(_lemmas(s, d))
+    i = _index(s, d)
+    hits = spool(S.phrase_hits(S.terms_of(q, S.lemma_forms(q, t(s, d, "lemmas"))), i["post"]), "hits")
+    return S.bm25(hits, i["lengths"]).select(F.col("query_id").alias("query"), "term", "id", F.round("bm25", 6).alias("bm25"))
+
+
+_PHRASES = f"""
+with tok as (select id, col, regexp_extract_all(lower(x), '{TOKEN}') as toks from (
+       select id, unnest([0, 1, 2, 3, 4, 5]) as col, unnest([raw_text, norm_text, folded_text, compact_text, lemma_text, coalesce(title, '')]) as x from records)),
+ q as (select distinct toks[1] as a, toks[2] as b from tok where col = 1 and len(toks) >= 2),
+ pair as (select id, col, toks[i] as a, toks[i + 1] as b from (select *, unnest(range(1, len(toks))) as i from tok))
+"""
+
+
+@query(_PHRASES + "select a || ' ' || b as term, id, count(*) as tf from pair join q using (a, b) group by all")
+def fts_word_pairs(s, d):
+    """The first two words of every record as a phrase: where they stand one after the other."""
+    first = X.word_tokens(F.coalesce("norm_text", F.lit("")))
+    q = t(s, d, "records").select(first.alias("w")).filter(F.size("w") >= 2).select(F.concat_ws(" ", F.col("w")[0], F.col("w")[1]).alias("term")).distinct()
+    terms = q.select(F.col("term").alias("query_id"), "term", F.split("term", " ").alias("tokens"))
+    return S.phrase_hits(terms, _index(s, d)["post"]).select("term", "id", "tf")
+
+
+_CJK = f"""
+with z as (select id, raw_text, corpus, source_path, sequence_no, evidence_class, segment_id, language, regexp_replace(lower(nfc_normalize(raw_text)), '[^\\p{{L}}\\p{{N}}]+', '', 'g') as c from records),
+ q as (select distinct substring(c, 1, 6) as query from z where language in ('lzh', 'zh') and length(c) >= 6 and regexp_matches(substring(c, 1, 6), '{WIDE}')),
+ tok as (select id, unnest(list_distinct(list_concat(regexp_extract_all(lower(raw_text), '{TOKEN}'), regexp_extract_all(lower(norm_text), '{TOKEN}'), regexp_extract_all(lower(folded_text), '{TOKEN}'),
+   regexp_extract_all(lower(compact_text), '{TOKEN}'), regexp_extract_all(lower(lemma_text), '{TOKEN}'), regexp_extract_all(lower(coalesce(title, '')), '{TOKEN}')))) as tok from records),
+ cand as (select query, id from q join z on z.language in ('lzh', 'zh') and contains(c, query) union select query, id from q join tok on tok = query),
+ s as (select query, z.*, case when contains(raw_text, query) then 'exact' when contains(lower(nfc_normalize(raw_text)), query) then 'normalized' when contains(c, query) then 'compact-unicode' else 'fts' end as kind from cand join z using (id)),
+ p as (select *, {CLASS.format("evidence_class")} + case kind when 'exact' then 120 when 'normalized' then 95 when 'compact-unicode' then 70 else 30 end + case when coalesce(segment_id, '') <> '' then 5 else 0 end as score from s)
+"""
+
+
+@query(
+    _CJK
+    + """select query, id, kind, cast(score as bigint) as score, rank from (
+        select *, row_number() over (partition by query order by score desc, corpus, source_path, sequence_no, id) as rank from p) where rank <= 10"""
+)
+def search_cjk(s, d):
+    """The first six characters of every Chinese record, without marks, as queries."""
     r = t(s, d, "records")
-    hits = spool(S.phrase_hits(S.terms_of(q, S.lemma_forms(q, t(s, d, "lemmas"))), S.postings(r)), "hits")
-    return S.bm25(hits, spool(S.document_lengths(r), "lengths")).select(F.col("query_id").alias("query"), "term", "id", F.round("bm25", 6).alias("bm25"))
+    q = r.filter("language in ('lzh', 'zh')").select(F.substring(X.compact("raw_text"), 1, 6).alias("query")).filter(F.length("query") == 6).filter(X.has_cjk(F.col("query"))).distinct()
+    got = S.search(q.select(F.col("query").alias("query_id"), "query"), r, t(s, d, "lemmas"), 10, candidates="all", **_index(s, d))
+    return got.select("query", "id", F.col("match_reasons")[0].alias("kind"), "score", "rank")
 
 
 @query(f"with {_TERMS} select query, surface from form")
@@ -246,7 +312,7 @@ _ALL = f"with {_TERMS}, cand as (select distinct query, id from hit), {_SCORED}"
         select *, row_number() over (partition by query order by score desc, corpus, source_path, sequence_no, id) as rank from scored) where rank <= 10"""
 )
 def search_batch_topk(s, d):
-    r = S.search(_lemmas(s, d), t(s, d, "records"), t(s, d, "lemmas"), 10)
+    r = S.search(_lemmas(s, d), t(s, d, "records"), t(s, d, "lemmas"), 10, **_index(s, d))
     return r.select("query", "id", F.col("match_reasons")[0].alias("kind"), (F.size("match_reasons") > 1).alias("lemma"), "score", "rank")
 
 
@@ -257,7 +323,7 @@ def search_batch_topk(s, d):
 )
 def search_filtered(s, d):
     q = _lemmas(s, d).withColumn("corpus", F.lit("palmleaf"))
-    return S.search(q, t(s, d, "records"), t(s, d, "lemmas"), 10, candidates="all").select("query", "id", "score", "rank")
+    return S.search(q, t(s, d, "records"), t(s, d, "lemmas"), 10, candidates="all", **_index(s, d)).select("query", "id", "score", "rank")
 
 
 _PTR = (
@@ -270,7 +336,7 @@ _PTR = (
 
 @query(_PTR)
 def pointer_rank(s, d):
-    rows = S.search(_lemmas(s, d), t(s, d, "records"), t(s, d, "lemmas"), 1 << 30, candidates="all")
+    rows = S.search(_lemmas(s, d), t(s, d, "records"), t(s, d, "lemmas"), 1 << 30, candidates="all", **_index(s, d))
     return P.best_sources(rows.drop("rank"), 5).select("query", "id", "corpus", "score", "rank")
 
 
@@ -400,23 +466,25 @@ def reuse_stats(s, d):
 
 @query(_PTR.replace("select query, id, corpus, cast(score", ", p as (select query, id, corpus, work_id, source_path, cast(score", 1).replace(", p as (", ", p as (", 1) + ") select query, count(*) as n_pointers, count(distinct (corpus, work_id, source_path)) as n_work_files, count(distinct corpus) as n_corpora from p group by query")
 def query_stats(s, d):
-    rows = S.search(_lemmas(s, d), t(s, d, "records"), t(s, d, "lemmas"), 1 << 30, candidates="all")
+    rows = S.search(_lemmas(s, d), t(s, d, "records"), t(s, d, "lemmas"), 1 << 30, candidates="all", **_index(s, d))
     best = P.best_sources(rows.drop("rank"), 5).withColumn("record_id", F.col("id"))
     return P.query_stats(best).select(F.col("query_id").alias("query"), "n_pointers", "n_work_files", "n_corpora")
 
 
-@query("select count(*) as n_rows, cast(0 as bigint) as n_lost, count(distinct (work_id, source_path, segment_id, sequence_no, id)) as n_pointers from records where work_id in (select work_id from works)")
+@query("select count(*) as n_rows, cast(2 * count(*) filter (id % 10 = 0) as bigint) as n_changed, count(distinct (work_id, source_path, segment_id, sequence_no, id)) as n_pointers from records where work_id in (select work_id from works)")
 def compact_roundtrip(s, d):
-    """Pointers of every work through the compact form and back: rows, rows lost or changed, distinct pointers."""
+    """Pointers of every work through the compact form, of which a tenth is altered, and back: rows, rows lost or changed, distinct pointers."""
     ids = t(s, d, "works").select(F.col("work_id").alias("query_id"), F.col("work_id").alias("query")).distinct()
     rows = P.identifier_rows(t(s, d, "records"), ids).withColumn("record_id", F.col("id")).withColumn("rank", F.lit(1).cast("long"))
     static = [F.col(c) for c in P.STATIC]
     rows = rows.select("query_id", "rank", "score", "match_reasons", *static, I.content_id(*static, names=list(P.STATIC)).alias("pointer_id"))
     refs, tab = P.compact(rows)
-    back = P.reconstruct(refs, tab)
-    parts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("k"), "n") for k, df in (("n_rows", rows), ("n_lost", T.setdiff(rows, back)), ("n_pointers", tab))]
+    changed = tab.withColumn("text_role", F.when(F.col("record_id") % 10 == 0, F.concat("text_role", F.lit("!"))).otherwise(F.col("text_role")))
+    back = P.reconstruct(refs, changed)
+    diff = T.setdiff(rows, back).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    parts = [df.select(F.lit(k).alias("k"), "n") for k, df in (("n_rows", rows.agg(F.count("*").alias("n"))), ("n_changed", diff), ("n_pointers", tab.agg(F.count("*").alias("n"))))]
     one = lambda k: F.coalesce(F.sum(F.when(F.col("k") == k, F.col("n"))), F.lit(0)).alias(k)
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).agg(one("n_rows"), one("n_lost"), one("n_pointers"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).agg(one("n_rows"), one("n_changed"), one("n_pointers"))
 
 
 @query("select query, 'missing' as problem from (select distinct lemma as query from lemmas) where query not in (select surface from lemmas where surface is not null)")
@@ -526,19 +594,43 @@ def text_role_case(s, d):
     return T.backfill_roles(t(s, d, "records"), {"millpond": "auxiliary_text"}, {"root:": "root_text", "comment:": "translator_comment"}).select("id", "text_role")
 
 
-@query("select s.corpus from source_state s where not exists (select 1 from works w where w.corpus = s.corpus and w.source_sha = s.source_sha)")
+@query("select corpus from source_state where length(corpus) % 2 = 0 or starts_with(corpus, 'm') or corpus = 'nagarims'")
 def stale_sources(s, d):
-    st = t(s, d, "works").select("corpus", "source_sha").distinct().withColumn("parser_version", F.lit("any"))
-    return T.stale_sources(st, t(s, d, "source_state").withColumn("parser_version", F.lit("any")).select("corpus", "source_sha", "parser_version")).select("corpus")
+    """The state knows an older parser of some sources, another commit of others, and nothing of one."""
+    want = t(s, d, "source_state").select("corpus", "source_sha", "parser_version")
+    old = want.filter("corpus <> 'nagarims'").withColumn("parser_version", F.when(F.length("corpus") % 2 == 0, "parser-0").otherwise(F.col("parser_version")))
+    old = old.withColumn("source_sha", F.when(F.col("corpus").startswith("m"), F.lit("0" * 40)).otherwise(F.col("source_sha")))
+    return T.stale_sources(old, want).select("corpus")
+
+
+@query("select corpus, corpus <> 'nagarims' as present, not starts_with(corpus, 'm') and corpus <> 'nagarims' as sha_match, case when corpus = 'nagarims' then 'missing' when starts_with(corpus, 'm') then 'moved' else 'pinned' end as status from source_state")
+def source_status(s, d):
+    want = t(s, d, "source_state").select("corpus", "source_sha")
+    found = want.filter("corpus <> 'nagarims'").withColumn("source_sha", F.when(F.col("corpus").startswith("m"), F.lit("0" * 40)).otherwise(F.col("source_sha")))
+    return T.source_status(want, found)
+
+
+@query(" union all ".join(f"select corpus, '{n}' as table_name, count(*) as rows from {n} group by corpus" for n in ("records", "works", "relations", "variants", "lemmas")))
+def corpus_counts(s, d):
+    return T.corpus_counts({n: t(s, d, n) for n in ("records", "works", "relations", "variants", "lemmas")})
+
+
+@query("select corpus from records union select corpus from relations union select corpus from variants union select corpus from lemmas union select corpus from source_state")
+def corpora_union(s, d):
+    return T.corpora([t(s, d, n) for n in ("records", "relations", "variants", "lemmas", "source_state")])
+
+
+@query("select count(*) as n from (select distinct corpus, work_id from records where work_id is not null)")
+def distinct_works(s, d):
+    return P.distinct_works(t(s, d, "records"))
 
 
 @query(
-    """with n as (select source_path, id, raw_text, (row_number() over (partition by source_path order by sequence_no, id) - 1) // 50 as chunk_no from records)
-       select source_path, chunk_no, count(*) as n, cast(sum(length(raw_text)) + count(*) - 1 as bigint) as n_chars from n group by source_path, chunk_no"""
+    """with k as (select source_path, raw_text, row_number() over (partition by source_path order by sequence_no, id) - 1 as k from records), n as (select *, k // 50 as chunk_no from k)
+       select source_path, chunk_no, count(*) as n, string_agg(raw_text, ' ' order by k) as text from n group by source_path, chunk_no"""
 )
 def chunk_50(s, d):
-    c = T.chunks(t(s, d, "records"), ["source_path"], ["sequence_no", "id"], 50, "raw_text")
-    return c.select("source_path", "chunk_no", "n", F.length("text").cast("long").alias("n_chars"))
+    return T.chunks(t(s, d, "records"), ["source_path"], ["sequence_no", "id"], 50, "raw_text").select("source_path", "chunk_no", "n", "text")
 
 
 @query("select id, last_value(title ignore nulls) over (partition by source_path order by sequence_no, id rows unbounded preceding) as heading from records")
@@ -546,41 +638,90 @@ def carry_forward(s, d):
     return T.carry_forward(t(s, d, "records"), ["source_path"], ["sequence_no", "id"], "title", "heading").select("id", "heading")
 
 
-@query(
-    """select count(*) as n, count(*) filter (folded_text = '') as n_folded_blank, count(*) filter (compact_text = '') as n_compact_blank, count(*) filter (norm_text = '') as n_norm_blank
-       from records where language is not null"""
-)
+_FORMS = r"""
+with f as (select id, language, length(raw_text) as n, trim(regexp_replace(replace(lower(nfc_normalize(raw_text)), 'ß', 'ss'), '[\s\p{Z}]+', ' ', 'g')) as norm from records)
+"""
+
+
+@query(_FORMS + "select id, case when coalesce(language, '') in ('lzh', 'zh', 'bo') and n >= 2000 then '' else norm end as norm_text, case when n >= 2000 then '' else regexp_replace(norm, '[^\\p{L}\\p{N}]+', '', 'g') end as compact_text from f")
 def stored_forms(s, d):
-    f = X.stored_forms(t(s, d, "records").filter("language is not null").select("id", "language", "raw_text"))
-    blank = lambda c: F.count_if(F.col(c) == "")
-    return f.agg(F.count("*").alias("n"), blank("folded_text").alias("n_folded_blank"), blank("compact_text").alias("n_compact_blank"), blank("norm_text").alias("n_norm_blank"))
+    f = X.stored_forms(t(s, d, "records").select("id", "language", "raw_text"))
+    return f.select("id", "norm_text", "compact_text")
 
 
 # ------------------------------------------------------------------- verification
 
 
-@query("select id, case when trim(raw_text) = '' then 'UNVERIFIED' else 'VERIFIED_EXACT' end as status from records")
+_QUOTES = r"""
+with q as (select id, nfc_normalize(raw_text) as n, raw_text as s, case id % 6 when 0 then raw_text when 1 then substring(raw_text, 2, 30) when 2 then replace(raw_text, ' ', chr(10) || ' ')
+       when 3 then substring(raw_text, 1, 20) || '≠' when 4 then '  ' else regexp_extract(raw_text, '^[^\s\p{Z}]+') end as q from records),
+ w as (select id, s, q, trim(regexp_replace(nfc_normalize(s), '[\s\p{Z}]+', ' ', 'g')) as sn, trim(regexp_replace(nfc_normalize(q), '[\s\p{Z}]+', ' ', 'g')) as qn from q)
+"""
+_JOINS = r"(regexp_matches({0}, '[\p{{L}}\p{{N}}\p{{M}}]') and not regexp_matches({0}, '[\x{{3400}}-\x{{4DBF}}\x{{4E00}}-\x{{9FFF}}\x{{F900}}-\x{{FAFF}}\x{{20000}}-\x{{2FA1F}}]'))"
+
+
+def _stands(s: str, q: str) -> str:
+    left = f"(p > 1 and {_JOINS.format(f'substring({s}, p - 1, 1)')} and {_JOINS.format(f'substring({q}, 1, 1)')})"
+    right = f"(p + length({q}) <= length({s}) and {_JOINS.format(f'substring({s}, p + length({q}), 1)')} and {_JOINS.format(f'substring({q}, length({q}), 1)')})"
+    return f"(contains({s}, {q}) and len(list_filter(generate_series(1, length({s}) - length({q}) + 1), lambda p: substring({s}, p, length({q})) = {q} and not {left} and not {right})) > 0)"
+
+
+@query(
+    _QUOTES
+    + f"""select id, case when trim(coalesce(qn, '')) = '' or sn = '' then 'UNVERIFIED' when {_stands('s', 'q')} then 'VERIFIED_EXACT' when {_stands('sn', 'qn')} then 'VERIFIED_NORMALIZED' else 'QUOTE_MISMATCH' end as status from w"""
+)
 def quote_verify(s, d):
+    """Quotations that are whole, cut inside a word, wrapped, altered, blank, or a first word."""
     r = t(s, d, "records")
-    return V.verify_quotes(r.select("id", F.col("raw_text").alias("quotation")), r).select("id", "status")
+    raw, k = F.col("raw_text"), F.col("id") % 6
+    q = F.when(k == 0, raw).when(k == 1, F.substring(raw, 2, 30)).when(k == 2, F.replace(raw, F.lit(" "), F.lit("\n "))).when(k == 3, F.concat(F.substring(raw, 1, 20), F.lit("≠")))
+    q = q.when(k == 4, "  ").otherwise(F.regexp_extract(raw, r"^[^\s\p{Z}]+", 0))
+    return V.verify_quotes(r.select("id", q.alias("quotation")), r).select("id", "status")
 
 
-@query("select work_id, count(*) as n_items, count(distinct (source_sha, source_path, witness)) as n_families from records where work_id is not null and witness is not null group by work_id")
+@query("select work_id, count(*) as n_items, count(distinct (source_sha, source_path, witness)) as n_families from records group by work_id")
 def independence_families(s, d):
-    r = t(s, d, "records").filter("work_id is not null and witness is not null").withColumn("repository", F.col("corpus"))
-    return V.independent_sources(r, "work_id", family=["source_sha", "source_path", "witness"])
+    return V.independent_sources(t(s, d, "records"), "work_id", family=["source_sha", "source_path", "witness"])
+
+
+@query(
+    """with recursive f as (select work_id, id, min(id) over (partition by work_id, source_path, coalesce(witness, '∅')) as fam from records),
+        e as (select a.work_id, a.fam as x, b.fam as y from relations r join f a on a.id = r.id join f b on b.id = r.id + 1 and b.work_id = a.work_id where a.fam <> b.fam),
+        l as (select work_id, x, y from e union select work_id, y, x from e),
+        walk as (select distinct work_id, fam as node, fam as reach from f union select w.work_id, w.node, l.y from walk w join l on l.work_id = w.work_id and l.x = w.reach),
+        root as (select work_id, node, min(reach) as root from walk group by work_id, node)
+       select f.work_id, count(*) as n_items, count(distinct root) as n_families from f join root on root.node = f.fam and root.work_id = f.work_id group by f.work_id"""
+)
+def independence_derived(s, d):
+    """Each record whose id is that of a relation derives from the next one, if both are of one work."""
+    r = t(s, d, "records").filter("work_id is not null")
+    derived = t(s, d, "relations").select("id", (F.col("id") + 1).alias("from_key"))
+    return V.independent_sources(r, "work_id", derived, family=["source_path", "witness"])
 
 
 @query(
-    """select r.id, case when r.text_role = 'unspecified' or r.evidence_class = 'metadata_relationship' or r.evidence_class <> s.evidence_class or r.source_sha <> s.source_sha then 'REJECTED' else 'VERIFIED' end as gate
-       from records r left join source_state s on s.corpus = r.corpus"""
+    """with b as (select r.id, r.id % 8 as k, coalesce(r.text_role = 'unspecified' or r.evidence_class = 'metadata_relationship' or r.evidence_class <> s.evidence_class or r.source_sha <> s.source_sha or s.corpus is null, false) as bad
+         from records r left join source_state s on s.corpus = r.corpus)
+       select id, case when bad or k in (1, 2, 3, 4, 6) then 'REJECTED' when k = 5 then 'UNVERIFIED' else 'VERIFIED' end as gate,
+         case k when 1 then 'opened_source_sha' when 2 then 'opened_source_path' when 3 then 'opened_blob' when 4 then 'location_segment_id' when 6 then 'excerpt_range' end as broken from b"""
 )
 def gate_status(s, d):
-    r, st = t(s, d, "records"), t(s, d, "source_state")
+    """What was opened is tampered with in seven ways; the eighth part is as claimed, with its blob."""
+    r, st, k = t(s, d, "records"), t(s, d, "source_state"), F.col("id") % 8
     c = r.select(F.col("id").cast("string").alias("evidence_id"), "corpus", F.col("corpus").alias("repository"), "source_sha", "source_path", "work_id", "segment_id", "sequence_no", "evidence_class", "text_role", F.col("raw_text").alias("quotation"))
-    k = st.select("corpus", "repo_path", F.col("corpus").alias("repository"), "source_sha", "evidence_class")
-    o = r.select(F.col("id").cast("string").alias("evidence_id"), F.col("raw_text").alias("content"), F.array(F.lit(0), F.length("raw_text")).alias("excerpt_range"), "source_sha", "source_path", F.lit(None).cast("string").alias("blob_sha"), "work_id", "segment_id", "sequence_no")
-    return V.evidence_checks(c, k, o).select(F.col("evidence_id").cast("long").alias("id"), "gate")
+    pins = st.select("corpus", "repo_path", F.col("corpus").alias("repository"), "source_sha", "evidence_class")
+    blob = I.git_blob_sha(F.col("raw_text"))
+    o = r.select(
+        F.col("id").cast("string").alias("evidence_id"), F.when(k != 5, F.col("raw_text")).alias("content"), F.when(k == 6, F.array(F.lit(0), F.length("raw_text") + 1)).when(k != 5, F.array(F.lit(0), F.length("raw_text"))).alias("excerpt_range"),
+        F.when(k == 1, F.lit("0" * 40)).when(k != 5, F.col("source_sha")).alias("source_sha"), F.when(k == 2, F.lit("x/y")).when(k != 5, F.col("source_path")).alias("source_path"),
+        F.when(k == 3, F.sha1(F.lit("x"))).when(k == 7, blob).alias("blob_sha"), "work_id", F.when(k == 4, F.concat(F.coalesce("segment_id", F.lit("")), F.lit("x"))).otherwise(F.col("segment_id")).alias("segment_id"), "sequence_no",
+    )
+    names = {1: "opened_source_sha", 2: "opened_source_path", 3: "opened_blob", 4: "location_segment_id", 6: "excerpt_range"}
+    got = V.evidence_checks(c, pins, o).withColumn("id", F.col("evidence_id").cast("long"))
+    broken = F.lit(None).cast("string")
+    for i, n in names.items():
+        broken = F.when((k == i) & (F.col("checks")[n] == "FAIL"), n).otherwise(broken)
+    return got.select("id", "gate", broken.alias("broken"))
 
 
 @query("select id, sha1(encode('blob ' || octet_length(encode(raw_text)) || chr(0)) || encode(raw_text)) as blob_sha from records")
