@@ -16,7 +16,7 @@ ROWS = [
 def records(spark):
     d = spark.createDataFrame(ROWS, "id long, raw_text string, language string, segment_id string, sequence_no long, witness string")
     d = d.withColumn("norm_text", F.col("raw_text")).withColumn("folded_text", F.col("raw_text")).withColumn("lemma_text", F.lower("raw_text"))
-    for clash in ("h", "pos", "places", "text", "term", "field", "salt", "segment", "start", "_plain", "_cand", "_text", "token", "fixed", "n_tokens", "grp", "size", "_look", "start_char", "records"):
+    for clash in ("h", "pos", "places", "text", "term", "field", "salt", "segment", "start", "_plain", "_cand", "_text", "token", "fixed", "n_tokens", "grp", "size", "_look", "start_char", "records", "look", "form", "key", "own", "dest", "shard", "part", "off", "cand", "chars", "left", "at", "word", "unified"):
         d = d.withColumn(clash, F.lit("clash"))
     return d
 
@@ -38,7 +38,9 @@ OPS = {
     "oversized": lambda s, r, d: splitting.oversized(r),
     "pieces": lambda s, r, d: splitting.split_oversized(r),
     "same look": lambda s, r, d: lookalike.same_look(r),
+    "look classes": lambda s, r, d: lookalike.look_classes(r),
     "unified": lambda s, r, d: lookalike.unify_all(r),
+    "fill": lambda s, r, d: packing.fill_report(d),
     "containers": lambda s, r, d: packing.fill_containers(d),
     "leakage": lambda s, r, d: leakage.leaked_passages(d, items(s)),
     "garbled": lambda s, r, d: encoding.garbled_texts(d),
