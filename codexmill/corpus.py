@@ -11,13 +11,14 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codexmill.functions import ids as I
 from codexmill.operators import export as E
 from codexmill.operators import lookup as L
 from codexmill.operators import pointers as P
 from codexmill.operators import resolve as R
 from codexmill.operators import search as S
 from codexmill.operators import tables as T
-from codexmill.session import exists, spool
+from codexmill.session import exists, publish, spool
 
 TABLES = ("records", "works", "relations", "variants", "lemmas")
 NOTHING = "not enough data in the present corpus"
@@ -112,10 +113,45 @@ class Corpus:
         return {"groups": groups, "harmonized": False, "found": bool(rows), "message": None if rows else NOTHING}
 
     def export(self, out: str, target: int = E.SHARD_BYTES) -> None:
-        """All records in shards, and the locator of their keys."""
-        sh = E.shards(self.records, target)
-        E.write_shards(self.records, sh, f"{out}/records")
-        E.write_locator(E.locator_rows(E.locator(self.records, sh, self.lemmas)), f"{out}/locator")
+        """All records in shards, relations and variants in parts, the locator of the records' keys, and what each part holds.
+
+        Everything is written beside ``out`` and put in its place when it is whole.
+        """
+
+        def write(stage: str) -> None:
+            sh = spool(E.shards(self.records, target), "shards")
+            E.write_shards(self.records, sh, f"{stage}/records")
+            manifest = E.shard_stats(sh).select("corpus", F.lit("records").alias("kind"), F.col("shard").alias("part"), "items", "bytes")
+            for kind in ("relations", "variants"):
+                p = spool(E.parts(getattr(self, kind), ["corpus"], ["id"], target), kind)
+                E.write_parts(p, ["corpus"], "id", f"{stage}/{kind}")
+                manifest = manifest.unionByName(E.part_stats(p, ["corpus"], "id").select("corpus", F.lit(kind).alias("kind"), "part", "items", "bytes"))
+            loc = E.locator_rows(E.locator(self.records, sh, self.lemmas))
+            E.write_locator(loc, f"{stage}/locator").write.parquet(f"{stage}/locator_parts")
+            manifest.write.parquet(f"{stage}/parts")
+
+        publish(self.spark, out, write)
+
+    def export_pointers(self, queries: list[str], identifiers: list[str], out: str, per_corpus: int = 5) -> dict:
+        """Pointers of some terms and identifiers, in files by bucket of the key, with a manifest; returns the manifest's totals."""
+        if per_corpus < 1:
+            raise ValueError("at least one pointer a corpus")
+        asked = [(f"term\x00{x}", x, "term") for x in dict.fromkeys(queries)] + [(f"identifier\x00{x}", x, "identifier") for x in dict.fromkeys(identifiers)]
+        q = self.spark.createDataFrame(asked, "query_id string, query string, query_kind string")
+        term = S.search(q.filter("query_kind = 'term'").select("query_id", "query"), self.records, self.lemmas, 1 << 30, candidates="all", **self.index).drop("rank")
+        best = P.best_sources(term.unionByName(P.identifier_rows(self.records, q.filter("query_kind = 'identifier'")).select(*term.columns)), per_corpus)
+        rows = best.join(q.select("query_id", "query_kind"), "query_id").groupBy("query_kind", F.col("query").alias("key"))
+        p = F.struct("rank", F.col("score"), "match_reasons", F.col("id").alias("record_id"), *[c for c in P.STATIC if c != "record_id"])
+        keyed = rows.agg(F.sort_array(F.collect_list(p)).alias("pointers")).withColumn("bucket", I.bucket(F.col("key")))  # a few a corpus
+        parted = spool(E.parts(keyed.select("query_kind", "bucket", "key", "pointers"), ["query_kind", "bucket"], ["key"], E.LOCATOR_BYTES), "pointers")
+
+        def write(stage: str) -> None:
+            E.write_parts(parted, ["query_kind", "bucket"], "key", f"{stage}/pointers")
+            E.part_stats(parted, ["query_kind", "bucket"], "key").write.parquet(f"{stage}/parts")
+
+        publish(self.spark, out, write)
+        n = parted.agg(F.count("*").alias("keys"), F.coalesce(F.sum(F.size("pointers")), F.lit(0)).alias("pointers"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes")).first().asDict()
+        return n | {"asked": len(asked), "without_result": len(asked) - n["keys"]}
 
     def materialize(self, out: str, per_corpus: int = 20) -> int:
         """Pointers of every key of the universe that ``out`` lacks; returns how many keys were new.

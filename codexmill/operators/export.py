@@ -11,7 +11,7 @@ from codexmill.functions import ids as I
 from codexmill.functions import text as X
 from codexmill.operators import search as S
 from codexmill.operators.order import neighbours, with_ordinal
-from codexmill.session import broadcast_within, publish, spool, spread
+from codexmill.session import broadcast_within, exists, spool, spread
 
 SHARD_BYTES, LOCATOR_BYTES = 512 * 1024, 8 * 1024 * 1024
 EXPORT = ("id", "corpus", "language", "collection_name", "work_id", "segment_id", "title", "raw_text", "source_path", "source_sha", "evidence_class", "text_role", "witness", "relation_ids", "sequence_no")
@@ -34,6 +34,30 @@ def shards(records: DataFrame, target: int = SHARD_BYTES) -> DataFrame:
     return r.select("id", "corpus", "work_id", "n_bytes", F.floor((F.col("running") - F.col("_c") - 1) / F.lit(target)).alias("shard"), "ordinal")
 
 
+def parts(df: DataFrame, by: list[str], order: list[str], target: int) -> DataFrame:
+    """df with ``line`` (its row as JSON), ``n_bytes`` and ``part``: parts of some ``target`` bytes within each group, in order.
+
+    Parts follow running sizes, as shards do.
+    """
+    line = F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"})
+    r = df.withColumn("line", line).withColumn("n_bytes", (F.octet_length("line") + 1).cast("long"))
+    r = with_ordinal(r, [*by, *order], "_n", total_of=F.col("n_bytes"), total_name="_run")
+    start = r.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]).agg(F.min(F.col("_run") - F.col("n_bytes")).alias("_c"))
+    r = r.join(start, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)])
+    return r.select(*df.columns, "line", "n_bytes", F.floor((F.col("_run") - F.col("_c") - 1) / F.lit(target)).alias("part"))
+
+
+def part_stats(parted: DataFrame, by: list[str], key: str) -> DataFrame:
+    """(by..., part, items, bytes, first_key, last_key)."""
+    return parted.groupBy(*by, "part").agg(F.count("*").alias("items"), F.sum("n_bytes").alias("bytes"), F.min(key).alias("first_key"), F.max(key).alias("last_key"))
+
+
+def write_parts(parted: DataFrame, by: list[str], key: str, path: str) -> None:
+    """The lines of each part as text, in folders by group and part."""
+    r = parted.repartition(*by, "part").sortWithinPartitions(*by, "part", key)
+    r.select(*by, "part", "line").write.mode("overwrite").partitionBy(*by, "part").text(path)
+
+
 def shard_stats(sharded: DataFrame) -> DataFrame:
     return sharded.groupBy("corpus", "shard").agg(
         F.count("*").alias("items"), F.sum("n_bytes").alias("bytes"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count_distinct("work_id").alias("works"),
@@ -117,16 +141,33 @@ def locator_rows(loc: DataFrame) -> DataFrame:
     return loc.groupBy("namespace", "bucket", "key").agg(F.transform(items, lambda x: F.struct(x["corpus"].alias("corpus"), x["shard"].alias("shard"))).alias("shards"))
 
 
-def write_locator(rows: DataFrame, path: str) -> None:
-    rows.repartition("namespace", "bucket").sortWithinPartitions("namespace", "bucket", "key").write.mode("overwrite").partitionBy("namespace", "bucket").json(path)
+def write_locator(rows: DataFrame, path: str, target: int = LOCATOR_BYTES) -> DataFrame:
+    """JSON lines in parts of some ``target`` bytes below namespace and bucket; returns what each part holds."""
+    p = spool(parts(rows, ["namespace", "bucket"], ["key"], target), "locator")
+    write_parts(p, ["namespace", "bucket"], "key", path)
+    return part_stats(p, ["namespace", "bucket"], "key")
+
+
+LOCATOR = "namespace string, bucket string, key string, shards array<struct<corpus:string,shard:long>>"
 
 
 def read_locator(spark: SparkSession, path: str, namespace: str, key: str) -> DataFrame:
-    """The row of one key; partition pruning leaves one bucket to read."""
+    """The rows of one key; its namespace and bucket name the only folder that is read."""
     import hashlib
 
     b = hashlib.sha256(key.encode()).hexdigest()[:2]
-    return spark.read.json(path).filter((F.col("namespace") == namespace) & (F.col("bucket") == b) & (F.col("key") == key))
+    folder = f"{path}/namespace={namespace}/bucket={b}"
+    if not exists(spark, folder):
+        return spark.createDataFrame([], LOCATOR)
+    return spark.read.schema(LOCATOR).json(folder).filter(F.col("key") == key)
+
+
+def locate(spark: SparkSession, path: str, namespace: str, key: str):
+    """The one row of a key; none or several are an error."""
+    rows = read_locator(spark, path, namespace, key).limit(2).collect()
+    if len(rows) != 1:
+        raise LookupError(f"{'no' if not rows else 'more than one'} row of {key!r} in {namespace}")
+    return rows[0]
 
 
 def locator_stats(loc: DataFrame) -> DataFrame:

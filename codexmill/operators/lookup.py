@@ -66,12 +66,44 @@ def prefixes(c: Column) -> Column:
     return F.when(F.length(c) > 0, F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.substring(c, F.lit(1), n)))
 
 
-def variants(variants_: DataFrame, identifiers: DataFrame, limit: int = 500) -> DataFrame:
-    """Variants of each identifier as work, segment or prefix of a segment."""
+#: Identifiers with wildcards that one lookup takes.
+WILD = 1000
+
+
+def lower_ascii(c: Column) -> Column:
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def like_prefix(df: DataFrame, column: str, identifiers: DataFrame) -> DataFrame:
+    """df with ``identifier``: rows whose column begins like an identifier, the way LIKE compares.
+
+    ASCII letters match in either case, ``_`` any character and ``%`` any run of them. Identifiers
+    without these are an equi-join; those with, which no key can find, are compared with every row
+    and must be few (``WILD``, checked).
+    """
+    ids = identifiers.select("identifier").filter("identifier is not null").distinct()
+    wild = F.col("identifier").rlike("[_%]")
+    plain = ids.filter(~wild).withColumn("_p", lower_ascii(F.col("identifier")))
+    hit = df.withColumn("_p", F.explode(prefixes(lower_ascii(F.col(column))))).join(plain, "_p").drop("_p")
+    some = ids.filter(wild)
+    n = some.limit(WILD + 1).count()
+    if n > WILD:
+        raise ValueError(f"a lookup takes at most {WILD} identifiers with wildcards")
+    if n:
+        pattern = F.concat(F.replace(lower_ascii(F.col("identifier")), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+        hit = hit.unionByName(df.join(F.broadcast(some), F.like(lower_ascii(F.col(column)), pattern)))
+    return hit
+
+
+def variants(variants_: DataFrame, identifiers: DataFrame, limit: int = 500, like: bool = False) -> DataFrame:
+    """Variants of each identifier as work, segment or prefix of a segment; ``like``: prefixes as ``like_prefix`` compares them."""
     ids = identifiers.select("identifier").filter("identifier is not null").distinct()
-    by_work = variants_.filter("work_id is not null").withColumn("identifier", F.col("work_id"))
-    by_prefix = variants_.withColumn("identifier", F.explode(prefixes(F.col("segment_id"))))
-    hit = by_work.unionByName(by_prefix).join(ids, "identifier", "left_semi").dropDuplicates(["identifier", "id"])
+    by_work = variants_.filter("work_id is not null").withColumn("identifier", F.col("work_id")).join(ids, "identifier", "left_semi")
+    if like:
+        by_prefix = like_prefix(variants_, "segment_id", ids)
+    else:
+        by_prefix = variants_.withColumn("identifier", F.explode(prefixes(F.col("segment_id")))).join(ids, "identifier", "left_semi")
+    hit = by_work.unionByName(by_prefix).dropDuplicates(["identifier", "id"])
     return top_per(hit, ["identifier"], [F.col("corpus"), F.col("segment_id"), F.col("id")], limit)
 
 

@@ -75,11 +75,18 @@ def same_keys(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return e.join(a, cols, "full").withColumn("problem", problem).filter("problem is not null").select(*cols, "problem", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def key_universe(lemmas: DataFrame, records: DataFrame) -> DataFrame:
-    """(query_kind, key, bucket): distinct normalized lemmas without CJK, and distinct work ids as written."""
+def key_universe(lemmas: DataFrame, records: DataFrame, expect: dict[str, int] | None = None) -> DataFrame:
+    """(query_kind, key, bucket): distinct normalized lemmas without CJK, and distinct work ids as written.
+
+    expect: how many keys of each kind there must be; another number is an error.
+    """
     lem = lemmas.select("lemma").distinct().filter("trim(lemma) <> ''").filter(~X.has_cjk(F.col("lemma"))).select(X.normalize("lemma").alias("key")).filter("key <> ''").distinct()
     wid = records.select(F.col("work_id").alias("key")).filter("key is not null and trim(key) <> ''").distinct()
     u = lem.select(F.lit("term").alias("query_kind"), "key").unionByName(wid.select(F.lit("identifier").alias("query_kind"), "key"))
+    if expect is not None:
+        have = {r.query_kind: r["count"] for r in u.groupBy("query_kind").count().collect()}  # two kinds
+        if {k: have.get(k, 0) for k in expect} != expect:
+            raise ValueError(f"keys expected: {expect}, found: {have}")
     return u.withColumn("bucket", I.bucket(F.col("key")))
 
 

@@ -122,6 +122,17 @@ def variants_prefix(s, d):
     return L.variants(t(s, d, "variants"), _works(s, d)).select("identifier", "id", "reading", "rank")
 
 
+@query(
+    """select identifier, id, rank from (
+        select i.identifier, v.id, row_number() over (partition by i.identifier order by v.corpus, v.segment_id nulls first, v.id) as rank
+        from (select distinct upper(work_id) as identifier from works) i join variants v on v.work_id = i.identifier or starts_with(lower(v.segment_id), lower(i.identifier))) where rank <= 500"""
+)
+def variants_like(s, d):
+    """Works in capitals, found as LIKE finds them."""
+    ids = t(s, d, "works").select(F.upper("work_id").alias("identifier")).distinct()
+    return L.variants(t(s, d, "variants"), ids, like=True).select("identifier", "id", "rank")
+
+
 @query(
     """select identifier, id, corpus, evidence_class, rank from (
         select i.identifier, r.id, r.corpus, r.evidence_class, row_number() over (partition by i.identifier order by r.evidence_class, r.corpus, r.sequence_no, r.id) as rank
@@ -528,17 +539,6 @@ def running_parts(s, d):
     return o.join(F.broadcast(start), "corpus").select("id", F.expr("(running - c) div 65536").alias("part"), "n")
 
 
-@query()
-def shard_stats(s, d):
-    return E.shard_stats(E.shards(t(s, d, "records")))
-
-
-@query()
-def shard_overlap(s, d):
-    r = t(s, d, "records")
-    return E.overlap(r, E.shards(r))
-
-
 @query(
     f"""with g as (select id, raw_text, regexp_replace(lower(nfc_normalize(raw_text)), '[^\\p{{L}}\\p{{N}}]+', '', 'g') as c from records),
         runs as (select id, raw_text, unnest(regexp_extract_all(c, '[\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{F900}}-\\x{{FAFF}}\\x{{20000}}-\\x{{2FA1F}}]+')) as r from g),
@@ -703,7 +703,7 @@ def independence_derived(s, d):
     """with b as (select r.id, r.id % 8 as k, coalesce(r.text_role = 'unspecified' or r.evidence_class = 'metadata_relationship' or r.evidence_class <> s.evidence_class or r.source_sha <> s.source_sha or s.corpus is null, false) as bad
          from records r left join source_state s on s.corpus = r.corpus)
        select id, case when bad or k in (1, 2, 3, 4, 6) then 'REJECTED' when k = 5 then 'UNVERIFIED' else 'VERIFIED' end as gate,
-         case k when 1 then 'opened_source_sha' when 2 then 'opened_source_path' when 3 then 'opened_blob' when 4 then 'location_segment_id' when 6 then 'excerpt_range' end as broken from b"""
+         case k when 1 then 'opened_source_sha' when 2 then 'opened_source_path' when 3 then 'opened_blob' when 4 then 'location_segment_id' when 6 then 'excerpt_range' end as broken, not bad and k in (0, 7) as shown from b"""
 )
 def gate_status(s, d):
     """What was opened is tampered with in seven ways; the eighth part is as claimed, with its blob."""
@@ -714,14 +714,17 @@ def gate_status(s, d):
     o = r.select(
         F.col("id").cast("string").alias("evidence_id"), F.when(k != 5, F.col("raw_text")).alias("content"), F.when(k == 6, F.array(F.lit(0), F.length("raw_text") + 1)).when(k != 5, F.array(F.lit(0), F.length("raw_text"))).alias("excerpt_range"),
         F.when(k == 1, F.lit("0" * 40)).when(k != 5, F.col("source_sha")).alias("source_sha"), F.when(k == 2, F.lit("x/y")).when(k != 5, F.col("source_path")).alias("source_path"),
-        F.when(k == 3, F.sha1(F.lit("x"))).when(k == 7, blob).alias("blob_sha"), "work_id", F.when(k == 4, F.concat(F.coalesce("segment_id", F.lit("")), F.lit("x"))).otherwise(F.col("segment_id")).alias("segment_id"), "sequence_no",
+        F.when(k == 3, F.sha1(F.lit("x"))).when(k == 7, blob).alias("blob_sha"), "work_id", F.col("corpus").alias("repository"), F.when(k == 4, F.concat(F.coalesce("segment_id", F.lit("")), F.lit("x"))).otherwise(F.col("segment_id")).alias("segment_id"), "sequence_no",
     )
+    whole = F.array(F.lit(0), F.length("raw_text"))
+    o = o.join(r.select(F.col("id").cast("string").alias("evidence_id"), whole.alias("context_range")), "evidence_id")
+    again = r.select(F.col("id").cast("string").alias("evidence_id"), F.col("raw_text").alias("content"), whole.alias("excerpt_range"), whole.alias("context_range"), "source_sha", "source_path", F.col("corpus").alias("repository"), "work_id", "segment_id", "sequence_no")
     names = {1: "opened_source_sha", 2: "opened_source_path", 3: "opened_blob", 4: "location_segment_id", 6: "excerpt_range"}
-    got = V.evidence_checks(c, pins, o).withColumn("id", F.col("evidence_id").cast("long"))
+    got = V.evidence_checks(c, pins, o, again).withColumn("id", F.col("evidence_id").cast("long"))
     broken = F.lit(None).cast("string")
     for i, n in names.items():
         broken = F.when((k == i) & (F.col("checks")[n] == "FAIL"), n).otherwise(broken)
-    return got.select("id", "gate", broken.alias("broken"))
+    return got.select("id", "gate", broken.alias("broken"), F.coalesce(F.col("evidence.text") != "", F.lit(False)).alias("shown"))
 
 
 @query("select id, sha1(encode('blob ' || octet_length(encode(raw_text)) || chr(0)) || encode(raw_text)) as blob_sha from records")

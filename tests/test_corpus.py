@@ -5,6 +5,7 @@ import shutil
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from codexmill import __main__ as cli
 from codexmill.corpus import TABLES, Corpus, write_snapshot
@@ -68,6 +69,16 @@ def test_export_and_resumed_pointers(corpus, spark, tmp_path):
     assert corpus.materialize(out, 3) == n and spark.read.parquet(f"{out}/pointers").count() == n_ptr
 
 
+def test_export_of_pointers(corpus, spark, tmp_path):
+    lemma, work = corpus.lemmas.first().lemma, corpus.works.first().work_id
+    m = corpus.export_pointers([lemma, "no such word at all"], [work, work], str(tmp_path / "p"), 3)
+    assert m["asked"] == 3 and m["without_result"] >= 1 and m["pointers"] > 0
+    rows = spark.read.text(str(tmp_path / "p/pointers")).collect()
+    assert len(rows) == m["keys"] and spark.read.parquet(str(tmp_path / "p/parts")).agg(F.sum("items")).first()[0] == m["keys"]
+    with pytest.raises(ValueError):
+        corpus.export_pointers([], [], str(tmp_path / "p"), 0)
+
+
 def test_command_line(corpus, capsys):
     assert cli.main(["--path", SF, "--suffix", ".parquet", "status"]) == 0
     assert json.loads(capsys.readouterr().out)["counts"]["records"] == 250

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codexmill.operators import export as E
+from codexmill.operators import ledger as G
 from codexmill.operators import lookup as L
 from codexmill.operators import order as O
 from codexmill.operators import orphans as R
@@ -186,6 +187,8 @@ def test_pointers_need_a_source(spark):
     assert p[0].source_path == "w.json" and p[0].indexed_source_path == "c/w.json"
     with pytest.raises(Exception, match="missing source mapping"):
         P.pointers(rows, src.filter("false")).collect()
+    with pytest.raises(Exception, match="outside its repository"):
+        P.pointers(rows.withColumn("source_path", F.lit("d/w.json")), src).collect()
 
 
 def test_distribution_is_nearest_rank(spark):
@@ -252,6 +255,67 @@ def test_shards_cover_all_rows_once(spark, tmp_path):
     loc = E.locator_rows(E.locator(recs, sh))
     E.write_locator(loc, str(tmp_path / "l"))
     assert E.read_locator(spark, str(tmp_path / "l"), "identifier", "w").count() == 1
+    assert E.locate(spark, str(tmp_path / "l"), "identifier", "w").key == "w"
+    with pytest.raises(LookupError):
+        E.locate(spark, str(tmp_path / "l"), "identifier", "none")
+    many = E.parts(loc, ["namespace", "bucket"], ["key"], 200)
+    st = E.part_stats(many, ["namespace", "bucket"], "key").collect()
+    assert sum(r["items"] for r in st) == loc.count() and all(r.first_key <= r.last_key for r in st)
+
+
+def test_publishing_keeps_the_old_until_the_new_is_whole(spark, tmp_path):
+    from codexmill.session import publish
+
+    out = str(tmp_path / "out")
+    publish(spark, out, lambda p: spark.range(3).write.parquet(f"{p}/t"))
+    assert spark.read.parquet(f"{out}/t").count() == 3
+
+    def fails(p):
+        spark.range(9).write.parquet(f"{p}/t")
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        publish(spark, out, fails)
+    assert spark.read.parquet(f"{out}/t").count() == 3 and [p.name for p in tmp_path.iterdir()] == ["out"]
+    publish(spark, out, lambda p: spark.range(5).write.parquet(f"{p}/t"))
+    assert spark.read.parquet(f"{out}/t").count() == 5
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "mine.txt").write_text("x")
+    with pytest.raises(ValueError, match="not published"):
+        publish(spark, str(other), lambda p: spark.range(1).write.parquet(p))
+
+
+def test_prefixes_as_like_compares_them(spark):
+    v = spark.createDataFrame([(i, "c", None, x) for i, x in enumerate(["Ab:1", "ab:2", "aXb", "É1", "é1", None, "50%x", "a\\b"])], "id long, corpus string, work_id string, segment_id string")
+    find = lambda x, **kw: {r.id for r in L.variants(v, spark.createDataFrame([(x,)], "identifier string"), **kw).collect()}
+    assert find("AB", like=True) == {0, 1} and find("AB") == set() and find("a_b", like=True) == {2, 7} and find("a%b", like=True) == {0, 1, 2, 7}
+    assert find("É", like=True) == {3} and find("a\\", like=True) == {7} and find("50%", like=True) == {6}
+
+
+def test_supersession(spark):
+    rows = [(1, None, 1), (2, 1, 2), (3, 1, 3), (4, 9, 4), (5, 6, 5), (6, 6, 6), (7, 2, 7), (None, 1, 8), (8, 7, None)]
+    got = {r.id: (r.status, r.problem) for r in G.supersession(spark.createDataFrame(rows, "id long, supersedes long, at long")).collect()}
+    assert got == {1: ("superseded", None), 2: ("superseded", None), 3: ("active", "branch"), 4: ("active", "missing"), 5: ("active", "not earlier"), 6: ("active", "not earlier"), 7: ("active", None), None: ("active", "unordered"), 8: ("active", "unordered")}
+    assert G.supersession(spark.createDataFrame([], "id long, supersedes long, at long")).count() == 0
+
+
+def test_citations_and_lists(spark):
+    items = spark.createDataFrame([(1, ["a", "b", "a", None]), (2, ["z"]), (3, []), (4, None)], "id long, ids array<string>")
+    got = {r.id: (r.n_cited, r.n_found, r.missing, r.complete) for r in G.citations(items, spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "id string")).collect()}
+    assert got == {1: (2, 2, [], True), 2: (1, 0, ["z"], False), 3: (0, 0, [], True), 4: (0, 0, [], True)}
+    ok = spark.createDataFrame([(["a", "b"],), (["a", "a"],), (["a", " "],), (["a", None],), (["a", "b", "c"],), (["long"],), (None,), ([],)], "x array<string>").select(G.valid_list(F.col("x"), 2, 3).alias("ok"))
+    assert [r.ok for r in ok.collect()] == [True, False, False, False, False, False, False, True]
+    js = spark.createDataFrame([('{"b": 1, "a": [true, 1.0]}',), ('{"a":[true,1.0],"b":1}',), ('{"a": [1, 1.0], "b": 1}',), ('{"a": 1, "a": 1}',), ("{",), (None,)], "x string").select(G.canonical_json("x").alias("c"))
+    c = [r.c for r in js.collect()]
+    assert c[0] == c[1] != c[2] and c[3] is c[4] is c[5] is None
+
+
+def test_declared_sources(spark):
+    r = spark.createDataFrame([("c", "w1", "p"), ("c", "w1", "p"), ("c", "w2", "p"), ("c", "w2", "q"), ("d", "w3", None)], "corpus string, work_id string, source_path string")
+    d = spark.createDataFrame([("c", "w1"), ("c", "w1"), ("c", "w2"), ("c", "w9"), ("d", "w3")], "corpus string, work_id string")
+    got = {r.work_id: (r.n_files, r.source_path, r.status) for r in G.declared_sources(d, r).collect()}
+    assert got == {"w1": (1, "p", "found"), "w2": (2, None, "ambiguous"), "w9": (0, None, "missing"), "w3": (0, None, "missing")}
 
 
 # ---------------------------------------------------------------- verification
@@ -269,10 +333,23 @@ def test_evidence_gate(spark):
     good = ("e1", "c", "h/r", "a" * 40, "x/y.json", "w", "w:1", 1, "canonical_root", "root_text", "evaṃ")
     cand = spark.createDataFrame([good, ("e2", *good[1:10], "sutam"), ("e3", *good[1:3], "zz", *good[4:]), ("e4", *good[1:])], c)
     contract = spark.createDataFrame([("c", "p", "h/r", "a" * 40, "canonical_root")], "corpus string, repo_path string, repository string, source_sha string, evidence_class string")
-    o = "evidence_id string, content string, excerpt_range array<int>, source_sha string, source_path string, blob_sha string, work_id string, segment_id string, sequence_no long"
-    opened = spark.createDataFrame([(e, "evaṃ me", [0, 4], "a" * 40, "x/y.json", None, "w", "w:1", 1) for e in ("e1", "e2", "e3")], o)
-    got = {r.evidence_id: r.gate for r in V.evidence_checks(cand, contract, opened).collect()}
-    assert got == {"e1": "VERIFIED", "e2": "REJECTED", "e3": "REJECTED", "e4": "UNVERIFIED"}
+    o = "evidence_id string, content string, excerpt_range array<int>, context_range array<int>, repository string, source_sha string, source_path string, blob_sha string, work_id string, segment_id string, sequence_no long"
+    read = lambda *ids, **kw: spark.createDataFrame([(e, kw.get("content", "so evaṃ me"), [3, 7], kw.get("context", [0, 10]), "h/r", "a" * 40, "x/y.json", kw.get("blob"), "w", "w:1", 1) for e in ids], o)
+    opened = read("e1", "e2", "e3")
+    gate = lambda *a, **kw: {r.evidence_id: (r.gate, {k for k, v in r.checks.items() if v == "FAIL"}) for r in V.evidence_checks(*a, **kw).collect()}
+    got = gate(cand, contract, opened, opened)
+    assert {k: v[0] for k, v in got.items()} == {"e1": "VERIFIED", "e2": "REJECTED", "e3": "REJECTED", "e4": "UNVERIFIED"} and got["e2"][1] == {"quotation"}
+    e = V.evidence_checks(cand, contract, opened, opened).filter("evidence_id = 'e1'").first().evidence
+    assert (e.before, e.text, e.after) == ("so ", "evaṃ", " me")
+    one = cand.filter("evidence_id = 'e1'")
+    assert gate(one, contract, opened)["e1"] == ("UNVERIFIED", set()), "one reading is none"
+    assert gate(one, contract, opened, read("e1", content="so evaṃ mE"))["e1"] == ("REJECTED", {"independent_content"})
+    assert gate(one, contract, read("e1", context=[4, 10]), opened)["e1"] == ("REJECTED", {"context_contains_excerpt", "independent_context_range"})
+    assert gate(one, contract.withColumn("blob_required", F.lit(True)), opened, opened)["e1"][0] == "UNVERIFIED"
+    assert gate(one, contract, read("e1", blob="b" * 40), opened)["e1"] == ("REJECTED", {"opened_blob"})
+    assert gate(one, contract, opened, opened, mode="research")["e1"] == ("REJECTED", {"run_id"}) and gate(one.withColumn("run_id", F.lit("r")), contract, opened, opened, mode="research")["e1"][0] == "VERIFIED"
+    assert gate(one.withColumn("indexed_source_path", F.lit("q/x/y.json")), contract, opened, opened)["e1"] == ("REJECTED", {"indexed_source_path"})
+    assert gate(cand.filter("false"), contract, opened, opened) == {}
 
 
 def test_families_merge_by_derivation(spark):
@@ -283,6 +360,13 @@ def test_families_merge_by_derivation(spark):
     assert V.independent_sources(ev, "grp", d, family=["src"]).first().n_families == 1
 
 
+def test_long_chains_of_derivation_are_followed_to_their_end(spark):
+    n = 150
+    ev = spark.range(n).select(F.lit("g").alias("grp"), F.format_string("k%05d", "id").alias("id"), F.col("id").cast("string").alias("src"))
+    d = spark.range(1, n).select(F.format_string("k%05d", "id").alias("id"), F.format_string("k%05d", F.col("id") - 1).alias("from_key"))
+    assert V.independent_sources(ev, "grp", d, family=["src"]).first().n_families == 1
+
+
 def test_strict_json(spark):
     df = spark.createDataFrame([('{"a": 1}',), ('{"a": 1, "a": 2}',), ("{",), (None,)], "t string")
     assert [r.x for r in df.select(V.strict_json("t").alias("x")).collect()] == [True, False, False, None]
@@ -296,3 +380,30 @@ def test_spooled_tables_can_be_swept(spark):
     assert session.sweep(spark) >= 1 and session.sweep(spark) == 0
     with pytest.raises(Exception, match="(?i)path|exist|file"):
         session.spool(spark.range(1), "x").sparkSession.read.parquet(df.inputFiles()[0]).count()
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from codexmill import session
+
+    def of(master, folder=None):
+        conf = {"spark.checkpoint.dir": folder} if folder else {}
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d), set=conf.__setitem__), sparkContext=SimpleNamespace(master=master))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]", "k8s://x"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            session.shared_dir(of(master))
+        assert session.shared_dir(of(master, "hdfs://x/y/")) == "hdfs://x/y"
+    assert session.shared_dir(of("local[4]")).startswith("file://")
+
+
+def test_broadcasts_are_measured_in_bytes(spark):
+    from codexmill import session
+
+    df = spark.range(10).withColumn("x", F.array(*[F.lit("long text " * 10)] * 20))
+    hint = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert hint(session.broadcast_within(df, 100_000)) and not hint(session.broadcast_within(df, 10_000)), "few rows may be wide"
+    assert session.spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    many = spark.range(10, numPartitions=50)
+    assert session.spread(many) is many

@@ -4,10 +4,10 @@ import re
 
 import pytest
 
-from codexmill.plans import corpus, records
+from codexmill.plans import analysis, corpus, records, sources
 
 SF = "/root/testdata/sf0.001"
-ALL = corpus.QUERIES | records.QUERIES
+ALL = corpus.QUERIES | records.QUERIES | sources.QUERIES | analysis.QUERIES
 
 
 def plan(df):

@@ -3,9 +3,11 @@
 import gzip
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from codexmill.sources import aligned as A
+from codexmill.sources import config as C
 from codexmill.sources import files as S
 from codexmill.sources import formats as P
 
@@ -101,6 +103,14 @@ def test_translation_memory(spark):
     assert edges[0] == ("W:tu:1:bo", "W:tu:1:en", {"passage_id": "p", "folio": None, "creation_method": None}) and len(edges) == 3
 
 
+def test_configuration_is_strict(spark):
+    got = C.sources_of(spark, '{"sources": {"a": {"repo_path": "r/a", "source_sha": "1"}, "b": {"repo_path": "r/b"}}}').collect()
+    assert {(r.corpus, r.repo_path, r.source_sha) for r in got} == {("a", "r/a", "1"), ("b", "r/b", None)}
+    for bad in ('{"sources": {"a": {}, "a": {}}}', '{"sources": {"a": {"x": "1"}}}', '{"sources": {"a": {"repo_path": "r"}, "b": {"repo_path": "r"}}}', "[]", "{"):
+        with pytest.raises(ValueError):
+            C.sources_of(spark, bad)
+
+
 def test_paged_text():
     rows = list(P.paged_text("pli")("a.txt", b"Title\nbefore\npage 1\n====\nx\ny\npage 2\n\npage 3\nz"))
     assert recs(rows) == [("Title:page:1", "x\ny"), ("Title:page:3", "z")] and [r["sequence_no"] for r in rows] == [0, 1]
