@@ -47,12 +47,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, tasks_per_core: int = 2) -> DataFrame:
-    """``df`` in a few parts a core, if it comes in fewer: a small table of one row group would be one task's work.
+    """``df`` in a few parts a core, if it comes in fewer splits than there are cores: a small table of one row group would be one task's work.
 
     A table that fills the cluster is returned as it is, without a shuffle.
     """
-    want = tasks_per_core * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df._jdf.queryExecution().toRdd().getNumPartitions() < want else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks_per_core * cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
