@@ -13,8 +13,8 @@ stands by a validated margin.
    replacement characters. One table lookup a character finds the texts with such
    traces; no other text can be changed by any chain.
 3. *Chains.* For these texts each chain (encode with the code wrongly used, decode
-   with the true one) is applied to every stretch it can be undone in; up to
-   ``ROUNDS`` chains follow one another, as in texts garbled twice.
+   with the true one) is applied to every stretch it can be undone in. Chains
+   follow one another as long as one is accepted, as in texts garbled twice or more.
 4. *Choice.* The chain with the highest gain in log-likelihood is applied if the
    gain is over ``MARGIN`` nats for every place changed.
 A text is garbled if a chain was applied, or if replacement characters or C1
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 WRONG = ("latin-1", "cp1252", "cp1251", "cp1250", "cp437", "cp850", "cp866", "koi8-r", "mac_roman")
 #: True codes beside UTF-8, and the codes they are mistaken for.
 LEGACY, LEGACY_AS = ("gb18030", "big5", "shift_jis", "euc_jp", "euc_kr"), ("latin-1", "cp1252")
-MARGIN, ROUNDS = 4.0, 3
+MARGIN = 4.0
 PAIR_BITS = 18
 CHUNK = 1_000_000
 TOP = 0x110000
@@ -253,12 +253,14 @@ def best_chain(m: Model, text: str, margin: float = MARGIN) -> tuple[str, str] |
     return best and (best[1], best[2])
 
 
-def repair(m: Model, text: str, margin: float = MARGIN, rounds: int = ROUNDS) -> tuple[list[str], str]:
+def repair(m: Model, text: str, margin: float = MARGIN) -> tuple[list[str], str]:
     """Chains applied, and the text they lead to."""
     done: list[str] = []
-    while len(done) < 2 * rounds and len(traces(_points([text]))) and (b := best_chain(m, text, margin)):
+    seen = {text}
+    while len(traces(_points([text]))) and (b := best_chain(m, text, margin)) and b[1] not in seen:
         done.append(b[0])
         text = b[1]
+        seen.add(text)
     return done, text
 
 
