@@ -314,16 +314,15 @@ def search(
         word = word.join(allowed, ["query_id", "id"], "left_semi") if allowed is not None else word
     else:
         word = capped(hits, lengths if lengths is not None else spool(document_lengths(records), "lengths"), cap, allowed)
-    if not any_cjk:
-        cjk = word.limit(0)
-    else:
+    found = word
+    if any_cjk:
         cjk = cjk_candidates(q, grams if grams is not None else trigram_postings(records), records, cap, gram_avg)
-    if filters:
-        r = records.select("id", "language", "corpus")
-        f = queries.select("query_id", *[F.col(c).alias(f"_{c}") for c in filters])
-        on = reduce(Column.__and__, [F.col(f"_{c}").isNull() | (F.col(f"_{c}") == F.col(c)) for c in filters])
-        cjk = cjk.join(r, "id").join(f, "query_id").filter(on).select("query_id", "id")
-    found = word.unionByName(cjk).distinct()
+        if filters:
+            r = records.select("id", "language", "corpus")
+            f = queries.select("query_id", *[F.col(c).alias(f"_{c}") for c in filters])
+            on = reduce(Column.__and__, [F.col(f"_{c}").isNull() | (F.col(f"_{c}") == F.col(c)) for c in filters])
+            cjk = cjk.join(r, "id").join(f, "query_id").filter(on).select("query_id", "id")
+        found = word.unionByName(cjk).distinct()
     found = scored(found, q, spread(records), forms, places, derive_missing=any_cjk, narrow=cap is not None)
     return top_per(found, ["query_id"], rank_order(), limit)
 

@@ -22,16 +22,20 @@ def _joins(c: str) -> bool:
     return c.isalnum() or unicodedata.category(c)[0] == "M"
 
 
+def _one_word(left: str, right: str) -> bool:
+    """Whether a word runs on over the border between two texts."""
+    return bool(left and right) and _joins(left[-1]) and _joins(right[0])
+
+
 def stands_in(source: str, quotation: str) -> bool:
     """Whether the quotation stands somewhere in the source without cutting a word at either side."""
-    at = source.find(quotation)
-    while at >= 0:
-        end = at + len(quotation)
-        left = at > 0 and _joins(source[at - 1]) and _joins(quotation[0])
-        right = end < len(source) and _joins(source[end]) and _joins(quotation[-1])
-        if not (left or right):
+    between = source.split(quotation)
+    last = len(between) - 1
+    for i in range(last):
+        # What stands beside this place: the text between, or the quotation again where two follow each other.
+        before, after = between[i] or (quotation if i else ""), between[i + 1] or (quotation if i + 1 < last else "")
+        if not _one_word(before, quotation) and not _one_word(quotation, after):
             return True
-        at = source.find(quotation, max(end, at + 1))
     return False
 
 
@@ -146,6 +150,7 @@ def evidence_checks(candidates: DataFrame, contract: DataFrame, opened: DataFram
     excerpt, context = good("o", "excerpt_range"), good("o", "context_range")
     actual = I.git_blob_sha(col("o_content"))
     no_blob = F.when(F.coalesce(col("c_blob_required"), F.lit(False)), "UNVERIFIED").otherwise("NOT_APPLICABLE")
+    # The names of the checks and of their results.
     checks = {
         "required_provenance": _flag(text("evidence_id") & text("corpus") & text("repository") & text("evidence_class") & text("text_role")),
         "source_sha_format": _flag(I.is_sha(col("source_sha"))),

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codexmill.functions import ids as I
 from codexmill.functions import text as X
 from codexmill.operators import export as E
 from codexmill.operators import ledger as G
 from codexmill.operators import pointers as P
 from codexmill.operators import repetition as N
+from codexmill.operators import tables as T
 from codexmill.operators import verify as V
 from codexmill.operators.orphans import json_string_list
 from codexmill.session import table as t
@@ -44,6 +46,7 @@ def _pointers(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+# Weights of the evidence classes.
 _CLASS = "case {0} when 'canonical_root' then 70 when 'authoritative_structured' then 65 when 'metadata_relationship' then 35 when 'parallel_alignment' then 25 when 'computational_segmented' then 15 when 'derived_critical_lemma' then 30 when 'auxiliary_reference' then 10 else 0 end"
 _PTR = f"""
 with k as (select distinct work_id as query_id from works),
@@ -143,8 +146,6 @@ def variant_parts(s, d):
 )
 def locator_parts(s, d):
     """A locator of lemmas in parts by namespace and bucket."""
-    from codexmill.functions import ids as I
-
     k = t(s, d, "lemmas").filter("lemma <> ''").groupBy(F.col("lemma").alias("key")).agg(F.count("*").alias("n"))
     k = k.select(F.lit("lemma").alias("namespace"), I.bucket(F.col("key")).alias("bucket"), "key", "n")
     return E.part_stats(E.parts(k, ["namespace", "bucket"], ["key"], 100), ["namespace", "bucket"], "key")
@@ -294,3 +295,129 @@ def source_config(s, d):
     import json
 
     return C.sources_of(s, json.dumps({"sources": {r.corpus: {k: r[k] for k in ("repo_path", "source_sha", "evidence_class")} for r in st}}))
+
+
+# ------------------------------------------------------------------ scalars
+
+
+@query(
+    """select id, case when coalesce(segment_id, '') <> '' then split_part(split_part(segment_id, ':', 1), '#', 1) end as work,
+        coalesce(nullif(regexp_replace(regexp_replace(coalesce(title, segment_id, ''), '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'unknown') as slug,
+        case when starts_with(source_path, 'palmleaf/') and length(source_path) > 9 then substring(source_path, 10) end as inner_path,
+        case when regexp_full_match(trim(x), '(?i)[a-z]{1,4}[0-9]{1,3}n[0-9]{4,5}[a-z]?') then upper(regexp_extract(trim(x), '^([A-Za-z]+)', 1)) || lpad(regexp_extract(trim(x), '^[A-Za-z]+([0-9]+)', 1), 2, '0') || 'n' || lower(regexp_extract(trim(x), '[nN]([0-9]{4,5}[a-zA-Z]?)$', 1)) end as work_norm,
+        regexp_full_match(source_sha, '[0-9a-f]{40}') as sha, octet_length(encode(cast(json_object('title', title) as varchar))) - 2 as title_bytes
+       from (select *, ' ' || lower(replace(coalesce(work_id, ''), 'n0', 'n')) || ' ' as x from records)"""
+)
+def id_functions(s, d):
+    r = t(s, d, "records")
+    x = F.concat(F.lit(" "), F.lower(F.replace(F.coalesce("work_id", F.lit("")), F.lit("n0"), F.lit("n"))), F.lit(" "))
+    return r.select(
+        "id", I.work_from_segment(F.col("segment_id")).alias("work"), I.slug(F.coalesce("title", "segment_id", F.lit(""))).alias("slug"), I.relative_path(F.col("source_path"), "palmleaf").alias("inner_path"),
+        I.normalize_work_id(x).alias("work_norm"), I.is_sha(F.col("source_sha")).alias("sha"), I.fragment_bytes("title", F.col("title")).alias("title_bytes"),
+    )
+
+
+_PATHS = "case id % 6 when 0 then source_path when 1 then '/' || source_path when 2 then source_path || '/../x' when 3 then replace(source_path, '/', '\\') when 4 then source_path || '/' else replace(source_path, '/', '//') end"
+
+
+@query("select id, id % 6 = 0 and source_path <> '' as ok from records")
+def path_rules(s, d):
+    return t(s, d, "records").select("id", I.valid_path(F.expr(_PATHS.replace("\\", "\\\\"))).alias("ok"))
+
+
+@query("select id, case when id % 3 < 2 then strftime(ingested_at - interval (case when id % 3 = 1 then 2 else 0 end) hour, '%Y-%m-%d %H:%M') end as at from records")
+def aware_times(s, d):
+    """Texts with Z, with an offset of two hours, and without any, which is no time."""
+    base, k = F.date_format("ingested_at", "yyyy-MM-dd'T'HH:mm:ss"), F.col("id") % 3
+    text = F.when(k == 0, F.concat(base, F.lit("Z"))).when(k == 1, F.concat(base, F.lit("+02:00"))).otherwise(base)
+    return t(s, d, "records").select("id", F.date_format(I.aware_timestamp(text), "yyyy-MM-dd HH:mm").alias("at"))
+
+
+@query("select id, id % 5 in (0, 4) as ok, id % 5 = 4 as within from records where length(raw_text) >= 4")
+def range_checks(s, d):
+    """Ranges that are whole, reversed, too long, negative, and inner."""
+    r, n, k = t(s, d, "records").filter(F.length("raw_text") >= 4), F.length("raw_text"), F.col("id") % 5
+    whole = F.array(F.lit(0), n)
+    span = F.when(k == 0, whole).when(k == 1, F.array(n, F.lit(0))).when(k == 2, F.array(F.lit(0), n + 1)).when(k == 3, F.array(F.lit(-1), n)).otherwise(F.array(F.lit(1), n - 1))
+    return r.select("id", V.range_ok(F.col("raw_text"), span).alias("ok"), (V.contains_range(whole, span) & ~V.contains_range(span, whole) & V.range_ok(F.col("raw_text"), span)).alias("within"))
+
+
+@query("select id, case id % 3 when 0 then true when 1 then false end as ok from relations")
+def strict_json(s, d):
+    """Details as they are, with a key twice, and none."""
+    k = F.col("id") % 3
+    twice = F.concat(F.lit('{"a": 1, "a": '), "details_json", F.lit("}"))
+    return t(s, d, "relations").select("id", V.strict_json(F.when(k == 0, F.col("details_json")).when(k == 1, twice)).alias("ok"))
+
+
+@query("select cast(round_even(1000 * least(m, a), 0) as bigint) as lower, cast(round_even(1000 * a, 0) as bigint) as central, cast(round_even(1000 * greatest(a, p), 0) as bigint) as upper from (select avg(n) as a, quantile_disc(n, 0.5) as m, quantile_disc(n, 0.95) as p from (select length(raw_text) as n from records))")
+def extrapolated(s, d):
+    r = t(s, d, "records").select(F.length("raw_text").cast("long").alias("n"))
+    return P.extrapolate(P.distribution(r, "n"), 1000)
+
+
+# ------------------------------------------------------------------ tables and keys
+
+
+@query("select id from records where regexp_matches(raw_text, '[^\\s\\p{Z}]') and corpus <> 'palmleaf'")
+def kept_rows(s, d):
+    """Rows with text, without one corpus."""
+    return T.purge(T.drop_blank(t(s, d, "records")), "palmleaf").select("id")
+
+
+@query(
+    """with m as (select distinct lower(nfc_normalize(surface)) as s, lower(nfc_normalize(lemma)) as l from lemmas where surface <> '' and lemma <> '')
+       select s as surface, l as lemma from m union select strip_accents(s), l from m"""
+)
+def surface_lemmas(s, d):
+    return E.surface_map(t(s, d, "lemmas"))
+
+
+@query("select id, lower(nfc_normalize(work_id)) as key from records where work_id <> '' union select id, lower(nfc_normalize(segment_id)) from records where segment_id <> ''")
+def locator_identifiers(s, d):
+    return E.locator_keys(t(s, d, "records")).filter("namespace = 'identifier'").select("id", "key")
+
+
+@query(
+    _SHARDS
+    + r""", c as (select s.corpus, shard, regexp_replace(lower(nfc_normalize(raw_text)), '[^\p{L}\p{N}]+', '', 'g') as c from s),
+       runs as (select corpus, shard, unnest(regexp_extract_all(c, '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}]+')) as r from c),
+       k as (select distinct 'cjk' as namespace, substring(r, x.i, 2) as key, corpus, shard from runs, lateral (select unnest(range(1, length(r))) as i) x where length(r) >= 2
+             union select 'identifier', lower(nfc_normalize(work_id)), corpus, shard from s where work_id <> '' union select 'identifier', lower(nfc_normalize(segment_id)), corpus, shard from s where segment_id <> '')
+       select namespace, count(distinct key) as keys, count(*) as entries from k group by namespace"""
+)
+def locator_summary(s, d):
+    """Keys and entries of the locator, but for Latin tokens."""
+    r = t(s, d, "records")
+    return E.locator_stats(E.locator(r, E.shards(r))).filter("namespace <> 'latin'")
+
+
+@query(
+    _PTR
+    + """, best as (select *, row_number() over (partition by query_id, corpus, work_id, source_path order by score desc, sequence_no, record_id) as b from ptr),
+       kept as (select *, row_number() over (partition by query_id, corpus order by score desc, source_path, sequence_no, record_id) as c from best where b = 1),
+       top as (select *, row_number() over (partition by query_id order by score desc, corpus, source_path, sequence_no, record_id) as place from kept where c <= 5)
+       select query_id, count(*) as n, string_agg(substring(source_path, length(corpus) + 2), ' ' order by place) as paths, string_agg(coalesce(case when record_id % 4 <> 0 then sha1(source_path) end, '-'), ' ' order by place) as blobs from top group by query_id"""
+)
+def pointer_lists(s, d):
+    """The best pointers of every work, with repository and blob; a quarter of the paths has no blob."""
+    r = t(s, d, "records")
+    ids = t(s, d, "works").select(F.col("work_id").alias("query_id"), F.col("work_id").alias("query")).distinct()
+    rows = P.best_sources(P.identifier_rows(r, ids), 5)
+    src = t(s, d, "source_state").select("corpus", F.col("corpus").alias("repo_path"), F.concat(F.lit("host/"), "corpus").alias("repository"))
+    got = P.pointers(rows, src).select("query_id", F.posexplode("pointers").alias("at", "p"))
+    got = got.withColumn("blob", F.when(F.col("p.record_id") % 4 != 0, F.sha1("p.indexed_source_path")).otherwise("-"))
+    join = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", c.alias("v")))), lambda x: x["v"]), " ")
+    return got.groupBy("query_id").agg(F.count("*").alias("n"), join(F.col("p.source_path")).alias("paths"), join(F.col("blob")).alias("blobs"))
+
+
+@query(
+    """with w as (select id, lag(id) over w as p1, lag(id, 2) over w as p2, lead(id) over w as n1, lead(id, 2) over w as n2 from records window w as (partition by corpus, work_id, source_path order by sequence_no, id)),
+        x as (select id, unnest([-2, -1, 1, 2]) as off, unnest([p2, p1, n1, n2]) as neighbour from w)
+       select id, cast(off as bigint) as "offset", neighbour from x where neighbour is not null and id in (select id from relations where relation_type = 'mention')"""
+)
+def context_of_some(s, d):
+    """Neighbours of the records with the ids of some relations; only their files are put in order."""
+    from codexmill.operators import lookup as L
+
+    return L.context(t(s, d, "records"), 2, t(s, d, "relations").filter("relation_type = 'mention'").select("id"))

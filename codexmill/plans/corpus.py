@@ -41,6 +41,7 @@ def query(sql: str | None = None):
 
 # Pieces of SQL shared by several twins.
 TOKEN = r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\x{300}-\x{331}]*"
+# Weights of the evidence classes.
 CLASS = "case {0} when 'canonical_root' then 70 when 'authoritative_structured' then 65 when 'metadata_relationship' then 35 when 'parallel_alignment' then 25 when 'computational_segmented' then 15 when 'derived_critical_lemma' then 30 when 'auxiliary_reference' then 10 else 0 end"
 WIDE = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]"
 LEMMAS = "(select distinct lemma as query from lemmas)"

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from codexmill.functions import text as X
 from codexmill.operators import tables as T
+from codexmill.session import exists
 
 
 def read_rows(spark: SparkSession, path: str, schema: str, fmt: str = "json", max_files: int = 1000) -> DataFrame:
@@ -28,11 +29,9 @@ def ingest_records(rows: DataFrame, out: str, checkpoint: str, order: list[str])
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = T.insert_or_ignore(T.drop_blank(batch), T.RECORD_KEY, order)
-        try:
+        if exists(spark, out):
             old = spark.read.parquet(out).filter(F.col("batch") != number).select(*T.RECORD_KEY).distinct()
             new = new.join(old, T.RECORD_KEY, "left_anti")
-        except Exception:  # noqa: BLE001 - nothing stored yet
-            pass
         X.stored_forms(new).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
 
     return rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
