@@ -22,7 +22,7 @@ from codexmill.operators import resolve as R
 from codexmill.operators import search as S
 from codexmill.operators import tables as T
 from codexmill.operators import verify as V
-from codexmill.session import exists, shared_dir, spool
+from codexmill.session import exists, shared_dir, spool, until_exit
 from codexmill.session import table as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,7 @@ def _index(s: SparkSession, d: str) -> dict:
     if key not in _INDEXED or not exists(s, f"{_INDEXED[key]}/search_index_state"):
         _INDEXED[key] = f"{shared_dir(s)}/codexmill/index-{uuid.uuid4().hex}"
         S.write_index(t(s, d, "records"), _INDEXED[key])
+        until_exit(s, _INDEXED[key])
     return S.read_index(s, _INDEXED[key])
 
 

@@ -76,15 +76,23 @@ def shared_dir(spark: SparkSession) -> str:
 def spool(df: DataFrame, tag: str = "t") -> DataFrame:
     """Cut lineage: write ``df`` as a table into the shared folder and read it back.
 
-    A written table is computed once and survives the loss of executors.
+    A written table is computed once and survives the loss of executors. It is deleted
+    by ``sweep``, or else when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/codexmill/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    until_exit(spark, path)
     _SPOOLED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Has a folder that is there deleted when the driver ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 #: Tables that this process has written to the shared folder.
 _SPOOLED: list[str] = []
 
