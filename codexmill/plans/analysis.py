@@ -325,12 +325,12 @@ def path_rules(s, d):
     return t(s, d, "records").select("id", I.valid_path(F.expr(_PATHS.replace("\\", "\\\\"))).alias("ok"))
 
 
-@query("select id, case when id % 3 < 2 then strftime(ingested_at - interval (case when id % 3 = 1 then 2 else 0 end) hour, '%Y-%m-%d %H:%M') end as at from records")
+@query("select id, case id % 3 when 0 then cast(floor(epoch(ingested_at)) as bigint) when 1 then cast(floor(epoch(ingested_at)) as bigint) - 7200 else -1 end as seconds from records")
 def aware_times(s, d):
-    """Texts with Z, with an offset of two hours, and without any, which is no time."""
+    """Texts with Z, with an offset of two hours, and without any, which is no time: seconds since 1970, or -1."""
     base, k = F.date_format("ingested_at", "yyyy-MM-dd'T'HH:mm:ss"), F.col("id") % 3
     text = F.when(k == 0, F.concat(base, F.lit("Z"))).when(k == 1, F.concat(base, F.lit("+02:00"))).otherwise(base)
-    return t(s, d, "records").select("id", F.date_format(I.aware_timestamp(text), "yyyy-MM-dd HH:mm").alias("at"))
+    return t(s, d, "records").select("id", F.coalesce(F.unix_seconds(I.aware_timestamp(text)), F.lit(-1)).alias("seconds"))
 
 
 @query("select id, id % 5 in (0, 4) as ok, id % 5 = 4 as within from records where length(raw_text) >= 4")
