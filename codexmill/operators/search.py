@@ -166,6 +166,35 @@ def phrase_hits(terms: DataFrame, post: DataFrame) -> DataFrame:
     return single.unionByName(several).groupBy("query_id", "term", "id").agg(F.count("*").alias("tf"))
 
 
+#: Words of 64 bits in the table by which a scan passes phrases over; a fixed size, whatever the number of phrases.
+BIT_WORDS = 1 << 18
+
+
+def phrase_scan(terms: DataFrame, records: DataFrame) -> DataFrame:
+    """What ``phrase_hits`` gives, by one scan of the records without an index.
+
+    For batches of so many phrases that a common word stands in many of them: word by word,
+    each of its postings would meet each of these. Here a run of words is compared whole;
+    a bit table of the phrases passes over most runs before they are shuffled.
+    """
+    q = spool(terms.select("query_id", "term", "tokens", F.concat_ws(" ", "tokens").alias("words"), F.size("tokens").alias("n")), "phrases")
+    lengths = [r.n for r in q.select("n").distinct().collect()]  # at most the words of the longest phrase
+    text = spread(records.select("id", *COLUMNS)).select("id", F.explode(F.array(*[F.coalesce(c, F.lit("")) for c in COLUMNS])).alias("x"))
+    # Outer, as Spark filters by the size of what it explodes and for that tokenizes twice; rows without words go with the next filter.
+    w = text.select("id", X.word_tokens(F.col("x")).alias("w")).select("id", "w", F.posexplode_outer("w").alias("pos", "_t"))
+    slot, bit = F.shiftright("_h", 6).bitwiseAND(F.lit(BIT_WORDS - 1)), F.expr("shiftleft(1L, cast(_h & 63 as int))")
+    found = []
+    for n in lengths:
+        own = q.filter(F.col("n") == n).select(F.xxhash64(*[F.get("tokens", F.lit(i)) for i in range(n)]).alias("_h"))
+        bits = F.broadcast(own.select(slot.alias("slot"), bit.alias("b")).groupBy("slot").agg(F.bit_or("b").alias("bits")))
+        run = [F.get("w", F.col("pos") + i) for i in range(n)]
+        r = w.filter(F.col("pos") + n <= F.size("w")).withColumn("_h", F.xxhash64(*run)).withColumn("slot", slot).join(bits, "slot").filter(F.col("bits").bitwiseAND(bit) != 0)
+        # Words hold no blank, so runs joined by blanks are equal only if their words are.
+        found.append(r.select("id", F.concat_ws(" ", *run).alias("words")))
+    found = reduce(DataFrame.unionByName, found or [w.limit(0).select("id", F.col("_t").alias("words"))])
+    return found.groupBy("words", "id").agg(F.count("*").alias("tf")).join(q, "words").select("query_id", "term", "id", "tf")
+
+
 def bm25(hits: DataFrame, lengths: DataFrame) -> DataFrame:
     """hits with ``bm25`` (larger is better)."""
     # Two numbers of the whole collection; literals, so that nothing is crossed with them.

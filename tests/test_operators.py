@@ -407,3 +407,25 @@ def test_broadcasts_are_measured_in_bytes(spark):
     assert session.spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
     many = spark.range(10, numPartitions=50)
     assert session.spread(many) is many
+
+
+def test_phrase_scan_meets_phrases_whole(spark):
+    """What the postings give, though every phrase of 600 begins with one word, which 300 records hold in four columns: word by word, 1.4 million meetings."""
+    words = [f"w{i}" for i in range(600)]
+    rnd = random.Random(2)
+    recs = spark.createDataFrame([rec(i, raw_text="Om " + rnd.choice(words), norm_text=f"om {rnd.choice(words)} om w1 w2", folded_text="", compact_text=None, lemma_text="om w1, om w1", title="w1 w2" if i % 2 else None) for i in range(1, 301)], REC)
+    terms = spark.createDataFrame([(w, f"om {w}", ["om", w]) for w in words] + [("one", "om", ["om"]), ("three", "om w1 w2", ["om", "w1", "w2"]), ("none", "w2 w1", ["w2", "w1"])], "query_id string, term string, tokens array<string>")
+    got, want = ({tuple(r) for r in f.collect()} for f in (S.phrase_scan(terms, recs), S.phrase_hits(terms, S.postings(recs))))
+    assert got == want and {q for q, *_ in got} >= {"one", "three", "w1"}
+    assert S.phrase_scan(terms.limit(0), recs).collect() == []
+
+
+def test_word_pairs_read_no_postings(spark, monkeypatch):
+    """Joined with the postings a word at a time, the pairs of a whole corpus grow as its square."""
+    from codexmill.plans import corpus
+
+    def refuse(*_):
+        raise AssertionError("postings meet every phrase that holds their word")
+
+    monkeypatch.setattr(S, "phrase_hits", refuse)
+    assert corpus.QUERIES["fts_word_pairs"](spark, "/root/testdata/sf0.001").count() > 0
