@@ -29,9 +29,10 @@ def best_sources(rows: DataFrame, per_corpus: int) -> DataFrame:
 
     The first step is an aggregate with map-side reduction, the others windows that Spark limits before the shuffle.
     """
-    order = F.struct(-F.col("score"), "corpus", "source_path", "sequence_no", "id")
-    row = F.struct(*[F.col(c) for c in rows.columns])
-    best = rows.groupBy("query_id", "corpus", F.col("work_id").alias("_w"), F.col("source_path").alias("_s")).agg(F.min_by(row, order).alias("r")).select("r.*")
+    key = ["query_id", "corpus", "work_id", "source_path"]
+    order = [(-F.col("score")).alias("_score"), F.col("sequence_no"), F.col("id")]
+    rest = [c for c in rows.columns if c not in (*key, "sequence_no", "id")]
+    best = rows.groupBy(*key).agg(F.min(F.struct(*order, *rest)).alias("r")).select(*[c if c in key else F.col(f"r.{c}") for c in rows.columns])
     kept = top_per(best, ["query_id", "corpus"], S.rank_order(), per_corpus, "corpus_rank").drop("corpus_rank")
     return top_per(kept, ["query_id"], S.rank_order(), 1 << 30)
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from codexmill.functions import text as X
 from codexmill.operators.lookup import top_per
-from codexmill.session import broadcast_within, drop, exists, spool, spread
+from codexmill.session import BROADCAST_BYTES, broadcast_within, drop, exists, json_bytes, spool, spread
 
 #: Weights of evidence classes and scores of match kinds.
 CLASS_WEIGHT = {
@@ -273,14 +273,22 @@ def rank_order() -> list[Column]:
     return [F.col("score").desc(), F.coalesce("corpus", F.lit("")), F.coalesce("source_path", F.lit("")), F.coalesce("sequence_no", F.lit(0)), F.col("id")]
 
 
+#: Columns of a record that a hit has.
+KEEP = ("id", "corpus", "language", "work_id", "segment_id", "source_path", "sequence_no", "evidence_class", "text_role", "witness", "source_sha")
+
+
+def _others(forms: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, others): the surfaces of a query's lemma other than itself, with folded and compact form."""
+    fs = forms.join(queries.select("query_id", "norm"), "query_id").filter("surface <> norm and surface <> ''")
+    return fs.withColumn("_f", X.forms("surface")).groupBy("query_id").agg(F.collect_set(F.struct(F.col("surface").alias("f"), F.col("_f.folded").alias("d"), F.col("_f.compact").alias("c"))).alias("others"))
+
+
 def scored(candidates: DataFrame, queries: DataFrame, records: DataFrame, forms: DataFrame, places: DataFrame, derive_missing: bool = True, narrow: bool = False) -> DataFrame:
     """(query_id, record columns, score, match_reasons) of the candidates (query_id, id).
 
     ``narrow``: the candidates may be few enough to be broadcast, which is then measured.
     """
-    fs = forms.join(queries.select("query_id", "norm"), "query_id").filter("surface <> norm and surface <> ''")
-    fs = fs.withColumn("_f", X.forms("surface")).groupBy("query_id").agg(F.collect_set(F.struct(F.col("surface").alias("f"), F.col("_f.folded").alias("d"), F.col("_f.compact").alias("c"))).alias("others"))
-    keep = ["id", "corpus", "language", "work_id", "segment_id", "source_path", "sequence_no", "evidence_class", "text_role", "witness", "source_sha"]
+    fs, keep = _others(forms, queries), KEEP
     r = records.select(*keep, "raw_text", "norm_text", "folded_text", "compact_text", "lemma_text")
     # Blanked forms of Chinese rows are derived once a record, not once a candidate.
     zh = F.coalesce(F.col("language").isin("lzh", "zh"), F.lit(False)) if derive_missing else F.lit(False)
@@ -356,6 +364,52 @@ def search(
     return top_per(found, ["query_id"], rank_order(), limit)
 
 
+def search_every(queries: DataFrame, records: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """Every hit of every query, scored as ``search`` with ``candidates="all"`` does, but not ranked: (query_id, query, record columns, score, match_reasons).
+
+    A hit may come several times, in equal rows, where several words of a query find it. For
+    batches that hit much of a corpus: a record meets the queries' words and is scored where
+    it is read, so that neither postings nor texts are written or shuffled, and a hit is
+    a row only while its task reduces it. Where the queries are no side to broadcast, the
+    records are read once for each part of them that is.
+    """
+    q = spool(with_forms(queries.select("query_id", "query")), "queries")
+    plain, cjk = q.filter("cjk is null").drop("cjk"), q.filter("cjk is not null")
+    forms, places = lemma_forms(plain, lemmas, None), lemma_places(plain, lemmas, None)
+    words = terms_of(plain, forms).select("query_id", "tokens").distinct()
+    words = words.select("query_id", F.col("tokens")[0].alias("tok"), F.when(F.size("tokens") > 1, F.concat(F.lit(" "), F.concat_ws(" ", "tokens"), F.lit(" "))).alias("run"))
+    asked = spool(plain.join(_others(forms, plain), "query_id", "left"), "asked")
+    # Whether the word that finds the record is itself another form of the lemma, which spares a look for each of them.
+    is_form = [F.coalesce(F.array_contains(f"others.{k}", F.col("tok")), F.lit(False)).alias(f"is_{k}") for k in "fdc"]
+    words = spool(words.join(asked.select("query_id", "others"), "query_id").select("query_id", "tok", "run", *is_form), "words")
+    runs = not words.filter("run is not null").isEmpty()
+    at = places.select("query_id", F.coalesce("work_id", F.lit("\x00")).alias("_w"), F.coalesce("segment_id", F.lit("\x00")).alias("_s"))
+    at = broadcast_within(at.groupBy("_w", "_s").agg(F.collect_set("query_id").alias("_at")))  # a place's words, of the queries only
+    parts = 1 + (json_bytes(words) + json_bytes(asked)) // BROADCAST_BYTES
+
+    row = {k: F.coalesce(F.col(k), F.lit("")).alias(k) for k in ("raw_text", "norm_text", "folded_text", "compact_text", "lemma_text")}
+    r = spread(records.select(*KEEP, *COLUMNS)).join(at, (F.coalesce("work_id", F.lit("\x00")) == at["_w"]) & (F.coalesce("segment_id", F.lit("\x00")) == at["_s"]), "left")
+    by_column = F.array(*[X.word_tokens(F.coalesce(c, F.lit(""))) for c in COLUMNS])
+    r = r.select(*KEEP, *row.values(), "_at", by_column.alias("_words"), F.split(row["lemma_text"], r"\s+").alias("_lemmas"))
+    # Outer, as Spark filters by the size of what it explodes and for that tokenizes twice.
+    r = r.select("*", F.explode_outer(F.array_distinct(F.flatten("_words"))).alias("tok"))
+    has_run = F.col("run").isNull() | F.exists("_words", lambda w: F.contains(F.concat(F.lit(" "), F.concat_ws(" ", w), F.lit(" ")), F.col("run")))
+    other = F.exists("others", lambda o: F.contains("norm_text", o["f"]) | F.contains("folded_text", o["d"]) | F.contains("compact_text", o["c"]))
+    lemma = F.coalesce(F.array_contains("_at", F.col("query_id")), F.lit(False)) | F.array_contains("_lemmas", F.col("norm"))
+    for k, text in zip("fdc", ("norm_text", "folded_text", "compact_text"), strict=True):
+        lemma = lemma | (F.col(f"is_{k}") & F.contains(F.col(text), F.col("tok")))
+    lemma = lemma | F.coalesce(other, F.lit(False))
+    reasons = F.when(F.col("lemma"), F.array("kind", F.lit("corpus-lemma"))).otherwise(F.array("kind"))
+    found = []
+    for i in range(parts):
+        one = lambda df: F.broadcast(df.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) if parts > 1 else df)  # noqa: B023, E731
+        c = r.join(one(words), "tok").filter(has_run if runs else F.lit(True)).join(one(asked), "query_id").withColumn("kind", match_kind()).withColumn("lemma", lemma)
+        found.append(c.select("query_id", "query", *KEEP, score(F.col("kind"), F.col("lemma")).alias("score"), reasons.alias("match_reasons")))
+    if not cjk.isEmpty():
+        found.append(search(cjk, records, lemmas, 1 << 30, candidates="all").drop("rank"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def scan_search(queries: DataFrame, records: DataFrame, limit: int = 20) -> DataFrame:
     """Substring search by scan, for a few queries (query_id, query) without an index.
 

@@ -115,9 +115,12 @@ def broadcast_within(df: DataFrame, max_bytes: int = BROADCAST_BYTES, spooled: b
     The side is computed once: it is spooled before it is measured, unless it is ``spooled`` already.
     """
     df = df if spooled else spool(df, "side")
+    return F.broadcast(df) if json_bytes(df) <= max_bytes else df
+
+
+def json_bytes(df: DataFrame) -> int:
     row = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    n = df.agg(F.sum(row).alias("n")).first().n or 0
-    return F.broadcast(df) if n <= max_bytes else df
+    return df.agg(F.sum(row).alias("n")).first().n or 0
 
 
 def exists(spark: SparkSession, path: str) -> bool:

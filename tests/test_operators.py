@@ -429,3 +429,38 @@ def test_word_pairs_read_no_postings(spark, monkeypatch):
 
     monkeypatch.setattr(S, "phrase_hits", refuse)
     assert corpus.QUERIES["fts_word_pairs"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_search_every_finds_and_scores_as_search(spark):
+    """Words, phrases, other forms of a lemma, places and Chinese, in one part and in several."""
+    texts = ["evaṃ me sutaṃ", "me evaṃ", "Sutena me", "sutaṃ evaṃ me sutaṃ", "nothing", "", "如是我聞一時佛", "evam me"]
+    recs = spark.createDataFrame(
+        [rec(i, corpus=f"c{i % 2}", language="lzh" if "如" in x else "pli", work_id=None if i == 4 else f"w{i % 3}", segment_id=None if i == 4 else f"s{i}", source_path=f"p{i % 3}", raw_text=x, norm_text=x.lower(), folded_text=x.lower().replace("ṃ", "m"), compact_text=x.lower().replace(" ", ""), lemma_text="suta ahaṃ" if i == 2 else "") for i, x in enumerate(texts)], REC
+    )
+    lem = spark.createDataFrame([("sutaṃ", "suta", "w0", "s0"), ("sutena", "suta", "w2", "s2"), ("evaṃ", "evaṃ", None, None), ("me", "ahaṃ", "w1", "s1")], "surface string, lemma string, work_id string, segment_id string")
+    q = spark.createDataFrame([(x, x) for x in ("suta", "evaṃ", "ahaṃ", "me sutaṃ", "EVAṂ me", "如是我聞", "absent", "sutaṃ")], "query_id string, query string")
+    cols = ["query_id", "query", *S.KEEP, "score", "match_reasons"]
+    rows = lambda df: {str(tuple(r)) for r in df.select(*cols).collect()}
+    want = S.search(q, recs, lem, 1 << 30, candidates="all")
+    assert len({r.query_id for r in want.collect()}) == 7 and rows(S.search_every(q, recs, lem)) == rows(want)
+    best = lambda df: {(r.query_id, r.id, r["rank"]) for r in P.best_sources(df.select(*cols), 1).collect()}
+    assert best(S.search_every(q, recs, lem)) == best(want)
+    most, S.BROADCAST_BYTES = S.BROADCAST_BYTES, 400
+    try:
+        assert rows(S.search_every(q, recs, lem)) == rows(want)
+    finally:
+        S.BROADCAST_BYTES = most
+
+
+@pytest.mark.parametrize("name", ["pointer_rank"])
+def test_pointers_of_all_lemmas_store_no_hits_and_no_index(spark, monkeypatch, name):
+    """The postings of a whole corpus, or its texts once a hit, are more than the disk holds."""
+    from codexmill.plans import corpus
+
+    def refuse(*_, **__):
+        raise AssertionError("an index of the whole corpus, or a row a hit, is written")
+
+    for f in ("write_index", "postings", "phrase_hits", "scored"):
+        monkeypatch.setattr(S, f, refuse)
+    monkeypatch.setattr(corpus, "_INDEXED", {})
+    assert corpus.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
