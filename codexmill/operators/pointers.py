@@ -170,11 +170,13 @@ def distinct_works(df: DataFrame) -> DataFrame:
     return df.select("corpus", "work_id").filter("work_id is not null").distinct().agg(F.count("*").alias("n"))
 
 
-def query_stats(rows: DataFrame) -> DataFrame:
-    """(query_id, n_pointers, n_work_files, n_corpora, n_bytes) of pointer rows."""
-    bytes_ = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in STATIC]), {"ignoreNullFields": "false"}))
+def query_stats(rows: DataFrame, measure: bool = True) -> DataFrame:
+    """(query_id, n_pointers, n_work_files, n_corpora, n_bytes) of pointer rows; n_bytes, which takes all static fields, only if they are measured."""
     files = F.count_distinct(F.struct("corpus", "work_id", "source_path"))
-    return rows.groupBy("query_id").agg(F.count("*").alias("n_pointers"), files.alias("n_work_files"), F.count_distinct("corpus").alias("n_corpora"), F.sum(bytes_).alias("n_bytes"))
+    aggs = [F.count("*").alias("n_pointers"), files.alias("n_work_files"), F.count_distinct("corpus").alias("n_corpora")]
+    if measure:
+        aggs.append(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in STATIC]), {"ignoreNullFields": "false"}))).alias("n_bytes"))
+    return rows.groupBy("query_id").agg(*aggs)
 
 
 def extrapolate(dist: DataFrame, n_keys: int) -> DataFrame:

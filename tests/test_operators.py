@@ -452,7 +452,7 @@ def test_search_every_finds_and_scores_as_search(spark):
         S.BROADCAST_BYTES = most
 
 
-@pytest.mark.parametrize("name", ["pointer_rank"])
+@pytest.mark.parametrize("name", ["pointer_rank", "query_stats"])
 def test_pointers_of_all_lemmas_store_no_hits_and_no_index(spark, monkeypatch, name):
     """The postings of a whole corpus, or its texts once a hit, are more than the disk holds."""
     from codexmill.plans import corpus
